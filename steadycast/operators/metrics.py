@@ -43,8 +43,9 @@ def confusion_counts(df: DataFrame, target: str, decision: str, groups: Sequence
 
 def confusion_matrix(df: DataFrame, target: str, decision: str) -> DataFrame:
     """Two rows (actual), two columns (predicted)."""
-    cells = df.groupBy(F.col(target).cast("int").alias("actual"), F.col(decision).cast("int").alias("d"))
-    return cells.pivot("d", [0, 1]).count().na.fill(0).toDF("actual", "predicted_0", "predicted_1")
+    cells = df.select(F.col(target).cast("int").alias("actual"), F.col(decision).cast("int").alias("d"))
+    counted = cells.groupBy("actual").pivot("d", [0, 1]).count().na.fill(0)
+    return counted.toDF("actual", "predicted_0", "predicted_1")
 
 
 def rates_from_counts(df: DataFrame) -> DataFrame:

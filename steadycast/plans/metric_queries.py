@@ -522,7 +522,7 @@ _MODELS = " UNION ALL ".join(
     for n, e, t in (
         ("persistence", "(CASE WHEN current_mos < 3 THEN 1.0 ELSE 0.0 END)::DOUBLE", 0.5),
         ("closed_form", "calibrated_probability", 0.35),
-        ("hedged", "round(0.5 * calibrated_probability + 0.2, 6)", 0.5),
+        ("hedged", "0.4 * calibrated_probability + 0.2", 0.5),
     )
 )
 
@@ -531,7 +531,7 @@ def _models(spark, sf_dir):
     test = scored(spark, sf_dir).where(F.col("split") == "test").withColumns(
         {
             "persistence_p": persistence_probability(F.col("current_mos")),
-            "hedged_p": F.round(0.5 * F.col(P) + 0.2, 6),
+            "hedged_p": 0.4 * F.col(P) + 0.2,
         }
     )
     keep = ["session_id", "user_id", "timestamp", TARGET]
@@ -617,7 +617,7 @@ def trust_scores(spark, sf_dir):
 @query(
     "component_trust",
     over(
-        """SELECT event_id, bitrate_kbps, round(t, 6) AS component_trust,
+        """SELECT event_id, bitrate_kbps, t AS component_trust,
              CASE WHEN t >= 0.8 THEN 'high' WHEN t >= 0.55 THEN 'medium' ELSE 'low' END AS component_level,
              t < 0.55 AS component_abstain
            FROM (SELECT *, round(0.55 * model_confidence + 0.25 * (0.7 * 0.8 + 0.3 * 0.9)
@@ -633,7 +633,7 @@ def component_trust_query(spark, sf_dir):
     t = F.round("component_trust", 9)
     level = F.when(t >= 0.8, "high").when(t >= 0.55, "medium").otherwise("low")
     return df.select(
-        *KEY, F.round("component_trust", 6).alias("component_trust"),
+        *KEY, t.alias("component_trust"),
         level.alias("component_level"), (t < 0.55).alias("component_abstain"),
     )
 
