@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from steadycast.functions import text as t
-from steadycast.functions.scalar import epoch_micros
 from steadycast.operators.reshape import EVIDENCE_FIELDS, evidence
 from steadycast.operators.sampling import ABSTENTION, ACCEPTABLE, POOR
 from steadycast.params import ROW_KEY
@@ -116,13 +115,12 @@ def prompt_records(sample: DataFrame, probability: str = "calibrated_probability
     place = F.when(F.col("category") == POOR, 1).when(F.col("category") == ACCEPTABLE, 2)
     place = place.when(F.col("category") == ABSTENTION, 3)
     number = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(place, *ROW_KEY))
-    width = F.greatest(F.lit(3), F.length(number.cast("string")))
     e = F.col("evidence")
     return (
         sample.withColumn("evidence", evidence(probability))
         .withColumn("__n", number)
         .select(
-            F.concat(F.lit("case_"), F.expr("lpad(cast(__n as string), greatest(3, length(cast(__n as string))), '0')")).alias("case_id"),
+            F.format_string("case_%03d", "__n").alias("case_id"),
             "category", "session_id", "user_id", "timestamp",
             e["prediction"].alias("prediction"),
             e["prediction_probability"].alias("probability"),
@@ -147,187 +145,229 @@ STATEMENT_LIMIT, LIST_LIMIT = 400, 5
 NO_EVIDENCE = "insufficient evidence"
 
 
-def _part(v: Column, path: str, kind: str = "variant") -> Column:
+ARRAY = "array<variant>"
+NO_MESSAGES = "array<string>"
+
+
+def _get(v: Column, path: str, kind: str = "variant") -> Column:
     return F.try_variant_get(v, path, kind)
 
 
-def _kind(v: Column) -> Column:
-    return F.schema_of_variant(v)
+def _value(v: Column) -> Column:
+    """One JSON value with its type name, its text and its length, each worked out once."""
+    kind = F.schema_of_variant(v)
+    text = F.when(kind == "STRING", t.trimmed(_get(v, "$", "string")))
+    return F.struct(kind.alias("kind"), text.alias("text"))
 
 
-def _at(location: str, condition: Column, message: Column | str) -> Column:
-    prefix = f"Schema validation at {location}: " if location else "Schema validation: "
-    return t.message_if(condition, prefix, message)
+def _items(v: Column) -> Column:
+    """A JSON list with its type name and its string items (null for other types)."""
+    kind = F.schema_of_variant(v)
+    items = F.transform(
+        _get(v, "$", ARRAY),
+        lambda x: F.when(F.schema_of_variant(x) == "STRING", t.trimmed(_get(x, "$", "string"))),
+    )
+    return F.struct(kind.alias("kind"), items.alias("items"))
+
+
+def _cause(v: Column) -> Column:
+    """One cause with its checked parts."""
+    keys = F.array_except(F.json_object_keys(F.to_json(v)), F.array(*[F.lit(c) for c in CAUSE_FIELDS]))
+    return F.struct(
+        F.schema_of_variant(v).alias("kind"),
+        _value(_get(v, "$.statement")).alias("statement"),
+        _items(_get(v, "$.evidence_keys")).alias("evidence_keys"),
+        keys.alias("extra"),
+    )
 
 
-def _text_errors(location, value: Column, limit: int) -> list[Column]:
-    """Missing, not a string, too short or too long; ``location`` may be a column."""
-    prefix = location if isinstance(location, Column) else F.lit(location)
-    head = F.concat(F.lit("Schema validation at "), prefix, F.lit(": "))
-    is_text = _kind(value) == "STRING"
-    length = F.length(t.trimmed(_part(value, "$", "string")))
+def _text_errors(head: Column, value: Column, limit: int) -> list[Column]:
+    """Missing, not a string, too short or too long."""
+    kind, length = value["kind"], F.length(value["text"])
     return [
-        t.message_if(value.isNull(), head, "Field required"),
-        t.message_if(value.isNotNull() & ~is_text, head, "Input should be a valid string"),
-        t.message_if(is_text & (length < 1), head, "String should have at least 1 character"),
-        t.message_if(is_text & (length > limit), head, f"String should have at most {limit} characters"),
+        t.message_if(kind.isNull(), head, "Field required"),
+        t.message_if(kind.isNotNull() & (kind != "STRING"), head, "Input should be a valid string"),
+        t.message_if(length < 1, head, "String should have at least 1 character"),
+        t.message_if(length > limit, head, f"String should have at most {limit} characters"),
     ]
 
 
-def _choice_errors(name: str, value: Column, choices: tuple[str, ...]) -> list[Column]:
+def _choice_errors(head: Column, value: Column, raw: Column, choices: tuple[str, ...]) -> list[Column]:
+    """Missing, or not one of the choices exactly."""
     listed = ", ".join(f"'{c}'" for c in choices[:-1]) + f" or '{choices[-1]}'"
-    chosen = (_kind(value) == "STRING") & t.contains_any(_part(value, "$", "string"), choices)
+    chosen = (value["kind"] == "STRING") & t.contains_any(raw, choices)
     return [
-        _at(name, value.isNull(), "Field required"),
-        _at(name, value.isNotNull() & ~chosen, f"Input should be {listed}"),
+        t.message_if(value["kind"].isNull(), head, "Field required"),
+        t.message_if(value["kind"].isNotNull() & ~chosen, head, f"Input should be {listed}"),
     ]
 
 
-def _list_errors(head: Column, value: Column, least: int) -> tuple[list[Column], Column]:
-    """Errors of a list as a whole, and whether its size and type are right."""
-    is_list = _kind(value).startswith("ARRAY")
-    size = F.size(_part(value, "$", "array<variant>"))
+def _list_errors(head: Column, kind: Column, size: Column, least: int) -> tuple[list[Column], Column]:
+    """Errors of a list as a whole, and whether its type and size are right."""
+    is_list = kind.startswith("ARRAY")
     n = size.cast("string")
     errors = [
-        t.message_if(value.isNull(), head, "Field required"),
-        t.message_if(value.isNotNull() & ~is_list, head, "Input should be a valid list"),
+        t.message_if(kind.isNull(), head, "Field required"),
+        t.message_if(kind.isNotNull() & ~is_list, head, "Input should be a valid list"),
         t.message_if(
             is_list & (size > LIST_LIMIT), head,
             f"List should have at most {LIST_LIMIT} items after validation, not ", n,
         ),
+        t.message_if(
+            is_list & (size < least), head,
+            f"List should have at least {least} item after validation, not ", n,
+        ),
     ]
-    if least:
-        errors.append(
-            t.message_if(
-                is_list & (size < least), head,
-                f"List should have at least {least} item after validation, not ", n,
-            )
-        )
     return errors, is_list & (size >= least) & (size <= LIST_LIMIT)
 
 
-def _string_list_errors(head: Column, location: Column, value: Column, blank: str, unique: str | None) -> Column:
+def _nothing() -> Column:
+    return F.array().cast(NO_MESSAGES)
+
+
+def _string_list_errors(head: Column, place: Column, value: Column, blank: str, unique: str | None) -> Column:
     """Errors of a list of strings; blank items are dropped before the last two checks."""
-    whole, sized = _list_errors(head, value, 1)
-    items = _part(value, "$", "array<variant>")
-    wrong = F.filter(
-        F.transform(
-            items,
-            lambda x, i: F.when(
-                F.coalesce(_kind(x), F.lit("VOID")) != "STRING",
-                F.concat(
-                    F.lit("Schema validation at "), location, F.lit("."), i.cast("string"),
-                    F.lit(": Input should be a valid string"),
-                ),
+    items = value["items"]
+    whole, sized = _list_errors(head, value["kind"], F.size(items), 1)
+    marked = F.transform(
+        items,
+        lambda x, i: F.when(
+            x.isNull(),
+            F.concat(
+                F.lit("Schema validation at "), place, F.lit("."), i.cast("string"),
+                F.lit(": Input should be a valid string"),
             ),
         ),
-        lambda m: m.isNotNull(),
     )
-    clean = clean_strings(value)
-    typed = sized & (F.size(wrong) == 0)
+    wrong = F.array_compact(marked)
+    clean = without_blanks(items)
+    typed = sized & ~F.exists(items, lambda x: x.isNull())
     last = [t.message_if(typed & (F.size(clean) == 0), head, f"Value error, {blank}")]
     if unique:
         repeated = F.size(F.array_distinct(clean)) < F.size(clean)
         last.append(t.message_if(typed & repeated, head, f"Value error, {unique}"))
-    return F.concat(t.messages(*whole), F.coalesce(F.when(sized, wrong), F.array().cast("array<string>")), t.messages(*last))
+    return F.concat(
+        t.messages(*whole), F.coalesce(F.when(sized, wrong), _nothing()), t.messages(*last)
+    )
 
 
-def clean_strings(value: Column) -> Column:
-    """Items of a list of strings, trimmed, without blanks."""
-    items = F.transform(_part(value, "$", "array<variant>"), lambda x: t.trimmed(_part(x, "$", "string")))
+def without_blanks(items: Column) -> Column:
     return F.filter(items, lambda s: s != "")
 
 
-def _extra_errors(location: Column, keys: Column, allowed: tuple[str, ...]) -> Column:
-    extra = F.array_except(keys, F.array(*[F.lit(a) for a in allowed]))
-    return F.transform(
-        extra,
-        lambda k: F.concat(
-            F.lit("Schema validation at "), location, k, F.lit(": Extra inputs are not permitted")
+def _extra_errors(place: Column, extra: Column) -> Column:
+    return F.coalesce(
+        F.transform(
+            extra,
+            lambda k: F.concat(
+                F.lit("Schema validation at "), place, k, F.lit(": Extra inputs are not permitted")
+            ),
         ),
+        _nothing(),
     )
 
 
-def _keys(v: Column) -> Column:
-    return F.json_object_keys(F.to_json(v))
+def _head(place: Column | str) -> Column:
+    place = place if isinstance(place, Column) else F.lit(place)
+    return F.concat(F.lit("Schema validation at "), place, F.lit(": "))
 
 
 def _cause_errors(cause: Column, i: Column) -> Column:
     where = F.concat(F.lit("likely_causes."), i.cast("string"))
     key_place = F.concat(where, F.lit(".evidence_keys"))
-    statement, keys = _part(cause, "$.statement"), _part(cause, "$.evidence_keys")
     inside = F.concat(
-        t.messages(*_text_errors(F.concat(where, F.lit(".statement")), statement, STATEMENT_LIMIT)),
+        t.messages(
+            *_text_errors(_head(F.concat(where, F.lit(".statement"))), cause["statement"], STATEMENT_LIMIT)
+        ),
         _string_list_errors(
-            F.concat(F.lit("Schema validation at "), key_place, F.lit(": ")), key_place, keys,
+            _head(key_place), key_place, cause["evidence_keys"],
             "At least one evidence key is required.",
             "Evidence keys must be unique within a cause.",
         ),
-        _extra_errors(F.concat(where, F.lit(".")), _keys(cause), CAUSE_FIELDS),
+        _extra_errors(F.concat(where, F.lit(".")), cause["extra"]),
     )
     wrong = F.array(
-        F.concat(
-            F.lit("Schema validation at "), where,
-            F.lit(": Input should be a valid dictionary or instance of LikelyCause"),
-        )
+        F.concat(_head(where), F.lit("Input should be a valid dictionary or instance of LikelyCause"))
     )
-    return F.when(F.coalesce(_kind(cause), F.lit("VOID")).startswith("OBJECT"), inside).otherwise(wrong)
+    is_object = F.coalesce(cause["kind"], F.lit("VOID")).startswith("OBJECT")
+    return F.when(is_object, inside).otherwise(wrong)
 
 
-def schema_errors(v: Column) -> Column:
-    """Messages of the schema check of a parsed explanation (a variant column)."""
-    causes = _part(v, "$.likely_causes")
-    checks = _part(v, "$.recommended_operator_checks")
-    causes_head = F.lit("Schema validation at likely_causes: ")
-    whole, sized = _list_errors(causes_head, causes, 0)
-    per_cause = t.flat(
-        F.transform(_part(causes, "$", "array<variant>"), lambda c, i: _cause_errors(c, i))
+def with_schema_check(df: DataFrame, explanation: str = "explanation") -> DataFrame:
+    """Add ``schema_errors`` and, where it is empty, the cleaned explanation ``__x``.
+
+    The parts of the JSON are taken out in one projection and checked in the next, so each
+    is parsed once per row.
+    """
+    v = F.col("__v")
+    extra = F.array_except(F.json_object_keys(explanation), F.array(*[F.lit(f) for f in FIELDS]))
+    parts = df.withColumn("__v", F.try_parse_json(explanation)).withColumns(
+        {
+            "__kind": F.coalesce(F.schema_of_variant(v), F.lit("VOID")),
+            "__extra": extra,
+            "__prediction": _value(_get(v, "$.prediction")),
+            "__confidence": _value(_get(v, "$.confidence")),
+            "__raw_prediction": _get(v, "$.prediction", "string"),
+            "__raw_confidence": _get(v, "$.confidence", "string"),
+            "__summary": _value(_get(v, "$.summary")),
+            "__limitations": _value(_get(v, "$.limitations")),
+            "__checks": _items(_get(v, "$.recommended_operator_checks")),
+            "__causes_kind": F.schema_of_variant(_get(v, "$.likely_causes")),
+            "__causes": F.transform(_get(v, "$.likely_causes", ARRAY), _cause),
+        }
     )
+    causes = F.col("__causes")
+    whole, sized = _list_errors(_head("likely_causes"), F.col("__causes_kind"), F.size(causes), 0)
+    per_cause = t.flat(F.transform(causes, _cause_errors))
     fields = F.concat(
-        t.messages(*_choice_errors("prediction", _part(v, "$.prediction"), t.DECISIONS)),
-        t.messages(*_choice_errors("confidence", _part(v, "$.confidence"), t.LEVELS)),
-        t.messages(*_text_errors("summary", _part(v, "$.summary"), TEXT_LIMITS["summary"])),
+        t.messages(
+            *_choice_errors(_head("prediction"), F.col("__prediction"), F.col("__raw_prediction"), t.DECISIONS)
+        ),
+        t.messages(
+            *_choice_errors(_head("confidence"), F.col("__confidence"), F.col("__raw_confidence"), t.LEVELS)
+        ),
+        t.messages(*_text_errors(_head("summary"), F.col("__summary"), TEXT_LIMITS["summary"])),
         t.messages(*whole),
-        F.coalesce(F.when(sized, per_cause), F.array().cast("array<string>")),
+        F.coalesce(F.when(sized, per_cause), _nothing()),
         _string_list_errors(
-            F.lit("Schema validation at recommended_operator_checks: "),
-            F.lit("recommended_operator_checks"), checks,
+            _head("recommended_operator_checks"), F.lit("recommended_operator_checks"), F.col("__checks"),
             "At least one non-empty item is required.", None,
         ),
-        t.messages(*_text_errors("limitations", _part(v, "$.limitations"), TEXT_LIMITS["limitations"])),
-        _extra_errors(F.lit(""), _keys(v), FIELDS),
-    )
-    silent = F.concat_ws(
-        " ", t.trimmed(_part(v, "$.summary", "string")), t.trimmed(_part(v, "$.limitations", "string"))
+        t.messages(*_text_errors(_head("limitations"), F.col("__limitations"), TEXT_LIMITS["limitations"])),
+        _extra_errors(F.lit(""), F.col("__extra")),
     )
-    unexplained = (F.size(_part(causes, "$", "array<variant>")) == 0) & ~F.lower(silent).contains(NO_EVIDENCE)
-    closing = t.messages(
-        _at("", (F.size(fields) == 0) & unexplained,
-            "Value error, Empty likely_causes requires an explicit 'insufficient evidence' statement.")
+    said = F.lower(F.concat_ws(" ", "__summary.text", "__limitations.text")).contains(NO_EVIDENCE)
+    closing = t.message_if(
+        (F.size("__fields") == 0) & (F.size(causes) == 0) & ~said,
+        "Schema validation: Value error, Empty likely_causes requires an explicit "
+        "'insufficient evidence' statement.",
     )
     not_object = F.array(
         F.lit("Schema validation: Input should be a valid dictionary or instance of Explanation")
     )
-    is_object = F.coalesce(_kind(v), F.lit("VOID")).startswith("OBJECT")
-    return F.when(is_object, F.concat(fields, closing)).otherwise(not_object)
-
-
-def parsed_explanation(v: Column) -> Column:
-    """The cleaned explanation of a variant that passed the schema check."""
-    causes = F.transform(
-        _part(v, "$.likely_causes", "array<variant>"),
-        lambda c: F.struct(
-            t.trimmed(_part(c, "$.statement", "string")).alias("statement"),
-            clean_strings(_part(c, "$.evidence_keys")).alias("evidence_keys"),
-        ),
+    checked = parts.withColumn("__fields", fields).withColumn(
+        "schema_errors",
+        F.when(F.col("__kind").startswith("OBJECT"), F.concat(F.col("__fields"), t.messages(closing)))
+        .otherwise(not_object),
     )
-    return F.struct(
-        _part(v, "$.prediction", "string").alias("prediction"),
-        _part(v, "$.confidence", "string").alias("confidence"),
-        t.trimmed(_part(v, "$.summary", "string")).alias("summary"),
-        causes.alias("likely_causes"),
-        clean_strings(_part(v, "$.recommended_operator_checks")).alias("recommended_operator_checks"),
-        t.trimmed(_part(v, "$.limitations", "string")).alias("limitations"),
+    cleaned = F.struct(
+        F.col("__raw_prediction").alias("prediction"),
+        F.col("__raw_confidence").alias("confidence"),
+        F.col("__summary.text").alias("summary"),
+        F.transform(
+            causes,
+            lambda c: F.struct(
+                c["statement"]["text"].alias("statement"),
+                without_blanks(c["evidence_keys"]["items"]).alias("evidence_keys"),
+            ),
+        ).alias("likely_causes"),
+        without_blanks(F.col("__checks.items")).alias("recommended_operator_checks"),
+        F.col("__limitations.text").alias("limitations"),
+    )
+    return checked.withColumn("__x", F.when(F.size("schema_errors") == 0, cleaned)).drop(
+        "__v", "__kind", "__extra", "__prediction", "__confidence", "__raw_prediction",
+        "__raw_confidence", "__summary", "__limitations", "__checks", "__causes_kind", "__causes",
+        "__fields",
     )
 
 
@@ -412,31 +452,32 @@ def number_errors(numbers: Column, text: Column) -> Column:
     return F.transform(F.array_sort(once), lambda p: F.concat(F.lit("Unsupported number: "), p["s"]))
 
 
+def _claim_check(pair: Column, field: str, expected: Column) -> Column:
+    value = t.exact_number(pair["n"])
+    return t.messages(
+        t.message_if(expected.isNull(), f"Claim cites unavailable evidence field: {field}"),
+        t.message_if(
+            expected.isNotNull() & ~value.eqNullSafe(expected),
+            "Claimed value ", pair["n"], f" is not the value of {field}.",
+        ),
+        t.message_if(
+            (pair["u"] != "") & ~t.contains_any(t.normal_unit(pair["u"]), t.FIELD_UNITS[field]),
+            f"Wrong unit for {field}: ", pair["u"],
+        ),
+    )
+
+
+def _number_unit_pairs(text: Column, pattern: str) -> Column:
+    numbers, units = t.all_matches(text, pattern, 1), t.all_matches(text, pattern, 2)
+    return F.zip_with(numbers, units, lambda n, u: F.struct(n.alias("n"), u.alias("u")))
+
+
 def claim_errors(numbers: Column, text: Column) -> Column:
     """'<field> is <number> <unit>' must give the evidence value and an allowed unit."""
     found = []
-    for field, units in t.FIELD_UNITS.items():
-        pattern = t.claim_pattern(field)
-        pairs = F.arrays_zip(
-            t.all_matches(text, pattern, 1).alias("n"), t.all_matches(text, pattern, 2).alias("u")
-        )
-        expected = numbers[field]
-
-        def check(p, expected=expected, field=field, units=units):
-            value = t.exact_number(p["n"])
-            return t.messages(
-                t.message_if(expected.isNull(), f"Claim cites unavailable evidence field: {field}"),
-                t.message_if(
-                    expected.isNotNull() & ~value.eqNullSafe(expected),
-                    "Claimed value ", p["n"], f" is not the value of {field}.",
-                ),
-                t.message_if(
-                    (p["u"] != "") & ~t.contains_any(t.normal_unit(p["u"]), units),
-                    f"Wrong unit for {field}: ", p["u"],
-                ),
-            )
-
-        found.append(t.flat(F.transform(pairs, check)))
+    for field in t.FIELD_UNITS:
+        pairs = _number_unit_pairs(text, t.claim_pattern(field))
+        found.append(t.flat(F.transform(pairs, lambda p: _claim_check(p, field, numbers[field]))))
     return t.joined(found)
 
 
@@ -468,10 +509,7 @@ def cause_errors(x: Column, numbers: Column) -> Column:
             t.all_matches(statement, t.NUMBER_TOKEN, 1),
             lambda s: ~F.coalesce(F.array_contains(F.map_values(cited), t.exact_number(s)), F.lit(False)),
         )
-        pairs = F.arrays_zip(
-            t.all_matches(statement, t.NUMBER_UNIT, 1).alias("n"),
-            t.all_matches(statement, t.NUMBER_UNIT, 2).alias("u"),
-        )
+        pairs = _number_unit_pairs(statement, t.NUMBER_UNIT)
 
         def misfit(p: Column) -> Column:
             holders = F.map_keys(F.map_filter(cited, lambda k, v: v == t.exact_number(p["n"])))
@@ -505,10 +543,8 @@ def validate(df: DataFrame, explanation: str = "explanation", evidence_column: s
     Adds ``schema_valid``, ``grounded`` (null when the schema failed) and ``errors``.
     """
     e = F.col(evidence_column)
-    out = df.withColumn("__v", F.try_parse_json(explanation))
-    out = out.withColumn("__schema", schema_errors(F.col("__v")))
-    out = out.withColumn("schema_valid", F.size("__schema") == 0)
-    out = out.withColumn("__x", F.when(F.col("schema_valid"), parsed_explanation(F.col("__v"))))
+    out = with_schema_check(df, explanation)
+    out = out.withColumn("schema_valid", F.size("schema_errors") == 0)
     out = out.withColumns({"__text": narrative(F.col("__x")), "__numbers": evidence_numbers(e)})
     x, text, numbers = F.col("__x"), F.col("__text"), F.col("__numbers")
     grounding = F.concat(
@@ -518,9 +554,9 @@ def validate(df: DataFrame, explanation: str = "explanation", evidence_column: s
         claim_errors(numbers, text),
         cause_errors(x, numbers),
     )
-    out = out.withColumn("errors", F.when(F.col("schema_valid"), grounding).otherwise(F.col("__schema")))
+    out = out.withColumn("errors", F.when(F.col("schema_valid"), grounding).otherwise(F.col("schema_errors")))
     out = out.withColumn("grounded", F.when(F.col("schema_valid"), F.size("errors") == 0))
-    return out.drop("__v", "__schema", "__x", "__text", "__numbers")
+    return out.drop("schema_errors", "__x", "__text", "__numbers")
 
 
 def explanation_log(validated: DataFrame) -> DataFrame:
@@ -553,7 +589,3 @@ def batch_metrics(validated: DataFrame, latency: str | None = None) -> DataFrame
     from steadycast.operators.profiles import with_quantiles
 
     return with_quantiles(stats, validated, latency, {"median_latency_seconds": 0.5})
-
-
-def micros(df: DataFrame) -> Column:
-    return epoch_micros(F.col("timestamp"))

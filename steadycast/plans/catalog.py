@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from steadycast.plans import metric_queries, quality_queries, session_queries  # noqa: F401
+from steadycast.plans import (  # noqa: F401
+    explain_queries,
+    metric_queries,
+    quality_queries,
+    session_queries,
+)
 from steadycast.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

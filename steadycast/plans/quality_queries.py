@@ -656,6 +656,11 @@ EVIDENCE_DOUBLES = [
 ]
 
 
+def four(column: str) -> str:
+    """SQL: rounded to four places, half up on the shortest text of the double."""
+    return f"CAST(round(CAST(CAST({column} AS VARCHAR) AS DECIMAL(38, 20)), 4) AS DOUBLE)"
+
+
 @query(
     "evidence_projection",
     over(
@@ -663,8 +668,7 @@ EVIDENCE_DOUBLES = [
              WHEN predicted_poor_qoe = 1 THEN 'future_poor_qoe' ELSE 'future_acceptable_qoe' END AS prediction,
              trust_level, bitrate_kbps, """
         + ", ".join(
-            f"CAST(round(CAST({'calibrated_probability' if n == 'prediction_probability' else n} "
-            f"AS DECIMAL(28, 12)), 4) AS DOUBLE) AS {n}"
+            four("calibrated_probability" if n == "prediction_probability" else n) + f" AS {n}"
             for n in EVIDENCE_DOUBLES
         )
         + " FROM scored"

@@ -38,7 +38,7 @@ def normal(frame: pd.DataFrame) -> pd.DataFrame:
         elif pd.api.types.is_numeric_dtype(s):
             frame[c] = s.astype(float)
         else:
-            frame[c] = s.map(lambda v: "<null>" if v is None or v is pd.NaT or (isinstance(v, float) and np.isnan(v)) else str(v))
+            frame[c] = s.map(lambda v: "<null>" if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and np.isnan(v)) else str(v))
     return frame.sort_values(list(frame.columns), kind="stable").reset_index(drop=True)
 
 
