@@ -7,6 +7,7 @@ from steadycast.plans import (  # noqa: F401
     metric_queries,
     quality_queries,
     session_queries,
+    stream_queries,
 )
 from steadycast.plans.registry import ORACLES, QUERIES
 
