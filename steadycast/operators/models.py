@@ -136,7 +136,7 @@ def forest_stages(
             predictionCol="__d", rawPredictionCol="__m", probabilityCol="__p",
             numTrees=params.trees, maxDepth=params.depth, minInstancesPerNode=params.leaf,
             subsamplingRate=params.sample_share, featureSubsetStrategy="sqrt",
-            maxBins=params.max_bins, seed=params.seed,
+            maxBins=params.max_bins, seed=params.seed, maxMemoryInMB=params.memory_mb,
         ),
     ]
 

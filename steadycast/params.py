@@ -77,6 +77,7 @@ class ModelParams:
     sample_share: float = 0.5
     seed: int = 42
     max_bins: int = 64
+    memory_mb: int = 1024
     fit_partitions: int = 64
 
 

@@ -153,7 +153,8 @@ def prompt_records(spark, sf_dir):
 
 
 _VERDICT = """SELECT session_id, epoch_us(timestamp) AS ts_us, schema_valid,
-    CASE WHEN schema_valid THEN error IS NULL END AS grounded, coalesce(error, '') AS errors FROM verdicts"""
+    CASE WHEN NOT schema_valid THEN 'not checked' WHEN error IS NULL THEN 'grounded' ELSE 'not grounded' END AS grounding,
+    coalesce(error, '') AS errors FROM verdicts"""
 
 
 def checked(spark, sf_dir):
@@ -163,8 +164,10 @@ def checked(spark, sf_dir):
 @query("explanation_verdicts", over(_VERDICT, **CASES))
 def explanation_verdicts(spark, sf_dir):
     """Schema and grounding verdict with all messages for every case."""
+    grounding = F.when(~F.col("schema_valid"), "not checked").when(F.col("grounded"), "grounded")
     return checked(spark, sf_dir).select(
-        "session_id", ts_us(), "schema_valid", "grounded", F.array_join("errors", "; ").alias("errors")
+        "session_id", ts_us(), "schema_valid", grounding.otherwise("not grounded").alias("grounding"),
+        F.array_join("errors", "; ").alias("errors"),
     )
 
 
@@ -381,7 +384,7 @@ def views_orders(spark, sf_dir):
 @query(
     "binary_judgements",
     """SELECT l_returnflag, l_linestatus, CASE WHEN lower(trim(v)) IN ('1', 'true') THEN 1
-         WHEN lower(trim(v)) IN ('0', 'false') THEN 0 END AS judgement, count(*) AS rows
+         WHEN lower(trim(v)) IN ('0', 'false') THEN 0 END::DOUBLE AS judgement, count(*) AS rows
        FROM (SELECT *, CASE l_returnflag WHEN 'A' THEN ' True' WHEN 'N' THEN '0' ELSE 'yes' END AS v FROM lineitem)
        GROUP BY ALL""",
 )
@@ -391,7 +394,7 @@ def binary_judgements(spark, sf_dir):
 
     flag = F.col("l_returnflag")
     word = F.when(flag == "A", " True").when(flag == "N", "0").otherwise("yes")
-    df = table(spark, sf_dir, "lineitem").withColumn("judgement", reviews.binary(word))
+    df = table(spark, sf_dir, "lineitem").withColumn("judgement", reviews.binary(word).cast("double"))
     return df.groupBy("l_returnflag", "l_linestatus", "judgement").agg(F.count(F.lit(1)).alias("rows"))
 
 

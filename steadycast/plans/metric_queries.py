@@ -472,13 +472,13 @@ def metrics_by_dimension(spark, sf_dir):
     over(
         "SELECT * FROM m",
         **metrics_sql(
-            f"SELECT CASE WHEN prb <> 5 THEN prb END AS prb_group, {SRC}", ["prb_group"]
+            f"SELECT CASE WHEN prb <> 5 THEN prb::DOUBLE END AS prb_group, {SRC}", ["prb_group"]
         ),
     ),
 )
 def metrics_by_nullable_group(spark, sf_dir):
     """A null group keeps its own metrics row."""
-    df = scored(spark, sf_dir).withColumn("prb_group", F.when(F.col("prb") != 5, F.col("prb")))
+    df = scored(spark, sf_dir).withColumn("prb_group", F.when(F.col("prb") != 5, F.col("prb").cast("double")))
     return rounded(metrics.binary_metrics(df, TARGET, DECISION, P, ["prb_group"]))
 
 

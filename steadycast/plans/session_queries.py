@@ -110,16 +110,16 @@ def session_ids(spark, sf_dir):
     "future_target",
     over(
         f"""SELECT event_id, bitrate_kbps, {sql6('future_mos')},
-            epoch_us(future_timestamp) AS future_us, prediction_lead_seconds,
-            CAST(future_poor_qoe AS INT) AS future_poor_qoe FROM lab"""
+            CAST(epoch_us(future_timestamp) AS DOUBLE) AS future_us, prediction_lead_seconds,
+            CAST(future_poor_qoe AS DOUBLE) AS future_poor_qoe FROM lab"""
     ),
 )
 def future_target(spark, sf_dir):
     """Next row in the session: score, time, lead and label."""
     df = views.labelled(spark, sf_dir).frame
     return df.select(
-        *KEY, *r6("future_mos"), epoch_micros(F.col("future_timestamp")).alias("future_us"),
-        "prediction_lead_seconds", F.col("future_poor_qoe").cast("int").alias("future_poor_qoe"),
+        *KEY, *r6("future_mos"), epoch_micros(F.col("future_timestamp")).cast("double").alias("future_us"),
+        "prediction_lead_seconds", F.col("future_poor_qoe").cast("double").alias("future_poor_qoe"),
     )
 
 
