@@ -14,6 +14,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from steadycast.session import shared_dir, surely_small
+
 ROWS_PER_RANGE = 2_000_000
 MAX_RANGES = 1024
 RANGE = "__range"
@@ -58,7 +60,13 @@ def running_totals(
     """
     groups = list(groups)
     if points is None:
-        points = split_points(counts, value, rows_per_range)
+        if surely_small(counts, rows_per_range):
+            points = []
+        else:
+            # Read three times below: compute it once, in the shared folder.
+            shared_dir(counts.sparkSession)
+            counts = counts.checkpoint()
+            points = split_points(counts, value, rows_per_range)
     ranged = with_range(counts, value, points)
     direction = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
     inside = Window.partitionBy(*groups, RANGE).orderBy(direction(value))

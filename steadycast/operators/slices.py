@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from steadycast.session import shared_dir
+from steadycast.session import shared_dir, surely_small
 
 HOT_ROWS = 5_000_000
 MAX_HOT_KEYS = 200_000
@@ -34,7 +34,9 @@ class HotKeys:
 
 
 def find_hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> HotKeys | None:
-    """Keys with more than ``hot_rows`` rows, or None. One combined count job."""
+    """Keys with more than ``hot_rows`` rows, or None. One combined count job at most."""
+    if surely_small(df, hot_rows):
+        return None
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot_rows)
     if counts.isEmpty():
         return None

@@ -60,8 +60,13 @@ def physical(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per physical observation and bitrate."""
+def observations(spark: SparkSession, sf_dir: str, by_user: bool = False) -> DataFrame:
+    """One row per physical observation and bitrate.
+
+    ``by_user`` shuffles the physical rows by station, setting and user before they are
+    unpivoted. Later windows by trajectory reuse that placement, so a quarter of the rows
+    crosses the network.
+    """
     cells = F.array(
         *[
             F.struct(F.lit(b).cast("long").alias("bitrate_kbps"), F.lit(r).alias("resolution"))
@@ -69,7 +74,10 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
         ]
     )
     served = F.least(F.lit(1.0), F.col("throughput_mbps") / (F.col("bitrate_kbps") / 1000))
-    long = physical(spark, sf_dir).select("*", F.inline(cells))
+    rows = physical(spark, sf_dir)
+    if by_user:
+        rows = rows.repartition("base_station", "prb", "user_id")
+    long = rows.select("*", F.inline(cells))
     return long.withColumns(
         {"current_mos": 1 + 4 * served, "plr_percent": 100 * (1 - served)}
     )
@@ -91,8 +99,8 @@ class Telemetry:
 
 
 def telemetry(spark: SparkSession, sf_dir: str) -> Telemetry:
-    frame = observations(spark, sf_dir)
-    return Telemetry(frame, hot_trajectories(frame))
+    hot = hot_trajectories(observations(spark, sf_dir))
+    return Telemetry(observations(spark, sf_dir, by_user=True), hot)
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> Telemetry:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "*", memory: str = "8g", partitions: int = 8) -> SparkSession:
@@ -43,3 +43,16 @@ def shared_dir(spark: SparkSession) -> str:
 def run_dir(spark: SparkSession, purpose: str) -> str:
     """A new path below the shared folder for one run."""
     return f"{shared_dir(spark)}/{purpose}-{uuid.uuid4().hex}"
+
+
+def surely_small(df: DataFrame, rows: int) -> bool:
+    """True when the planner's size estimate is below eight bytes for each of ``rows`` rows.
+
+    The estimate comes from file sizes, so it costs no job. It only decides whether a
+    count is worth running: a wrong answer changes the speed of a query, not its result.
+    """
+    try:
+        stats = df._jdf.queryExecution().optimizedPlan().stats()
+        return int(str(stats.sizeInBytes())) <= 8 * rows
+    except AttributeError:  # no JVM plan at hand
+        return False
