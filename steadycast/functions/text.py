@@ -64,6 +64,9 @@ ANY_CASE = "(?iU)"
 NUMBER_TOKEN = rf"(?U)(?<![\w.])({NUMBER})(?!\w)"
 NUMBER_UNIT = rf"{ANY_CASE}(?<![\w.])({NUMBER})(?![\w.])\s*({UNIT})(?!\w)"
 
+# The number and the optional unit that end a match of either pattern.
+LAST_NUMBER = rf"{ANY_CASE}({NUMBER})(?:\s*({UNIT}))?$"
+
 
 def claim_pattern(field: str) -> str:
     """'<field> is <number> <unit>': group 1 the number, group 2 the unit or nothing."""
@@ -76,9 +79,32 @@ def all_matches(text: Column, pattern: str, group: int) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
+# The characters with the Unicode White_Space property.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def trimmed(text: Column) -> Column:
     """Without leading and trailing white space of any kind."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
+
+
+# Words a text must hold, in upper case, before a field pattern can match it.
+FIELD_WORDS = {
+    "current_mos": ("MOS",),
+    "throughput_mbps": ("THROUGHPUT",),
+    "bitrate_kbps": ("BITRATE",),
+    "capacity_margin_mbps": ("CAPACITY",),
+    "throughput_to_bitrate_ratio": ("THROUGHPUT",),
+    "plr_percent": ("LOSS", "PLR"),
+}
+
+
+def holds(upper_text: Column, words: Sequence[str]) -> Column:
+    """True when the upper-cased text holds one of the words; far cheaper than a pattern."""
+    return reduce(lambda a, b: a | b, [upper_text.contains(w) for w in words])
 
 
 def exact_number(text: Column) -> Column:

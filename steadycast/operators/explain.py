@@ -405,7 +405,10 @@ def decision_errors(x: Column, e: Column, text: Column) -> Column:
     decision, level = e["prediction"], e["trust_level"]
     known = t.contains_any(decision, t.DECISIONS)
     levelled = t.contains_any(level, t.LEVELS)
-    polarity = F.regexp_replace(text, t.ANY_CASE + t.NEGATED_FORECAST, "")
+    upper = F.upper(text)
+    negated = t.holds(upper, ("NOT", "'T", "’T"))
+    polarity = F.when(negated, F.regexp_replace(text, t.ANY_CASE + t.NEGATED_FORECAST, "")).otherwise(text)
+    forecast = t.holds(upper, ("QOE", "DEGRADATION"))
     decided = decision != "abstain"
     checks = t.messages(
         t.message_if(
@@ -420,11 +423,11 @@ def decision_errors(x: Column, e: Column, text: Column) -> Column:
             t.quoted(x["confidence"]), " != ", t.quoted(level), ".",
         ),
         t.message_if(
-            (decision == "future_acceptable_qoe") & polarity.rlike(t.ANY_CASE + t.SAYS_POOR),
+            (decision == "future_acceptable_qoe") & forecast & polarity.rlike(t.ANY_CASE + t.SAYS_POOR),
             "Acceptable-QoE prediction is described as a degradation forecast.",
         ),
         t.message_if(
-            (decision == "future_poor_qoe") & polarity.rlike(t.ANY_CASE + t.SAYS_ACCEPTABLE),
+            (decision == "future_poor_qoe") & forecast & polarity.rlike(t.ANY_CASE + t.SAYS_ACCEPTABLE),
             "Poor-QoE prediction is described as acceptable QoE.",
         ),
         t.message_if(~decided & (x["confidence"] != "low"), "Abstention explanation confidence must be low."),
@@ -468,15 +471,23 @@ def _claim_check(pair: Column, field: str, expected: Column) -> Column:
 
 
 def _number_unit_pairs(text: Column, pattern: str) -> Column:
-    numbers, units = t.all_matches(text, pattern, 1), t.all_matches(text, pattern, 2)
-    return F.zip_with(numbers, units, lambda n, u: F.struct(n.alias("n"), u.alias("u")))
+    """Number and unit of every match: the text is searched once per pattern."""
+    whole = t.all_matches(text, pattern, 0)
+    return F.transform(
+        whole,
+        lambda m: F.struct(
+            F.regexp_extract(m, t.LAST_NUMBER, 1).alias("n"), F.regexp_extract(m, t.LAST_NUMBER, 2).alias("u")
+        ),
+    )
 
 
 def claim_errors(numbers: Column, text: Column) -> Column:
     """'<field> is <number> <unit>' must give the evidence value and an allowed unit."""
     found = []
     for field in t.FIELD_UNITS:
-        pairs = _number_unit_pairs(text, t.claim_pattern(field))
+        pairs = F.when(
+            t.holds(F.upper(text), t.FIELD_WORDS[field]), _number_unit_pairs(text, t.claim_pattern(field))
+        )
         found.append(t.flat(F.transform(pairs, lambda p: _claim_check(p, field, numbers[field]))))
     return t.joined(found)
 
@@ -499,7 +510,8 @@ def cause_errors(x: Column, numbers: Column) -> Column:
         mentions = t.messages(
             *[
                 t.message_if(
-                    statement.rlike(t.ANY_CASE + pattern) & ~F.array_contains(keys, field),
+                    t.holds(F.upper(statement), t.FIELD_WORDS[field])
+                    & statement.rlike(t.ANY_CASE + pattern) & ~F.array_contains(keys, field),
                     head, f" attributes a claim to {field} without citing it.",
                 )
                 for field, pattern in t.FIELD_MENTIONS.items()

@@ -14,7 +14,7 @@ from pyspark.ml.feature import (
     VectorAssembler,
 )
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from steadycast.operators.features import (
@@ -54,11 +54,9 @@ def most_frequent(df: DataFrame, column: str) -> DataFrame:
 def class_weights(df: DataFrame, target: str = TARGET) -> DataFrame:
     """Balanced weight n / (2 * n_class) per class."""
     per_class = df.groupBy(F.col(target).cast("int").alias("label")).agg(F.count(F.lit(1)).alias("rows"))
-    # Two rows.
-    total = per_class.agg(F.sum("rows").alias("total"))
-    return per_class.join(total, F.col("rows") <= F.col("total")).select(
-        "label", "rows", (F.col("total") / (2 * F.col("rows"))).alias("weight")
-    )
+    # A window over two rows.
+    total = F.sum("rows").over(Window.partitionBy(F.lit(0)))
+    return per_class.select("label", "rows", (total / (2 * F.col("rows"))).alias("weight"))
 
 
 def with_weights(df: DataFrame, target: str = TARGET) -> tuple[DataFrame, int]:
@@ -75,8 +73,10 @@ def with_weights(df: DataFrame, target: str = TARGET) -> tuple[DataFrame, int]:
 def laid_out(df: DataFrame, partitions: int, keys: Sequence[str] = ROW_KEY) -> DataFrame:
     """Fixed layout before fitting: histograms and bootstraps depend on row placement.
 
-    Keys are unique per row, so partitions are even.
+    Keys are unique per row, so partitions are even. Zero partitions means the session's
+    number of shuffle partitions.
     """
+    partitions = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(partitions, *keys).sortWithinPartitions(*keys)
 
 

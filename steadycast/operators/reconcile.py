@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from steadycast.operators.metrics import assert_empty
+from steadycast.session import broadcast_when_small
 
 
 def key_differences(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -90,9 +91,8 @@ def scenario_comparison(
     close cells over matched rows is given.
     """
     values = [*same, *[c for cs in groups.values() for c in cs]]
-    # One row per station.
     ends = df.groupBy(station).agg(F.min(setting).alias("lowest"), F.max(setting).alias("highest"))
-    marked = df.join(ends, station).where(
+    marked = df.join(broadcast_when_small(ends), station).where(
         (F.col(setting) == F.col("lowest")) | (F.col(setting) == F.col("highest"))
     )
     # Both rows of a key meet in one combined aggregation instead of a self-join.

@@ -78,7 +78,7 @@ class ModelParams:
     seed: int = 42
     max_bins: int = 64
     memory_mb: int = 1024
-    fit_partitions: int = 64
+    fit_partitions: int = 0
 
 
 def unit_interval(value: float, name: str, *, open_ends: bool = False) -> float:

@@ -100,7 +100,8 @@ class Telemetry:
 
 def telemetry(spark: SparkSession, sf_dir: str) -> Telemetry:
     hot = hot_trajectories(observations(spark, sf_dir))
-    return Telemetry(observations(spark, sf_dir, by_user=True), hot)
+    # A hot trajectory must not be gathered before it is cut into slices.
+    return Telemetry(observations(spark, sf_dir, by_user=hot is None), hot)
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> Telemetry:

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: str = "*", memory: str = "8g", partitions: int = 8) -> SparkSession:
@@ -45,6 +46,13 @@ def run_dir(spark: SparkSession, purpose: str) -> str:
     return f"{shared_dir(spark)}/{purpose}-{uuid.uuid4().hex}"
 
 
+def broadcast_when_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
+    """Store a lookup table and mark it for broadcast only if its counted rows are few."""
+    shared_dir(df.sparkSession)
+    stored = df.checkpoint()
+    return F.broadcast(stored) if stored.count() <= max_rows else stored
+
+
 def surely_small(df: DataFrame, rows: int) -> bool:
     """True when the planner's size estimate is below eight bytes for each of ``rows`` rows.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,11 +38,13 @@ def document(spark: SparkSession, fields: dict[str, object], **tables: DataFrame
 
     For small report tables only; each must have at most a few rows per group.
     """
-    out = spark.range(1).select(*[_literal(v).alias(k) for k, v in fields.items()])
+    parts = [spark.range(1).select(*[_literal(v).alias(k) for k, v in fields.items()])]
     for name, table in tables.items():
-        rows = table.agg(F.sort_array(F.collect_list(F.struct(*sorted(table.columns)))).alias(name))
-        out = out.join(rows, F.lit(True))
-    return out
+        rows = F.collect_list(F.struct(*sorted(table.columns)))
+        parts.append(table.agg(F.sort_array(rows).alias(name)))
+    # Single rows with one column set each, put side by side.
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return stacked.agg(*[F.first(c, ignorenulls=True).alias(c) for c in stacked.columns])
 
 
 def _literal(value: object) -> Column:
