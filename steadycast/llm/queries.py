@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from steadycast.llm import chat, common, packing
+from steadycast.llm import chat, common, packing, phrases
 
 QUERIES, ORACLES = {}, {}
 
@@ -69,3 +69,9 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document, and its place in a sequence of at most 2048 tokens."""
     return packing.pack(common.documents(spark, sf_dir))
+
+
+@query("op4_phrase_fingerprint")
+def op4_phrase_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every document and its edited text, and likeness to that and to the next one."""
+    return phrases.neighbours(common.documents(spark, sf_dir))
