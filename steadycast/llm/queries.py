@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from steadycast.llm import chat, common, packing, phrases
+from steadycast.llm import chat, common, langid, packing, phrases
 
 QUERIES, ORACLES = {}, {}
 
@@ -75,3 +75,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_phrase_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint of every document and its edited text, and likeness to that and to the next one."""
     return phrases.neighbours(common.documents(spark, sf_dir))
+
+
+@query("op5_language_id")
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; rows with remainder 2 teach nothing."""
+    docs = common.documents(spark, sf_dir)
+    out = langid.identify(docs, common.crc_mod(F.col("doc_id"), 4), learn=(0, 1), calibrate=(3,))
+    return out.withColumn("held_out", F.col("fold") == 2).drop("fold")
