@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from steadycast.llm import chat, common, langid, packing, phrases
+from steadycast.llm import chat, common, langid, packing, phrases, rules
 
 QUERIES, ORACLES = {}, {}
 
@@ -83,3 +83,9 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir)
     out = langid.identify(docs, common.crc_mod(F.col("doc_id"), 4), learn=(0, 1), calibrate=(3,))
     return out.withColumn("held_out", F.col("fold") == 2).drop("fold")
+
+
+@query("op9_quality_rules")
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, base rules and the verdict of the perplexity bands for every document."""
+    return rules.judge(common.documents(spark, sf_dir))
