@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from steadycast.llm import chat, common, langid, packing, phrases, rules
+from steadycast.llm import chat, common, langid, packing, phrases, quality, rules, toxicity
 
 QUERIES, ORACLES = {}, {}
 
@@ -89,3 +89,32 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base rules and the verdict of the perplexity bands for every document."""
     return rules.judge(common.documents(spark, sf_dir))
+
+
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels that may teach: the remainder of the id's checksum by 5 is not 0."""
+    rows = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return rows.where(common.crc_mod(F.col("doc_id"), 5) != 0)
+
+
+def _judged(scored: DataFrame, threshold: float) -> DataFrame:
+    return scored.withColumns(
+        {
+            "held_out": common.crc_mod(F.col("doc_id"), 5) == 0,
+            "predicted": (F.col("score") >= threshold).cast("int"),
+        }
+    )
+
+
+@query("op6_quality_classifier")
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned from positives and unlabelled text."""
+    docs = common.documents(spark, sf_dir)
+    return _judged(quality.score(docs, quality.learn(docs, labels(spark, sf_dir))), 0.3)
+
+
+@query("op8_toxicity")
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, and its offending sentences."""
+    docs = common.documents(spark, sf_dir)
+    return _judged(toxicity.score(docs, toxicity.learn(docs, labels(spark, sf_dir))), 0.5)
