@@ -39,8 +39,8 @@ def _sentences(text: str) -> list[list[str]]:
 
 
 def signs(word: str) -> list[int]:
-    """Hashes of a word and of its beginnings, which inflected forms share."""
-    forms = [word, *(f"{word[:n]}~" for n in (4, 5, 6) if len(word) > n)]
+    """Hashes of a word and of its beginnings, which inflected forms share: four for any word."""
+    forms = [word, *(f"{word[:n]}~" for n in (4, 5, 6))]
     return [zlib.crc32(f.encode("utf-8", "surrogatepass")) for f in forms]
 
 
@@ -62,34 +62,32 @@ def _instances(rows: DataFrame) -> DataFrame:
 
 
 def fit(
-    doc: np.ndarray, sentence: np.ndarray, word: np.ndarray, toxic: np.ndarray,
-    steps: int = 400, rate: float = 0.2, lasso_docs: float = 0.03, start: float = 3.0,
+    doc: np.ndarray, sentence: np.ndarray, word: np.ndarray, toxic: np.ndarray, prior: np.ndarray,
+    steps: int = 300, rate: float = 0.1, pull: float = 0.05,
 ) -> tuple[np.ndarray, float]:
     """Weights and bias of the sentence score, from document labels.
 
     ``word`` lies in ``sentence``; ``doc`` gives the document of each sentence. With the
-    sentence score s = sigmoid(z), one minus the noisy-or is exp(-sum softplus(z)).
+    sentence score s = sigmoid(z), one minus the noisy-or is exp(-sum softplus(z)). The weights
+    start at ``prior`` and are drawn to it: from zero, a sentence among many hardly moves, and a
+    sign that never is the only one in its document would learn nothing.
     """
     n_sentences, n_docs = len(doc), len(toxic)
-    size = word.max() + 1 if len(word) else 1
-    # All signs start as evidence: from zero, a sentence among many hardly moves.
-    w = np.full(size, start)
+    size, w = len(prior), prior.copy()
     share = min(max(toxic.mean(), 1e-3), 1 - 1e-3)
     b = float(np.log(np.expm1(-np.log1p(-share) * n_docs / max(n_sentences, 1))))
-    m, v, lasso = np.zeros(size + 1), np.zeros(size + 1), lasso_docs / n_docs
+    m, v = np.zeros(size + 1), np.zeros(size + 1)
     for step in range(1, steps + 1):
         z = b + np.bincount(sentence, w[word], n_sentences) if len(word) else np.full(n_sentences, b)
         z = np.clip(z, -30, 30)
         total = np.bincount(doc, np.logaddexp(0, z), n_docs)
         per_doc = np.where(toxic == 1, -1 / np.expm1(np.maximum(total, 1e-9)), 1.0) / n_docs
         gz = per_doc[doc] / (1 + np.exp(-z))
-        g = np.append(np.bincount(word, gz[sentence], size), gz.sum())
+        g = np.append(np.bincount(word, gz[sentence], size) + pull / n_docs * (w - prior), gz.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         root = np.sqrt(v / (1 - 0.999**step)) + 1e-6
         move = rate * (m / (1 - 0.9**step)) / root
-        # Soft threshold in the same scale as the step: words without evidence stay at zero.
         w = w - move[:-1]
-        w = np.sign(w) * np.maximum(np.abs(w) - rate * lasso / root[:-1], 0)
         b -= float(move[-1])
     return w, b
 
@@ -123,7 +121,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 15_000, least_docs:
     frequent = (n >= least_docs) & (bad - n * share >= least_z * np.sqrt(n * share * (1 - share)))
     use = frequent[word]
     codes = np.cumsum(frequent) - 1
-    w, bias = fit(doc, sentence[use], codes[word[use]], toxic)
+    # Half the log-odds: a word has four signs, and two that tell should be enough.
+    prior = 0.5 * np.log((bad + 0.5) / (n - bad + 0.5))[frequent]
+    w, bias = fit(doc, sentence[use], codes[word[use]], toxic, prior)
     telling = np.flatnonzero(np.abs(w) > 1e-3)
     return Model(dict(zip(kinds[frequent][telling].tolist(), w[telling].tolist())), bias)
 
