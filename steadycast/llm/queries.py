@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from steadycast.llm import chat, common, langid, packing, phrases, quality, rules, toxicity
+from steadycast.llm import chat, common, langid, near_dup, packing, phrases, quality, rules, toxicity
 
 QUERIES, ORACLES = {}, {}
 
@@ -118,3 +118,9 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document, and its offending sentences."""
     docs = common.documents(spark, sf_dir)
     return _judged(toxicity.score(docs, toxicity.learn(docs, labels(spark, sf_dir))), 0.5)
+
+
+@query("op2_minhash_near_dedup")
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document under links of 0.8 between sets of four-word shingles."""
+    return near_dup.group(common.documents(spark, sf_dir), size=4)
