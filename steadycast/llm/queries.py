@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from steadycast.llm import chat, common, langid, near_dup, packing, phrases, quality, rules, toxicity
+from steadycast.llm import chat, common, langid, near_dup, packing, phrases, quality, rules, suffixes, toxicity
 
 QUERIES, ORACLES = {}, {}
 
@@ -124,3 +124,9 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of every document under links of 0.8 between sets of four-word shingles."""
     return near_dup.group(common.documents(spark, sf_dir), size=4)
+
+
+@query("op7_suffix_array_dedup")
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document when repeated strings of 100 bytes are removed."""
+    return suffixes.remove(common.documents(spark, sf_dir))
