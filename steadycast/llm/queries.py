@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from steadycast.llm import chat, common, langid, near_dup, packing, phrases, quality, rules, suffixes, toxicity
+from steadycast.llm import chat, common, langid, mixing, near_dup, packing, phrases, quality, rules, suffixes, toxicity
 
 QUERIES, ORACLES = {}, {}
 
@@ -130,3 +130,66 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document when repeated strings of 100 bytes are removed."""
     return suffixes.remove(common.documents(spark, sf_dir))
+
+
+MIX_WEIGHTS = {"domain": {"domain0": 2, "domain1": 3}, "lang": {"en": 3, "de": 2, "fr": 2, "es": 1}}
+MIX_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '(none)') AS source, coalesce(lang, '(none)') AS lang,
+    CASE WHEN regexp_extract(coalesce(source, ''), '(\d+)$', 1) = '' THEN '(none)'
+      ELSE 'domain' || CAST(CAST(right(source, 1) AS INT) % 2 AS VARCHAR) END AS domain,
+    CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS tokens
+  FROM documents
+), leaf AS (
+  SELECT domain, lang, source, sum(tokens) AS supply, 2 * sum(tokens) AS holds FROM d GROUP BY ALL
+), d0 AS (
+  SELECT domain, CAST(sum(holds) AS BIGINT) AS holds, CASE domain WHEN 'domain0' THEN 2.0 WHEN 'domain1' THEN 3.0 ELSE 1.0 END::DOUBLE AS w,
+    (SELECT floor(sum(supply) * 9 / 10)::BIGINT FROM leaf) AS given FROM leaf GROUP BY domain
+), d1 AS (
+  SELECT *, coalesce(sum(holds) OVER (ORDER BY holds / w, domain ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS taken,
+    sum(w) OVER (ORDER BY holds / w, domain ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS wl FROM d0
+), d2 AS (SELECT *, holds * wl <= w * (given - taken) AS isfull FROM d1
+), d3 AS (
+  SELECT domain, CAST(CASE WHEN isfull THEN holds ELSE greatest(floor((given - coalesce(sum(holds) FILTER (WHERE isfull) OVER (), 0)) * w
+    / sum(w) OVER (PARTITION BY isfull)), 0) END AS BIGINT) AS budget FROM d2
+), l0 AS (
+  SELECT domain, lang, CAST(sum(holds) AS BIGINT) AS holds, any_value(budget) AS given,
+    CASE lang WHEN 'en' THEN 3.0 WHEN 'de' THEN 2.0 WHEN 'fr' THEN 2.0 ELSE 1.0 END::DOUBLE AS w
+  FROM leaf JOIN d3 USING (domain) GROUP BY domain, lang
+), l1 AS (
+  SELECT *, coalesce(sum(holds) OVER (PARTITION BY domain ORDER BY holds / w, lang ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS taken,
+    sum(w) OVER (PARTITION BY domain ORDER BY holds / w, lang ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS wl FROM l0
+), l2 AS (SELECT *, holds * wl <= w * (given - taken) AS isfull FROM l1
+), l3 AS (
+  SELECT domain, lang, CAST(CASE WHEN isfull THEN holds ELSE greatest(floor((given - coalesce(sum(holds) FILTER (WHERE isfull) OVER (PARTITION BY domain), 0)) * w
+    / sum(w) OVER (PARTITION BY domain, isfull)), 0) END AS BIGINT) AS budget FROM l2
+), s0 AS (
+  SELECT domain, lang, source, supply, CAST(holds AS BIGINT) AS holds, budget AS given, 1.0::DOUBLE AS w FROM leaf JOIN l3 USING (domain, lang)
+), s1 AS (
+  SELECT *, coalesce(sum(holds) OVER (PARTITION BY domain, lang ORDER BY holds / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS taken,
+    sum(w) OVER (PARTITION BY domain, lang ORDER BY holds / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS wl FROM s0
+), s2 AS (SELECT *, holds * wl <= w * (given - taken) AS isfull FROM s1
+), s3 AS (
+  SELECT domain, lang, source, supply, CAST(CASE WHEN isfull THEN holds ELSE greatest(floor((given - coalesce(sum(holds) FILTER (WHERE isfull) OVER (PARTITION BY domain, lang), 0)) * w
+    / sum(w) OVER (PARTITION BY domain, lang, isfull)), 0) END AS BIGINT) AS budget FROM s2
+), s4 AS (
+  SELECT *, CAST(CASE WHEN supply > 0 THEN floor(budget / supply) ELSE 1 END AS BIGINT) AS whole FROM s3
+), t AS (
+  SELECT d.*, whole, budget - whole * supply AS rest,
+    md5('7:' || whole || ':' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS ticket FROM d JOIN s4 USING (domain, lang, source)
+), u AS (
+  SELECT *, sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY ticket) AS upto FROM t
+), c AS (
+  SELECT *, sum(tokens) OVER (PARTITION BY domain, lang, source, substr(ticket, 1, 3)) AS n,
+    max(upto) OVER (PARTITION BY domain, lang, source, substr(ticket, 1, 3)) AS class_end FROM u
+)
+SELECT doc_id, domain, lang, source, tokens,
+  CAST(whole + CASE WHEN class_end <= rest OR (class_end - n < rest AND upto <= rest) THEN 1 ELSE 0 END AS BIGINT) AS copies
+FROM c
+"""
+
+
+@query("op3_mixing", MIX_SQL)
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document is taken for a budget of nine tenths of all tokens, two epochs at most."""
+    return mixing.mix(common.documents(spark, sf_dir), epochs=2, weights=MIX_WEIGHTS)

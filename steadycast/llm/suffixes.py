@@ -321,17 +321,15 @@ def _cut(data: bytes, ranges: list[dict] | None, copy: bool) -> tuple[bytes, int
     return b"".join(kept), removed, runs
 
 
-def _with_ranges(docs: DataFrame) -> DataFrame:
-    """Every row with ``text`` and its other columns in place, its ranges, and whether it copies
-    an earlier text."""
-    keyed = _keyed(docs)
-    own = F.coalesce(F.col("text"), F.lit(""))
-    firsts = keyed.groupBy(F.sha2(own, 256).alias("sha")).agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1")
-    copies = keyed.select("doc_id", F.sha2(own, 256).alias("sha")).join(firsts, "sha").where("doc_id > least")
-    copies = copies.select("doc_id", "sha").distinct().withColumn("copy", F.lit(True))
-    notes = repeated(keyed).select("doc_id", F.struct("digest", "ranges").alias("r")).groupBy("doc_id").agg(F.collect_list("r").alias("found"))
-    both = notes.join(copies.groupBy("doc_id").agg(F.collect_set("sha").alias("copies")), "doc_id", "full_outer")
-    return keyed.join(both, "doc_id", "left").select("doc_id", "text", "found", "copies")
+def notes(docs: DataFrame) -> DataFrame:
+    """(doc_id, found, copies): ranges of repeated strings by digest, and digests of texts that
+    copy an earlier one. ``docs`` has doc_id without nulls, and text."""
+    sha = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("sha")
+    firsts = docs.groupBy(sha).agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1")
+    copies = docs.select("doc_id", sha).join(firsts, "sha").where("doc_id > least")
+    copies = copies.groupBy("doc_id").agg(F.collect_set("sha").alias("copies"))
+    ranges = repeated(docs).groupBy("doc_id").agg(F.collect_list(F.struct("digest", "ranges")).alias("found"))
+    return ranges.join(copies, "doc_id", "full_outer")
 
 
 def _left(text: str | None, found: list[dict] | None, copies: list[str] | None) -> tuple[bytes, bytes, int, int]:
@@ -360,4 +358,33 @@ def remove(docs: DataFrame) -> DataFrame:
             )
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return _with_ranges(docs).mapInArrow(run, schema)
+    keyed = _keyed(docs)
+    return keyed.join(notes(keyed), "doc_id", "left").select("doc_id", "text", "found", "copies").mapInArrow(run, schema)
+
+
+def clean(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, with only the bytes left in ``text``.
+
+    Where a cut leaves part of a character, the part goes too. ``n_chars``, if there, is counted
+    anew. A row whose text is cut to nothing is left out.
+    """
+    names = docs.columns
+    at, counted = names.index("text"), names.index("n_chars") if "n_chars" in names else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, stay = [], []
+            for text, found, copies in zip(batch.column(at).to_pylist(), *(batch.column(len(names) + k).to_pylist() for k in (0, 1))):
+                _, kept, removed, _ = _left(text, found, copies)
+                texts.append(kept.decode("utf-8", "ignore") if removed else text)
+                stay.append(not removed or bool(texts[-1].strip()))
+            columns = list(batch.columns[: len(names)])
+            columns[at] = pa.array(texts, pa.string())
+            if counted is not None:
+                size = pa.array([None if t is None else len(t) for t in texts], pa.int64())
+                columns[counted] = size.cast(batch.column(counted).type)
+            yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(stay, pa.bool_()))
+
+    keyed = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_ID)))
+    found = notes(_keyed(docs)).withColumnRenamed("doc_id", "_key")
+    return keyed.join(found, "_key", "left").select(*names, "found", "copies").mapInArrow(run, docs.schema)
