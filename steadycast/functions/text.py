@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-EXACT = "decimal(38,18)"
+EVIDENCE = "decimal(38,18)"
+# Digits of all scripts in the basic plane, and what they stand for.
+DIGITS = [c for c in map(chr, range(0x80, 0x10000)) if unicodedata.category(c) == "Nd"]
+ASCII_DIGITS = "".join(str(unicodedata.digit(c)) for c in DIGITS)
 
 # Decisions, levels, numbers and units.
 DECISIONS = ("future_poor_qoe", "future_acceptable_qoe", "abstain")
@@ -57,10 +61,12 @@ NEGATED_FORECAST = (
     r"(?:predict|forecast|expect)\s+(?:future\s+)?"
     r"(?:(?:poor|degraded|unacceptable|acceptable|good)\s+qoe|qoe\s+degradation)\b"
 )
+# Fixed value: words between a field and its number.
 CLAIM_VERB = r"(?:is|was|=|of|at|measured(?:\s+at)?|reported(?:\s+as)?)?"
 
 # Flags: ignore case, Unicode classes.
 ANY_CASE = "(?iU)"
+# Where a number, or a number with a unit, stands in a text.
 NUMBER_TOKEN = rf"(?U)(?<![\w.])({NUMBER})(?!\w)"
 NUMBER_UNIT = rf"{ANY_CASE}(?<![\w.])({NUMBER})(?![\w.])\s*({UNIT})(?!\w)"
 
@@ -108,8 +114,15 @@ def holds(upper_text: Column, words: Sequence[str]) -> Column:
 
 
 def exact_number(text: Column) -> Column:
-    """Text as a decimal, or null when it does not fit."""
-    return text.try_cast(EXACT)
+    """The canonical digits of a number: equal texts for equal values, at any length.
+
+    Digits of all scripts count; there are no leading zeros, no trailing zeros behind the point,
+    and no negative zero.
+    """
+    plain = F.translate(text, "".join(DIGITS), ASCII_DIGITS)
+    short = F.regexp_replace(plain, r"^(-?)0+(?=[0-9])", "$1")
+    short = F.when(short.contains("."), F.regexp_replace(short, r"[.]?0+$", "")).otherwise(short)
+    return F.when(short == "-0", "0").otherwise(short)
 
 
 def normal_unit(unit: Column) -> Column:

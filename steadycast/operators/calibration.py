@@ -21,8 +21,6 @@ from steadycast.operators.metrics import (
 )
 
 SIGMOID, ISOTONIC = "sigmoid", "isotonic"
-MAX_SCORES = 1_000_000
-SCORE_PLACES = 6
 
 
 @dataclass(frozen=True)
@@ -61,19 +59,14 @@ def fit_sigmoid(df: DataFrame, probability: str, target: str) -> Calibrator:
 def fit_isotonic(df: DataFrame, probability: str, target: str) -> Calibrator:
     """Pool-adjacent-violators fit on distinct scores weighted by their rows.
 
-    Spark gathers the pooled blocks on the driver. Distinct scores bound their number; when
-    there are more than ``MAX_SCORES``, scores are rounded to ``SCORE_PLACES`` first, so at
-    most ``MAX_SCORES + 1`` remain.
+    Equal scores are combined first. The fit pools inside ranges of scores on the executors and
+    then merges the blocks of all ranges on the driver, so blocks are gathered, not scores, and
+    no score is rounded at any size.
     """
-    def per_score(score):
-        return df.groupBy(score.cast("double").alias("score")).agg(
-            F.avg(F.col(target).cast("double")).alias("label"),
-            F.count(F.lit(1)).cast("double").alias("weight"),
-        )
-
-    table = per_score(F.col(probability))
-    if table.count() > MAX_SCORES:
-        table = per_score(F.round(F.col(probability), SCORE_PLACES))
+    table = df.groupBy(F.col(probability).cast("double").alias("score")).agg(
+        F.avg(F.col(target).cast("double")).alias("label"),
+        F.count(F.lit(1)).cast("double").alias("weight"),
+    )
     model = IsotonicRegression(
         featuresCol="score", labelCol="label", weightCol="weight", predictionCol="__calibrated"
     ).fit(table)

@@ -383,7 +383,7 @@ def narrative(x: Column) -> Column:
 def evidence_numbers(e: Column) -> Column:
     """Numeric evidence as a map of exact decimals, null values left out."""
     entries = F.array(
-        *[F.struct(F.lit(f).alias("key"), e[f].cast(t.EXACT).alias("value")) for f in NUMERIC_FIELDS]
+        *[F.struct(F.lit(f).alias("key"), t.exact_number(e[f].cast(t.EVIDENCE).cast("string")).alias("value")) for f in NUMERIC_FIELDS]
     )
     return F.map_from_entries(F.filter(entries, lambda p: p["value"].isNotNull()))
 

@@ -1,8 +1,12 @@
 """Exact order statistics and running totals over a whole table.
 
 ``Window.orderBy`` without a partition puts all rows into one task. Here equal values are
-combined first, distinct values are cut into ranges of about equal row counts, totals run
-inside a range, and the totals of the other ranges are added as an offset.
+combined first, distinct values are dealt out by ranges of about equal row counts, totals run
+inside a range, and the totals of the other ranges are added as an offset. The number of ranges
+follows the counted rows without a bound, and one path serves all sizes.
+
+Nulls are left out by the callers. NaN is a value: it is greater than all others, and all NaN
+are equal.
 """
 
 from __future__ import annotations
@@ -10,38 +14,25 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from steadycast.session import shared_dir, surely_small
+from steadycast.session import shared_dir
 
 ROWS_PER_RANGE = 2_000_000
-MAX_RANGES = 1024
 RANGE = "__range"
 
 
-def split_points(counts: DataFrame, value: str, rows_per_range: int = ROWS_PER_RANGE) -> list[float]:
-    """Cut points that spread the rows of ``counts`` over ranges; empty when few rows.
+def by_ranges(counts: DataFrame, value: str, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """``counts``, stored and dealt out by ranges of ``value``, with the number of the range.
 
-    A count and a mergeable quantile summary in one job: at most ``MAX_RANGES`` numbers
-    reach the driver.
+    The bounds come from a seeded sample of stored rows, so they are the same each time the
+    result is computed.
     """
-    rows = counts.count()
-    parts = min(MAX_RANGES, -(-rows // rows_per_range))
-    if parts <= 1:
-        return []
-    shares = [i / parts for i in range(1, parts)]
-    found = counts.stat.approxQuantile(value, shares, 0.25 / parts)
-    return sorted(set(found))
-
-
-def with_range(df: DataFrame, value: str, points: Sequence[float]) -> DataFrame:
-    """Add the range number of ``value``, found by binary search in the cut points."""
-    if not points:
-        return df.withColumn(RANGE, F.lit(0.0))
-    splits = [float("-inf"), *points, float("inf")]
-    return Bucketizer(splits=splits, inputCol=value, outputCol=RANGE).transform(df)
+    shared_dir(counts.sparkSession)
+    stored = counts.checkpoint()
+    parts = max(1, -(-stored.count() // rows_per_range))
+    return stored.repartitionByRange(parts, value).withColumn(RANGE, F.spark_partition_id())
 
 
 def running_totals(
@@ -51,7 +42,6 @@ def running_totals(
     groups: Sequence[str] = (),
     *,
     descending: bool = False,
-    points: Sequence[float] | None = None,
     rows_per_range: int = ROWS_PER_RANGE,
 ) -> DataFrame:
     """Add inclusive running totals ``cum_*`` and group totals ``tot_*``.
@@ -59,25 +49,12 @@ def running_totals(
     ``counts`` must hold one row per (group, value) and ``value`` must be a double.
     """
     groups = list(groups)
-    if points is None:
-        if surely_small(counts, rows_per_range):
-            points = []
-        else:
-            # Read three times below: compute it once, in the shared folder.
-            shared_dir(counts.sparkSession)
-            counts = counts.checkpoint()
-            points = split_points(counts, value, rows_per_range)
-    ranged = with_range(counts, value, points)
+    ranged = by_ranges(counts, value, rows_per_range)
     direction = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
     inside = Window.partitionBy(*groups, RANGE).orderBy(direction(value))
     inside = inside.rowsBetween(Window.unboundedPreceding, 0)
     local = ranged.withColumns({f"cum_{s}": F.sum(s).over(inside) for s in sums})
-    if not points:
-        # All rows of every group are in one range, and the row count was checked.
-        whole = Window.partitionBy(*groups, RANGE)
-        return local.withColumns({f"tot_{s}": F.sum(s).over(whole) for s in sums}).drop(RANGE)
-
-    # At most MAX_RANGES rows per group.
+    # A row for each range of a group: as many as ranges, not as values.
     totals = ranged.groupBy(*groups, RANGE).agg(*[F.sum(s).alias(s) for s in sums])
     across = Window.partitionBy(*groups).orderBy(direction(RANGE))
     across = across.rowsBetween(Window.unboundedPreceding, -1)

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from steadycast.operators.metrics import assert_empty
-from steadycast.session import broadcast_when_small
 
 
 def key_differences(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -28,15 +27,17 @@ def key_differences(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> D
 
 
 def join_one_to_one(left: DataFrame, right: DataFrame, keys: Sequence[str], check: bool = True) -> DataFrame:
-    """Inner join on keys that must occur exactly once on both sides."""
+    """Inner join on keys that must occur exactly once on both sides and hold no null."""
     if check:
+        for side in (left, right):
+            assert_empty(side.where(reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])), "null in a key")
         assert_empty(key_differences(left, right, keys), "keys do not match one to one")
     return left.join(right, list(keys), "inner")
 
 
 def not_selected(df: DataFrame, selected: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows whose key was not selected yet."""
-    return df.join(selected.select(*keys).distinct(), list(keys), "left_anti")
+    return df.join(selected.select(*keys), list(keys), "left_anti")
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -92,7 +93,7 @@ def scenario_comparison(
     """
     values = [*same, *[c for cs in groups.values() for c in cs]]
     ends = df.groupBy(station).agg(F.min(setting).alias("lowest"), F.max(setting).alias("highest"))
-    marked = df.join(broadcast_when_small(ends), station).where(
+    marked = df.join(ends, station).where(
         (F.col(setting) == F.col("lowest")) | (F.col(setting) == F.col("highest"))
     )
     # Both rows of a key meet in one combined aggregation instead of a self-join.
@@ -125,13 +126,31 @@ def scenario_comparison(
 
 
 def stored_versus_recomputed(stored: DataFrame, rebuilt: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Rows whose stored values differ from the recomputed ones, per column; one row."""
-    left = stored.select(*keys, *[F.col(c).alias(f"__s_{c}") for c in columns])
-    right = rebuilt.select(*keys, *columns)
-    return left.join(right, list(keys), "inner").agg(
-        F.count(F.lit(1)).alias("rows"),
+    """One row: keys on both sides, on one side only, repeated ones, and unequal values per column.
+
+    Both sides meet in one combined aggregation. A key that is repeated on a side is counted as
+    such and not compared.
+    """
+    def side(df: DataFrame, own: str, other: str) -> DataFrame:
+        return df.select(
+            *keys, F.lit(1).alias(own), F.lit(0).alias(other),
+            *[F.col(c).alias(f"{own}_{c}") for c in columns],
+        )
+
+    both = side(stored, "__s", "__r").unionByName(side(rebuilt, "__r", "__s"), allowMissingColumns=True)
+    per_key = both.groupBy(*keys).agg(
+        F.sum("__s").alias("s"), F.sum("__r").alias("r"),
+        *[F.max(f"__s_{c}").alias(f"s_{c}") for c in columns],
+        *[F.max(f"__r_{c}").alias(f"r_{c}") for c in columns],
+    )
+    once = (F.col("s") == 1) & (F.col("r") == 1)
+    return per_key.agg(
+        F.count_if(once).alias("rows"),
+        F.count_if(F.col("r") == 0).alias("stored_only"),
+        F.count_if(F.col("s") == 0).alias("rebuilt_only"),
+        F.count_if((F.col("s") > 1) | (F.col("r") > 1)).alias("repeated"),
         *[
-            F.count_if(~F.col(f"__s_{c}").eqNullSafe(F.col(c))).alias(f"{c}_mismatches")
+            F.count_if(once & ~F.col(f"s_{c}").eqNullSafe(F.col(f"r_{c}"))).alias(f"{c}_mismatches")
             for c in columns
         ],
     )

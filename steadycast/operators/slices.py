@@ -16,42 +16,34 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from steadycast.session import shared_dir, surely_small
+from steadycast.session import shared_dir
 
 HOT_ROWS = 5_000_000
-MAX_HOT_KEYS = 200_000
+BROADCAST_KEYS = 200_000
 SLICE, HALO = "__slice", "__halo"
 
 
 @dataclass(frozen=True)
 class HotKeys:
-    """Keys above the limit: a checkpointed table of at most ``MAX_HOT_KEYS`` rows."""
+    """Keys above the limit, as a stored table. ``keys`` of them hold ``rows`` rows."""
 
     frame: DataFrame
     columns: tuple[str, ...]
     rows: int
     limit: int
+    keys: int
+
+    def table(self) -> DataFrame:
+        """The keys for a join: broadcast if their counted number allows, else left to a shuffle."""
+        return F.broadcast(self.frame) if self.keys <= BROADCAST_KEYS else self.frame
 
 
 def find_hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> HotKeys | None:
     """Keys with more than ``hot_rows`` rows, or None. One combined count job at most."""
-    if surely_small(df, hot_rows):
-        return None
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot_rows)
-    if counts.isEmpty():
-        return None
     shared_dir(df.sparkSession)
-    counts = counts.checkpoint()
-    limit = hot_rows
-    while True:
-        kept = counts.where(F.col("__n") > limit)
-        size, rows = kept.agg(F.count(F.lit(1)), F.sum("__n")).first()
-        if size <= MAX_HOT_KEYS:
-            break
-        limit *= 2
-    if not size:
-        return None
-    return HotKeys(kept.select(*keys), tuple(keys), int(rows), limit)
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot_rows).checkpoint()
+    size, rows = counts.agg(F.count(F.lit(1)), F.sum("__n")).first()
+    return HotKeys(counts.select(*keys), tuple(keys), int(rows), hot_rows, int(size)) if size else None
 
 
 def _same(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> Column:
@@ -132,7 +124,7 @@ def ordered(
     keys, order = tuple(keys), tuple(order)
     if hot is None:
         return OrderedFrame(df, keys, order, False)
-    marked = F.broadcast(hot.frame)  # at most MAX_HOT_KEYS rows, counted above
+    marked = hot.table()
     cold = df.join(marked, _same(df, hot.frame, hot.columns), "left_anti")
     heavy = df.join(marked, _same(df, hot.frame, hot.columns), "left_semi")
     parts = max(2, -(-2 * hot.rows // hot.limit))

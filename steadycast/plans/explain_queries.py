@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from steadycast.functions.scalar import epoch_micros
 from steadycast.functions.text import number_text
+from steadycast.functions.text import exact_number
 from steadycast.operators import explain, reviews, sampling
 from steadycast.operators.explain import (
     PROMPT_CHECK,
@@ -404,10 +405,9 @@ def unsupported_numbers_in_documents(spark, sf_dir):
     from steadycast.plans.views import table
 
     d = table(spark, sf_dir, "documents")
-    exact = "decimal(38,18)"
     numbers = F.create_map(
-        F.lit("doc_id"), F.col("doc_id").cast("string").try_cast(exact),
-        F.lit("n_chars"), F.col("n_chars").cast("string").try_cast(exact),
+        F.lit("doc_id"), exact_number(F.col("doc_id").cast("string")),
+        F.lit("n_chars"), exact_number(F.col("n_chars").cast("string")),
     )
     found = explain.number_errors(numbers, F.col("text"))
     return d.select("doc_id", F.size(found).alias("unsupported")).where(F.col("unsupported") > 0)

@@ -126,21 +126,32 @@ def scenario_comparison(spark, sf_dir):
 @query(
     "stored_versus_recomputed",
     over(
-        """SELECT count(*) AS rows, CAST(0 AS BIGINT) AS session_id_mismatches,
-             CAST(0 AS BIGINT) AS gap_seconds_mismatches,
-             count(*) FILTER (event_id % 13 = 0 AND future_poor_qoe IS NOT NULL) AS future_poor_qoe_mismatches
+        """SELECT count(*) FILTER (event_id % 17 <> 0 AND event_id % 19 <> 0) AS rows,
+             count(*) FILTER (event_id % 19 = 0 AND event_id % 17 <> 0) AS stored_only,
+             count(*) FILTER (event_id % 17 = 0 AND event_id % 19 <> 0) AS rebuilt_only,
+             CAST(0 AS BIGINT) AS repeated,
+             CAST(0 AS BIGINT) AS session_id_mismatches, CAST(0 AS BIGINT) AS session_number_mismatches,
+             CAST(0 AS BIGINT) AS gap_seconds_mismatches, CAST(0 AS BIGINT) AS is_session_start_mismatches,
+             CAST(0 AS BIGINT) AS future_mos_mismatches, CAST(0 AS BIGINT) AS future_timestamp_mismatches,
+             CAST(0 AS BIGINT) AS prediction_lead_seconds_mismatches,
+             count(*) FILTER (event_id % 13 = 0 AND future_poor_qoe IS NOT NULL
+               AND event_id % 17 <> 0 AND event_id % 19 <> 0) AS future_poor_qoe_mismatches
            FROM lab"""
     ),
 )
 def stored_versus_recomputed(spark, sf_dir):
-    """Stored labels, some altered, against labels rebuilt from the observations."""
+    """Stored labels, some altered and some missing, against labels rebuilt from the observations."""
     t = views.labelled(spark, sf_dir)
     flipped = (1 - F.col("future_poor_qoe")).cast("byte")
     stored = t.frame.withColumn(
         "future_poor_qoe", F.when(F.col("event_id") % 13 == 0, flipped).otherwise(F.col("future_poor_qoe"))
     )
     rebuilt = sessions.label(stored, views.SESSIONS, t.hot)
-    columns = ["session_id", "gap_seconds", "future_poor_qoe"]
+    columns = [
+        "session_id", "session_number", "gap_seconds", "is_session_start",
+        "future_mos", "future_timestamp", "prediction_lead_seconds", "future_poor_qoe",
+    ]
+    stored, rebuilt = stored.where("event_id % 17 != 0"), rebuilt.where("event_id % 19 != 0")
     return reconcile.stored_versus_recomputed(stored, rebuilt, KEY, columns)
 
 

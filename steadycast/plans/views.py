@@ -31,7 +31,6 @@ from steadycast.operators.splits import (
     remove_crossing_targets,
 )
 from steadycast.params import RESOLUTION_BY_BITRATE, SessionParams, TrustPolicy
-from steadycast.session import surely_small
 
 SESSIONS = SessionParams(gap_seconds=86400.0)
 TAU, F1, ECE, ABSTENTION = 0.5, 0.8, 0.1, 0.62
@@ -77,11 +76,8 @@ def observations(spark: SparkSession, sf_dir: str, by_user: bool = False) -> Dat
     served = F.least(F.lit(1.0), F.col("throughput_mbps") / (F.col("bitrate_kbps") / 1000))
     rows = physical(spark, sf_dir)
     if by_user:
-        # A fixed number: adaptive sizing would go by the bytes before the rows multiply.
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        if surely_small(rows, 8_000_000):
-            parts = min(parts, spark.sparkContext.defaultParallelism)
-        rows = rows.repartition(parts, "base_station", "prb", "user_id")
+        # Without a number: adaptive execution sizes the partitions by their bytes.
+        rows = rows.repartition("base_station", "prb", "user_id")
     long = rows.select("*", F.inline(cells))
     return long.withColumns(
         {"current_mos": 1 + 4 * served, "plr_percent": 100 * (1 - served)}

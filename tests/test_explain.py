@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from steadycast.functions import text
 from steadycast.operators import explain
 
 EVIDENCE = dict(
@@ -151,3 +152,19 @@ def test_prompt_refuses(spark, change):
     df = spark.createDataFrame([(json.dumps({**EVIDENCE, **change}),)], "ev string")
     with pytest.raises(Exception, match="evidence"):
         df.select(explain.build_prompt(F.from_json("ev", SCHEMA)).alias("p")).collect()
+
+
+def test_numbers_of_any_length_and_script(spark):
+    known = F.map_from_entries(F.array(F.struct(F.lit("a"), text.exact_number(F.lit("1.50")))))
+    cases = [
+        ("value 123456789012345678901234567890123456789012 seen", ["123456789012345678901234567890123456789012"]),
+        ("value 1.50000000000000000000000000000000000000001 seen", ["1.50000000000000000000000000000000000000001"]),
+        ("value 01.5000 and 1.5 seen", []),
+        ("value \u0661.\u0665 seen", []),
+        ("value \u0667 and 7 seen", ["\u0667"]),
+        ("-0 and 0.0", ["-0"]),
+    ]
+    df = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(cases)], "i int, s string")
+    got = {r.i: r.e for r in df.select("i", explain.number_errors(known, F.col("s")).alias("e")).collect()}
+    for i, (_, want) in enumerate(cases):
+        assert got[i] == [f"Unsupported number: {w}" for w in want], cases[i]

@@ -177,12 +177,21 @@ def test_exact_quantiles(spark, per_range):
 
 def test_running_totals_use_ranges(spark):
     counts = spark.range(1000).select(F.col("id").cast("double").alias("v"), F.lit(1).cast("long").alias("n"))
-    points = ranks.split_points(counts, "v", 50)
-    assert 15 <= len(points) <= 19
-    got = ranks.running_totals(counts, "v", ["n"], points=points, descending=True)
-    assert got.where(F.col("cum_n") != 1000 - F.col("v")).isEmpty()
-    biggest = ranks.with_range(counts, "v", points).groupBy("__range").count().agg(F.max("count")).first()[0]
-    assert biggest <= 80
+    got = ranks.running_totals(counts, "v", ["n"], rows_per_range=50, descending=True)
+    assert got.where((F.col("cum_n") != 1000 - F.col("v")) | (F.col("tot_n") != 1000)).isEmpty()
+    sizes = ranks.by_ranges(counts, "v", 50).groupBy("__range").count()
+    assert sizes.count() == 20 and sizes.agg(F.max("count")).first()[0] <= 120
+
+
+@pytest.mark.parametrize("per_range", [10**6, 1, 3])
+def test_nan_and_null_do_not_depend_on_range_size(spark, per_range):
+    nan = float("nan")
+    df = spark.createDataFrame([(0.1,), (0.7,), (nan,), (None,), (0.7,), (0.2,)], "v double")
+    r = ranks.exact_quantiles(df, "v", {"p0": 0.0, "p50": 0.5, "p75": 0.75}, rows_per_range=per_range).first()
+    assert (r["count"], r.p0, r.p50, r.p75) == (5, 0.1, 0.7, 0.7)
+    rows = [(0, 1, 0.1), (1, 1, 0.2), (0, 0, nan), (1, 1, 0.3)]
+    whole = risk(spark, rows, rows_per_range=10**6).orderBy("abstention_threshold").collect()
+    assert repr(risk(spark, rows, rows_per_range=per_range).orderBy("abstention_threshold").collect()) == repr(whole)
 
 
 def test_review_sample_is_deterministic(spark):

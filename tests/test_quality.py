@@ -251,3 +251,18 @@ def test_user_model_is_checked(spark):
         hooks.score_with(df, Wrong(), ["a"], "p").collect()
     with pytest.raises(ValueError, match="missing"):
         hooks.score_with(df, Wrong(), ["b"], "p")
+
+
+def test_stored_versus_recomputed_reports_one_sided_and_repeated_keys(spark):
+    stored = spark.createDataFrame([(1, "a"), (2, "b"), (3, None), (5, "x"), (5, "x")], "k int, v string")
+    rebuilt = spark.createDataFrame([(1, "a"), (2, "c"), (3, None), (4, "d"), (5, "x")], "k int, v string")
+    r = reconcile.stored_versus_recomputed(stored, rebuilt, ["k"], ["v"]).first()
+    assert (r.rows, r.stored_only, r.rebuilt_only, r.repeated, r.v_mismatches) == (3, 0, 1, 1, 1)
+    r = reconcile.stored_versus_recomputed(stored.where("k < 3"), rebuilt.where("k = 1"), ["k"], ["v"]).first()
+    assert (r.rows, r.stored_only, r.v_mismatches) == (1, 1, 0)
+
+
+def test_one_to_one_join_rejects_null_keys(spark):
+    side = spark.createDataFrame([(1, "a"), (None, "b")], "k int, v string")
+    with pytest.raises(ValueError, match="null in a key"):
+        reconcile.join_one_to_one(side, side.withColumnRenamed("v", "w"), ["k"])
