@@ -6,11 +6,11 @@ in ``MATCHES`` places or more. Documents with equal sets are one to begin with.
 posted under its pairs in order of rarity: two documents that agree in ``MATCHES`` places must
 meet under one of their ``COORDINATES - MATCHES + 1`` rarest, so the common pairs are skipped.
 
-A list is not expanded into its pairs. First every document is compared with the first document
-of a list only, and confirmed links join into components. Then only lists that still hold
-several components are merged, block by block, counting agreements between different
-components; per pair of components the best few candidates are confirmed at a time, until none
-is left. Every link is confirmed on the full sets.
+A list is not expanded into its pairs. It is cut into blocks, agreements are counted between
+the documents of two blocks at a time, and only a spanning forest of the best candidates is
+confirmed first; confirmed links join into components. Pairs within a component are skipped from
+then on. Between components that still meet, the best few candidates of each document are
+confirmed next, and in the end all that are left. Every link is confirmed on the full sets.
 
 Two sets of Jaccard index 0.8 agree in fewer than 36 of 64 places in about 3 of a million cases;
 that is the only way to lose a link, and only if no other link connects the two.
@@ -25,7 +25,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -119,22 +118,6 @@ def postings(sets: DataFrame) -> DataFrame:
     return rare.select(F.col("t.token").alias("token"), "rep")
 
 
-def _agree(a: str, b: str) -> F.Column:
-    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same))
-
-
-def _alike_sizes(a: str, b: str, percent: int) -> F.Column:
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
-
-
-def with_signatures(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose sizes allow a link and whose signatures agree often enough."""
-    left = sets.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))
-    right = sets.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
-    both = pairs.join(left, "a").join(right, "b").where(_alike_sizes("na", "nb", percent))
-    return both.withColumn("matches", _agree("sa", "sb")).where(F.col("matches") >= MATCHES).select("a", "b", "matches")
-
-
 def confirm(docs: DataFrame, pairs: DataFrame, size: int, percent: int, block: int = 500, few: int = 200_000) -> DataFrame:
     """The pairs (a, b) that are links on their full sets.
 
@@ -159,15 +142,21 @@ def confirm(docs: DataFrame, pairs: DataFrame, size: int, percent: int, block: i
         known, group, head = WordHashes(), None, np.empty(0, np.uint64)
         for batch in batches:
             rows = batch.to_pydict()
+            texts = [t or "" for t in rows["text"]]
             links = []
-            for doc_id, text, b, part, member in zip(rows["doc_id"], rows["text"], rows["b"], rows["part"], rows["member"]):
-                own = shingles([text or ""], size, known)[0]
-                if (b, part) != group and not member:
-                    group, head = (b, part), own
-                elif member and (b, part) == group:
-                    common = len(np.intersect1d(own, head, assume_unique=True))
-                    if common and 100 * common >= percent * (len(own) + len(head) - common):
-                        links.append((doc_id, b))
+            for start, stop in charlm.chunks(texts):
+                keys, n = shingles(texts[start:stop], size, known)
+                ends = np.cumsum(n)
+                for k in range(start, stop):
+                    own = keys[ends[k - start] - n[k - start] : ends[k - start]]
+                    at = (rows["b"][k], rows["part"][k])
+                    if not rows["member"][k]:
+                        if at != group:
+                            group, head = at, own.copy()
+                    elif at == group:
+                        common = len(np.intersect1d(own, head, assume_unique=True))
+                        if common and 100 * common >= percent * (len(own) + len(head) - common):
+                            links.append((rows["doc_id"][k], at[0]))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], names=["a", "b"]
             )
@@ -175,44 +164,131 @@ def confirm(docs: DataFrame, pairs: DataFrame, size: int, percent: int, block: i
     return dealt.select("doc_id", "text", "b", "part", "member").mapInArrow(run, "a long, b long")
 
 
-def residual(posted: DataFrame, sets: DataFrame, percent: int, block: int = 1000) -> DataFrame:
+def agreements(sig: np.ndarray, n: np.ndarray, rows: np.ndarray, percent: int) -> np.ndarray:
+    """Numbers of equal coordinates of the chosen rows with all rows; 0 where sizes forbid a link."""
+    out = np.zeros((len(rows), len(sig)), np.uint8)
+    for c in range(sig.shape[1]):
+        column = np.ascontiguousarray(sig[:, c])
+        out += column[rows][:, None] == column[None, :]
+    low, high = np.minimum(n[rows][:, None], n[None, :]), np.maximum(n[rows][:, None], n[None, :])
+    out[100 * low < percent * high] = 0
+    return out
+
+
+def forest(same: np.ndarray, label: np.ndarray) -> list[tuple[int, int, int]]:
+    """Edges of a maximum spanning forest of the candidates; rows of one label are joined already."""
+    weight = same.astype(np.int16)
+    weight[weight < MATCHES] = -1
+    weight[label[:, None] == label[None, :]] = COORDINATES + 1
+    count, found = len(label), []
+    best, source = np.full(count, -1, np.int16), np.zeros(count, np.int64)
+    waiting = np.ones(count, bool)
+    for _ in range(count):
+        at = int(np.argmax(np.where(waiting, best, -2)))
+        if 0 <= best[at] <= COORDINATES:
+            found.append((int(source[at]), at, int(best[at])))
+        waiting[at] = False
+        closer = waiting & (weight[at] > best)
+        best[closer], source[closer] = weight[at][closer], at
+    return found
+
+
+def residual(posted: DataFrame, sets: DataFrame, percent: int, most: int | None, block: int = 700) -> DataFrame:
     """Candidate pairs (a, b, matches) of different labels from lists that hold several labels.
 
-    ``posted``: (token, rep, label). A long list is cut into blocks, and each pair of its blocks
-    is one group, so a group is bounded.
+    ``posted``: (token, rep, label). A list is cut into blocks, and each pair of its blocks is one
+    group, so a group is bounded. ``most`` 0: a spanning forest of the candidates of a group;
+    else the best ``most`` candidates of each document for each other label; None: all.
     """
     lists = posted.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("size")).where("x != y")
     lists = lists.select("token", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
     rows = posted.join(lists, "token").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    others = F.sequence(F.lit(0), F.col("blocks") - 1)
-    rows = rows.join(sets.select("rep", "n", "sig"), "rep").select(
-        "token", "rep", "label", "n", "sig", "own", F.explode(others).alias("other")
+    # A group for each pair of blocks; a list of one block is paired with itself.
+    others = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(
+        F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: o != F.col("own"))
     )
-    rows = rows.select(
-        "rep", "label", "n", "sig", "own",
-        F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other")).alias("group"),
-        "token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+    rows = rows.select("token", "rep", "label", "own", F.explode(others).alias("other"))
+    rows = rows.join(sets.select("rep", "n", "sig"), "rep").select(
+        "token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "label", "n", "sig"
     )
 
-    def merge(frame: pd.DataFrame) -> pd.DataFrame:
-        i, j = frame["i"].iloc[0], frame["j"].iloc[0]
-        sig = np.stack(frame["sig"].to_numpy())
-        rep, label, n, own = (frame[c].to_numpy() for c in ("rep", "label", "n", "own"))
-        left = np.flatnonzero(own == i)
-        right = left if i == j else np.flatnonzero(own == j)
+    def large(rep: np.ndarray, label: np.ndarray, n: np.ndarray, sig: np.ndarray) -> list[tuple]:
+        if most == 0:
+            return [(rep[y], rep[x], m) for x, y, m in forest(agreements(sig, n, np.arange(len(rep)), percent), label)]
+        names, counts = np.unique(label, return_counts=True)
+        # Pairs within the largest label need no look; every other pair has a row outside it.
+        few = np.flatnonzero(label != names[np.argmax(counts)])
         found = []
-        for k in left:
-            other = right[(label[right] != label[k]) & (rep[right] < rep[k] if i == j else True)]
-            low, high = np.minimum(n[other], n[k]), np.maximum(n[other], n[k])
-            other = other[100 * low >= percent * high]
-            if len(other):
-                same = (sig[other] == sig[k]).sum(axis=1)
-                for at in np.flatnonzero(same >= MATCHES):
-                    found.append((max(rep[k], rep[other[at]]), min(rep[k], rep[other[at]]), same[at]))
-        return pd.DataFrame(found, columns=["a", "b", "matches"]).astype("int64")
-
-    pairs = rows.groupBy("token", "i", "j").applyInPandas(merge, "a long, b long, matches long")
-    return pairs.distinct()
+        for start in range(0, len(few), 256):
+            part = few[start : start + 256]
+            for k, row in zip(part, agreements(sig, n, part, percent)):
+                other = np.flatnonzero((row >= MATCHES) & (label != label[k]))
+                if most is not None and len(other) > most:
+                    other = other[np.lexsort((-row[other].astype(np.int16), label[other]))]
+                    lab = label[other]
+                    begins = np.flatnonzero(np.append(True, lab[1:] != lab[:-1]))
+                    other = other[np.arange(len(lab)) - np.repeat(begins, np.diff(np.append(begins, len(lab)))) < most]
+                found += [(rep[k], rep[o], row[o]) for o in other]
+        return found
+
+    def small(starts: np.ndarray, size: int, rep: np.ndarray, label: np.ndarray, n: np.ndarray, sig: np.ndarray) -> Iterator[np.ndarray]:
+        """All candidates of many groups of one small size at a time."""
+        for x in range(size):
+            for y in range(x + 1, size):
+                a, b = starts + x, starts + y
+                use = (label[a] != label[b]) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
+                a, b = a[use], b[use]
+                same = (sig[a] == sig[b]).sum(axis=1)
+                hit = same >= MATCHES
+                yield np.stack([rep[a[hit]], rep[b[hit]], same[hit]])
+
+    def solve(keys: list[np.ndarray], columns: list[np.ndarray]) -> pa.RecordBatch:
+        change = np.zeros(len(keys[0]), bool)
+        change[:1] = True
+        for k in keys:
+            change[1:] |= k[1:] != k[:-1]
+        starts = np.flatnonzero(change)
+        sizes = np.diff(np.append(starts, len(change)))
+        parts = [np.zeros((3, 0), np.int64)]
+        for size in np.unique(sizes):
+            own = starts[sizes == size]
+            if 1 < size <= 12:
+                parts += small(own, size, *columns)
+            elif size > 12:
+                for at in own:
+                    found = large(*(c[at : at + size] for c in columns))
+                    if found:
+                        parts.append(np.array(found, np.int64).T)
+        a, b, m = np.concatenate(parts, axis=1)
+        out = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b), m]), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in out], names=["a", "b", "matches"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        waiting = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sig = batch.column(6).flatten().to_numpy().reshape(-1, COORDINATES)
+            held.append([*(batch.column(c).to_numpy() for c in range(6)), sig])
+            waiting += batch.num_rows
+            if waiting < 20_000:
+                continue
+            joined = [np.concatenate(c) for c in zip(*held)]
+            # The last group may go on in the next batch.
+            last = joined[0] != joined[0][-1]
+            for k in (1, 2):
+                last |= joined[k] != joined[k][-1]
+            cut = len(last) - int(np.argmax(last[::-1])) if last.any() else 0
+            if cut:
+                yield solve([c[:cut] for c in joined[:3]], [c[:cut] for c in joined[3:]])
+            held, waiting = [[c[cut:] for c in joined]], len(last) - cut
+        if waiting:
+            joined = [np.concatenate(c) for c in zip(*held)]
+            yield solve(joined[:3], joined[3:])
+
+    dealt = rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "rep")
+    return dealt.mapInArrow(merge, "a long, b long, matches long").distinct()
 
 
 def relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -234,32 +310,24 @@ def group(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     sets = store(sets.select(F.col("d.doc_id").alias("rep"), "n", F.col("d.sig").alias("sig"), "set_a", "set_b"), "sets")
     posted = store(postings(sets), "postings")
 
-    # One comparison a document: with the first document of a list, of the list most shared.
-    first = posted.groupBy("token").agg(F.min("rep").alias("b"), F.count("*").alias("c")).where("c > 1").drop("c")
-    met = posted.join(first, "token").where("rep != b").groupBy("rep", "b").count()
-    best = met.groupBy("rep").agg(F.max(F.struct("count", (-F.col("b")).alias("x"), "b")).alias("m"))
-    pairs = with_signatures(best.select(F.col("rep").alias("a"), F.col("m.b").alias("b")), sets, percent)
-    links = confirm(docs, store(pairs, "pairs"), size, percent)
-    joined = components(links).select(F.col("node").alias("rep"), F.col("component"))
-    labels = store(sets.select("rep").join(joined, "rep", "left").select("rep", F.coalesce("component", "rep").alias("label")), "labels")
-
-    # What still meets under different labels.
-    left = store(residual(posted.join(labels, "rep"), sets, percent), "candidates")
-    few = 1
-    while True:
-        a, b = (labels.select(F.col("rep").alias(c), F.col("label").alias(f"l{c}")) for c in "ab")
-        left = left.select("a", "b", "matches").join(a, "a").join(b, "b").where("la != lb")
-        left = store(left.withColumns({"x": F.greatest("la", "lb"), "y": F.least("la", "lb")}), "candidates")
-        if left.isEmpty():
-            break
-        rank = Window.partitionBy("x", "y", "part").orderBy(F.desc("matches"), "a", "b")
-        # Ranked within parts of a pair of components, so that two large ones are not one task.
-        parts = left.withColumn("part", F.pmod(F.xxhash64("a", "b"), F.lit(8)))
-        tried = store(parts.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= few).select("a", "b", "x", "y"), "tried")
-        found = confirm(docs, tried.select("a", "b"), size, percent)
-        links = tried.join(found, ["a", "b"]).select(F.col("x").alias("a"), F.col("y").alias("b"))
-        left = left.join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        labels, few = store(relabel(labels, links), "labels"), few * 8
+    labels = store(sets.select("rep", F.col("rep").alias("label")), "labels")
+    # Lists of similar documents are many times the same, so two of each document's come first.
+    chosen = Window.partitionBy("rep").orderBy(F.xxhash64("token"))
+    some = posted.withColumn("k", F.row_number().over(chosen)).where("k <= 2").drop("k")
+    tested = None
+    for lists, most in ((some, 0), (posted, 0), (posted, 8), (posted, None)):
+        pairs = store(residual(lists.join(labels, "rep"), sets, percent, most).select("a", "b"), "candidates")
+        if pairs.isEmpty():
+            if lists is posted:
+                break  # no candidates are left at all
+            continue
+        if tested is not None:
+            pairs = store(pairs.join(tested, ["a", "b"], "left_anti"), "candidates")
+        links = confirm(docs, pairs, size, percent)
+        x, y = (labels.select(F.col("rep").alias(c), F.col("label").alias(f"l{c}")) for c in "ab")
+        links = links.join(x, "a").join(y, "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+        labels = store(relabel(labels, links), "labels")
+        tested = pairs if tested is None else tested.unionByName(pairs)
 
     of_set = sets.select(*key, "rep").join(labels, "rep").select(*key, "label")
     out = signed.select("doc_id", *key).join(of_set, key, "left")
