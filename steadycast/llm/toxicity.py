@@ -44,21 +44,51 @@ def signs(word: str) -> list[int]:
     return [zlib.crc32(f.encode("utf-8", "surrogatepass")) for f in forms]
 
 
-def _instances(rows: DataFrame) -> DataFrame:
-    """(toxic, words, ends): the signs of a document on end, and where its sentences end."""
+def _flat(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Signs of a text on end, and where its sentences end."""
+    found = [[h for w in s for h in signs(w)] for s in _sentences(text or "")]
+    return np.array([h for s in found for h in s], np.int64), np.cumsum([len(s) for s in found], dtype=np.int64)
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _count_signs(rows: DataFrame) -> DataFrame:
+    """(sign, n, bad): documents, and toxic ones, that have a sign; rows are (toxic, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            toxic = batch.column(0).to_pylist()
+            for start in range(0, batch.num_rows, 500):
+                own = [np.unique(_flat(t)[0]) for t in batch.column(1).slice(start, 500).to_pylist()]
+                bad = np.repeat(toxic[start : start + 500], [len(o) for o in own])
+                kinds, back = np.unique(np.concatenate(own), return_inverse=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(kinds), pa.array(np.bincount(back, minlength=len(kinds))),
+                     pa.array(np.bincount(back, bad, len(kinds)).astype(np.int64))],
+                    names=["sign", "n", "bad"],
+                )
+
+    counted = rows.mapInArrow(run, "sign long, n long, bad long")
+    return counted.groupBy("sign").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+
+
+def _instances(rows: DataFrame, telling: np.ndarray) -> DataFrame:
+    """(toxic, sentences, at, sign): of a document, where its telling signs stand and which they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            split = [_sentences(t or "") for t in batch.column(1).to_pylist()]
-            found = [[[h for w in s for h in signs(w)] for s in d] for d in split]
-            words = [[h for s in d for h in s] for d in found]
-            ends = [np.cumsum([len(s) for s in d], dtype=np.int64).tolist() for d in found]
+            sentences, at, sign = [], [], []
+            for text in batch.column(1).to_pylist():
+                flat, ends = _flat(text)
+                place = np.minimum(np.searchsorted(telling, flat), len(telling) - 1)
+                hit = np.flatnonzero(telling[place] == flat)
+                sentences.append(len(ends))
+                at.append(np.searchsorted(ends, hit, side="right"))
+                sign.append(place[hit])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(words, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64()))],
-                names=["toxic", "words", "ends"],
+                [batch.column(0), pa.array(sentences, pa.int64()), pa.array(at, pa.list_(pa.int64())), pa.array(sign, pa.list_(pa.int64()))],
+                names=["toxic", "sentences", "at", "sign"],
             )
 
-    return rows.mapInArrow(make, "toxic int, words array<long>, ends array<long>")
+    return rows.mapInArrow(run, "toxic int, sentences long, at array<long>, sign array<long>")
 
 
 def fit(
@@ -102,30 +132,27 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 15_000, least_docs:
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample)  # a bounded table
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     rows = texts.join(F.broadcast(picked), "doc_id").select("toxic", "text")
-    table = _instances(rows).toArrow()
-    toxic = table["toxic"].to_numpy()
-    if not 0 < toxic.sum() < len(toxic):
+    total = rows.agg(F.count("*").alias("n"), F.sum("toxic").alias("bad")).first()
+    if not total.n or not 0 < total.bad < total.n:
+        return None
+    share = total.bad / total.n
+    chance = F.col("n") * share
+    telling = _count_signs(rows).where(
+        (F.col("n") >= least_docs) & (F.col("bad") - chance >= least_z * F.sqrt(chance * (1 - share)))
+    ).orderBy("sign").toArrow()
+    known, n, bad = (telling[c].to_numpy() for c in ("sign", "n", "bad"))
+    if not len(known):
         return None
-    words, ends = table["words"].combine_chunks(), table["ends"].combine_chunks()
-    word = words.flatten().to_numpy()
-    n_words, n_sentences = np.diff(words.offsets.to_numpy()), np.diff(ends.offsets.to_numpy())
-    doc = np.repeat(np.arange(len(toxic)), n_sentences)
-    last = ends.flatten().to_numpy() + np.repeat(np.cumsum(n_words) - n_words, n_sentences)
-    sentence = np.searchsorted(last, np.arange(len(word)), side="right")
-    # Only words of several documents can tell anything about others.
-    kinds, word = np.unique(word, return_inverse=True)
-    pairs = np.unique(word.astype(np.int64) * len(toxic) + doc[sentence])
-    n = np.bincount(pairs // len(toxic), minlength=len(kinds))
-    bad = np.bincount(pairs // len(toxic), toxic[pairs % len(toxic)], len(kinds))
-    share = toxic.mean()
-    frequent = (n >= least_docs) & (bad - n * share >= least_z * np.sqrt(n * share * (1 - share)))
-    use = frequent[word]
-    codes = np.cumsum(frequent) - 1
+    table = _instances(rows, known).toArrow()
+    toxic, sentences = table["toxic"].to_numpy(), table["sentences"].to_numpy()
+    begins = np.cumsum(sentences) - sentences
+    at, sign = table["at"].combine_chunks(), table["sign"].combine_chunks()
+    sentence = at.flatten().to_numpy() + np.repeat(begins, np.diff(at.offsets.to_numpy()))
     # Half the log-odds: a word has four signs, and two that tell should be enough.
-    prior = 0.5 * np.log((bad + 0.5) / (n - bad + 0.5))[frequent]
-    w, bias = fit(doc, sentence[use], codes[word[use]], toxic, prior)
-    telling = np.flatnonzero(np.abs(w) > 1e-3)
-    return Model(dict(zip(kinds[frequent][telling].tolist(), w[telling].tolist())), bias)
+    prior = 0.5 * np.log((bad + 0.5) / (n - bad + 0.5))
+    doc = np.repeat(np.arange(len(toxic)), sentences)
+    w, bias = fit(doc, sentence, sign.flatten().to_numpy(), toxic, prior)
+    return Model(dict(zip(known.tolist(), w.tolist())), bias)
 
 
 class Scorer:
