@@ -11,6 +11,7 @@ from steadycast.plans import views
 from steadycast.plans.oracle import over
 from steadycast.plans.registry import query
 from steadycast.plans.session_queries import KEY, ROLLING, r6, sql6
+from steadycast.session import run_dir
 from steadycast.streaming import replay as stream_ops
 from steadycast.streaming.runner import read_stream, run_available
 
@@ -44,6 +45,15 @@ def observation_stream(spark, sf_dir):
     return _derived(read_stream(spark, sf_dir, "events.parquet"))
 
 
+def by_user_and_bitrate(stream):
+    return stream.withColumn("session_id", F.concat_ws("_", "user_id", "bitrate_kbps"))
+
+
+def of_session(session):
+    parts = F.split(session, "_")
+    return parts[0].cast("long").alias("user_id"), parts[1].cast("long").alias("bitrate_kbps")
+
+
 ONLINE = [
     "throughput_lag1", "throughput_lag2", "mos_lag1", "plr_lag1", "latitude_lag1",
     "longitude_lag1", *ROLLING,
@@ -70,63 +80,71 @@ def stream_features(spark, sf_dir):
     over(
         """SELECT event_id, user_id, round(least(1.0, greatest(0.0, (5 - current_mos) / 4)), 6) AS probability,
              (round(least(1.0, greatest(0.0, (5 - current_mos) / 4)), 6) >= 0.5)::INT AS prediction,
-             array_to_string(list(event_id) OVER (PARTITION BY user_id ORDER BY timestamp
-               ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), ',') AS history
-           FROM obs WHERE bitrate_kbps = 4000"""
+             array_to_string(list(event_id) OVER (PARTITION BY user_id, bitrate_kbps ORDER BY timestamp
+               ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), ',') AS history, bitrate_kbps
+           FROM obs"""
     ),
 )
 def stream_replay(spark, sf_dir):
-    """Replay of one bitrate with users as sessions: score and history at every row."""
-    stream = observation_stream(spark, sf_dir).where(F.col("bitrate_kbps") == 4000)
-    stream = stream.withColumn("session_id", F.col("user_id").cast("string"))
+    """Replay with a user at a bitrate as session: score and history at every row."""
+    stream = by_user_and_bitrate(observation_stream(spark, sf_dir))
 
     def score(df):
         return df.withColumn("probability", views.closed_form_probability())
 
     out = run_available(stream_ops.replay(stream, score))
     return out.select(
-        "event_id", F.col("session_id").cast("long").alias("user_id"), "probability", "prediction",
+        "event_id", *of_session("session_id"), "probability", "prediction",
         F.array_join(F.transform("history", lambda e: e.cast("string")), ",").alias("history"),
     )
 
 
 @query(
     "stream_late_rows",
-    "SELECT count(*) AS rows, CAST(0 AS BIGINT) AS late_rows FROM events",
+    """SELECT 4 * count(*) AS rows, CAST(4 * count(*) FILTER (event_id % 10 = 0 AND ts < newest) AS BIGINT) AS late_rows
+       FROM (SELECT *, max(ts) FILTER (event_id % 10 <> 0) OVER (PARTITION BY user_id) AS newest FROM events)""",
 )
 def stream_late_rows(spark, sf_dir):
-    """Rows given back as late; none when one batch holds everything."""
-    stream = observation_stream(spark, sf_dir).where(F.col("bitrate_kbps") == 2000)
+    """Every tenth event comes in a second batch: those older than what came before are late."""
+    e = views.table(spark, sf_dir, "events")
+    path = run_dir(spark, "late-source")
+    e.where("event_id % 10 != 0").write.parquet(path)
+    first = len(spark.read.parquet(path).inputFiles())
+    e.where("event_id % 10 = 0").coalesce(first).write.mode("append").parquet(path)
+    stream = _derived(read_stream(spark, path, "*.parquet", max_files=first))
     return stream_ops.late_rows(run_available(stream_ops.online_features(stream, views.SESSIONS)))
 
 
 @query(
     "stream_latest_state",
-    """SELECT CAST(user_id AS VARCHAR) AS session_id, event_id, epoch_us(ts) AS ts_us FROM events
-       QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) = 1""",
+    """SELECT user_id, bitrate_kbps, event_id, epoch_us(ts) AS ts_us
+       FROM events, (VALUES (2000::BIGINT), (4000), (6000), (8000)) b(bitrate_kbps)
+       QUALIFY row_number() OVER (PARTITION BY user_id, bitrate_kbps ORDER BY ts DESC) = 1""",
 )
 def stream_latest_state(spark, sf_dir):
-    """Last row per user, kept up to date by the stream."""
-    stream = observation_stream(spark, sf_dir).where(F.col("bitrate_kbps") == 2000)
-    stream = stream.withColumn("session_id", F.col("user_id").cast("string"))
+    """Last row per user and bitrate, kept up to date by the stream."""
+    stream = by_user_and_bitrate(observation_stream(spark, sf_dir))
     out = run_available(stream_ops.latest_state_stream(stream, ["event_id", "ts_us"]), "update")
     newest = F.max_by(F.struct("event_id", "ts_us"), F.col("batch")).alias("n")
-    return out.groupBy("session_id").agg(newest).select("session_id", "n.*")
+    return out.groupBy("session_id").agg(newest).select(*of_session("session_id"), "n.*")
 
 
 @query(
     "stream_session_aggregates",
     over(
         """SELECT base_station, prb, bitrate_kbps, user_id, epoch_us(min(timestamp)) AS start_us,
-             epoch_us(max(timestamp)) AS end_us, count(*) AS rows, round(avg(current_mos), 6) AS mean_mos
-           FROM sess GROUP BY base_station, prb, bitrate_kbps, user_id, session_number
-           HAVING epoch_us(max(timestamp)) + 86400000001 <= (SELECT floor(epoch_us(max(ts)) / 1000) * 1000 FROM events)"""
+             epoch_us(max(timestamp)) AS end_us, count(*) AS rows, round(avg(current_mos) + 1e-9, 6) AS mean_mos,
+             session_number = max(session_number) OVER (PARTITION BY base_station, prb, bitrate_kbps, user_id) AS open
+           FROM sess GROUP BY base_station, prb, bitrate_kbps, user_id, session_number"""
     ),
 )
 def stream_session_aggregates(spark, sf_dir):
-    """Sessions the watermark has closed."""
-    out = run_available(stream_ops.session_aggregates_stream(observation_stream(spark, sf_dir), views.SESSIONS))
-    return out.select(*TRAJECTORY, "start_us", "end_us", "rows", *r6("mean_mos"))
+    """All sessions of the stream; the last one of each trajectory is still open."""
+    updates = run_available(stream_ops.session_aggregates_stream(observation_stream(spark, sf_dir), views.SESSIONS), "update")
+    out = stream_ops.latest_sessions(updates)
+    # The nudge decides exact ties of the sixth place alike for any order of adding.
+    out = out.withColumn("mean_mos", F.col("mean_mos") + 1e-9)
+    return out.select(*TRAJECTORY, "start_us", "end_us", "rows", *r6("mean_mos"), "open")
 
 
 @query(

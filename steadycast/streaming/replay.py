@@ -262,26 +262,100 @@ def latest_state_stream(stream: DataFrame, fields: list[str]) -> DataFrame:
     return stream.groupBy("session_id").agg(newest).select("session_id", "last.*")
 
 
-def session_aggregates_stream(
-    stream: DataFrame, params: SessionParams = SessionParams(), delay: str = "0 seconds"
-) -> DataFrame:
-    """Start, end, rows and mean score per session once the watermark has passed it.
+AGGREGATE_SCHEMA = StructType(
+    [
+        *KEY_TYPES,
+        StructField("session_number", IntegerType()),
+        StructField("start_us", LongType()),
+        StructField("end_us", LongType()),
+        StructField("rows", LongType()),
+        StructField("mos_total", DoubleType()),
+        StructField("mos_rows", LongType()),
+        StructField("open", BooleanType()),
+        StructField("late", BooleanType()),
+    ]
+)
+_AGGREGATE_STATE = StructType([f for f in AGGREGATE_SCHEMA.fields if f.name not in (*TRAJECTORY, "open", "late")])
+
+
+class SessionTotals(StatefulProcessor):
+    """Totals of the session in progress, per trajectory; a gap closes it and begins the next."""
+
+    def __init__(self, gap_seconds: float):
+        self._gap = int(gap_seconds * 1e6)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._state = handle.getValueState("session", _AGGREGATE_STATE)
 
-    Rows exactly one gap apart stay together: a session window is extended by a row at its
-    end, so the window is one microsecond longer than the gap.
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        # Only two columns of the batch's rows are held together to put them in order.
+        frame = pd.concat([r[["ts_us", "current_mos"]] for r in rows], ignore_index=True)
+        frame = frame.sort_values("ts_us", kind="stable")
+        times, mos = frame["ts_us"].to_numpy(), frame["current_mos"].to_numpy(dtype=float)
+        held = self._state.get() if self._state.exists() else None
+        late = int(np.searchsorted(times, held[2], side="left")) if held else 0
+        out = []
+        if late:
+            lost = mos[:late]
+            out.append((None, int(times[0]), int(times[late - 1]), late, float(np.nansum(lost)), int((~np.isnan(lost)).sum()), None, True))
+        times, mos = times[late:], mos[late:]
+        if len(times):
+            before = np.append(held[2] if held else times[0], times[:-1])
+            starts = times - before > self._gap
+            starts[0] |= held is None
+            bounds = np.flatnonzero(starts)
+            number = held[0] if held else 0
+            edges = np.append(bounds, len(times)) if starts[0] else np.concatenate([[0], bounds, [len(times)]])
+            for k, (i, j) in enumerate(zip(edges[:-1], edges[1:])):
+                part = mos[i:j]
+                now = (number, int(times[i]), int(times[j - 1]), int(j - i), float(np.nansum(part)), int((~np.isnan(part)).sum()))
+                if starts[i]:
+                    if held is not None:
+                        out.append((*held, False, False))
+                    number += 1
+                    held = (number, *now[1:])
+                else:
+                    held = (number, held[1], now[2], held[3] + now[3], held[4] + now[4], held[5] + now[5])
+            out.append((*held, True, False))
+            self._state.update(held)
+        given = pd.DataFrame(out, columns=AGGREGATE_SCHEMA.fieldNames()[len(TRAJECTORY):])
+        for k, v in zip(TRAJECTORY, key):
+            given[k] = v
+        given["session_number"] = given["session_number"].astype("Int32")
+        yield given[AGGREGATE_SCHEMA.fieldNames()]
+
+    def close(self) -> None:
+        pass
+
+
+def session_aggregates_stream(stream: DataFrame, params: SessionParams = SessionParams()) -> DataFrame:
+    """Sessions as they grow: every session a batch touches, with ``open`` while it may go on.
+
+    Run in update mode; ``latest_sessions`` gives the last word on each. Rows older than their
+    trajectory's newest row are not added to a session that may be closed already: they come
+    back counted, with ``late`` set.
     """
-    gap = f"{int(params.gap_seconds * 1e6) + 1} microseconds"
+    require_columns(stream.columns, [*TRAJECTORY, "ts_us", "current_mos"], "stream")
     return (
-        stream.withColumn("event_time", F.timestamp_micros("ts_us"))
-        .withWatermark("event_time", delay)
-        .groupBy(F.session_window("event_time", gap), *TRAJECTORY)
-        .agg(
-            F.min("ts_us").alias("start_us"),
-            F.max("ts_us").alias("end_us"),
-            F.count(F.lit(1)).alias("rows"),
-            F.avg("current_mos").alias("mean_mos"),
+        stream.select(*TRAJECTORY, "ts_us", "current_mos")
+        .groupBy(*TRAJECTORY)
+        .transformWithStateInPandas(
+            statefulProcessor=SessionTotals(params.gap_seconds),
+            outputStructType=AGGREGATE_SCHEMA,
+            outputMode="Update",
+            timeMode="None",
         )
-        .drop("session_window")
+    )
+
+
+def latest_sessions(updates: DataFrame) -> DataFrame:
+    """Start, end, rows, mean score and ``open`` of every session from its last update."""
+    fields = ["start_us", "end_us", "rows", "mos_total", "mos_rows", "open"]
+    # A session only grows, and is closed once: of equal updates the closed one is the last.
+    order = F.struct("batch", F.col("rows"), (~F.col("open")).alias("closed"))
+    last = updates.where(~F.col("late")).groupBy(*TRAJECTORY, "session_number").agg(F.max_by(F.struct(*fields), order).alias("s"))
+    return last.select(*TRAJECTORY, "session_number", "s.*").withColumn("mean_mos", F.col("mos_total") / F.col("mos_rows")).drop(
+        "mos_total", "mos_rows"
     )
 
 

@@ -1,15 +1,12 @@
-"""Every fast registered query against its SQL at the smallest scale."""
-
-import os
+"""Every registered query against its SQL at the smallest scale."""
 
 import pytest
 from compare import connect, difference
 
 import __spark_entry__ as contract
+from steadycast.plans import catalog
 
-QUERIES, ORACLES = contract.queries(), contract.oracle_sql()
-# The whole job is fitted in test_models; here it would only take time.
-SLOW = {n for n, f in QUERIES.items() if "whole_job" in f.__code__.co_names}
+QUERIES, ORACLES = dict(catalog.QUERIES), dict(catalog.ORACLES)
 
 
 @pytest.fixture(scope="module")
@@ -18,14 +15,13 @@ def con(sf_dir):
 
 
 def test_contract(spark):
-    assert set(ORACLES) <= set(QUERIES)
+    assert set(ORACLES) <= set(QUERIES) <= set(contract.queries())
+    assert set(contract.oracle_sql()) <= set(contract.queries())
     assert contract.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - SLOW))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, sf_dir, name):
-    if os.environ.get("ALL_QUERIES") != "1" and sorted(QUERIES).index(name) % 6:
-        pytest.skip("set ALL_QUERIES=1 to run all")
     got = QUERIES[name](spark, sf_dir).toPandas()
     if name in ORACLES:
         assert difference(got, con.execute(ORACLES[name]).df()) is None

@@ -205,3 +205,27 @@ def test_one_shuffle_for_session_work(spark, sf_dir, by_user):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+
+
+@pytest.mark.parametrize("files_per_batch", [1, 10])
+def test_streamed_sessions_lose_nothing(spark, tmp_path, files_per_batch):
+    """Rows of several users, out of order over the files: every session comes, open ones too."""
+    from steadycast.streaming import replay as online
+    from steadycast.streaming.runner import read_stream, run_available
+
+    times = [(1, 100), (2, 5000), (3, 6000), (4, 7000), (5, 200), (6, 9000), (1, 110), (1, 400), (1, 50)]
+    for user, t in times:
+        row = [(1, 10, 4000, user, t * 1_000_000, float(t % 5))]
+        df = spark.createDataFrame(row, "base_station long, prb long, bitrate_kbps long, user_id long, ts_us long, current_mos double")
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = read_stream(spark, str(tmp_path / "in"), "*.parquet", max_files=files_per_batch)
+    updates = run_available(online.session_aggregates_stream(stream, SessionParams(gap_seconds=60.0)), "update")
+    got = {(r.user_id, r.session_number): (r.start_us // 10**6, r.end_us // 10**6, r.rows, r.open) for r in online.latest_sessions(updates).collect()}
+    late = updates.where("late").groupBy().sum("rows").first()[0] or 0
+    assert {k: v for k, v in got.items() if k[0] > 1} == {
+        (u, 1): (t, t, 1, True) for u, t in times if u > 1
+    }
+    first = (100, 110, 2, False) if files_per_batch == 1 else (50, 110, 3, False)
+    assert got[1, 1] == first and got[1, 2] == (400, 400, 1, True)
+    assert late == (1 if files_per_batch == 1 else 0)
+    assert sum(v[2] for v in got.values()) + late == len(times)
