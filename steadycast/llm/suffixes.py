@@ -33,8 +33,9 @@ from pyspark.sql import functions as F
 
 from steadycast.llm.common import mix64, store, utf8
 
-LENGTH, GRAM = 100, 20
+LENGTH, GRAM = 100, 32
 SPAN = LENGTH - GRAM + 1  # grams in a string
+SIDE = -(-(LENGTH - GRAM) // 2)  # a string reaches this far from its anchor on one side at least
 LEAST_ID = -(2**63)
 PLACE_BITS = 24
 SLAB = 1 << 21
@@ -50,8 +51,10 @@ def gram_hashes(data: bytes) -> np.ndarray:
     four = b[:-3] | b[1:-2] << np.uint64(8) | b[2:-1] << np.uint64(16) | b[3:] << np.uint64(24)
     eight = four[:-4] | four[4:] << np.uint64(32)
     n = len(b) - GRAM + 1
-    x = mix64(eight[:n]) + eight[8 : n + 8] * np.uint64(0x9E3779B97F4A7C15)
-    return mix64(x ^ x >> np.uint64(32)) + four[16 : n + 16] * np.uint64(0xD6E8FEB86659FD93)
+    x = eight[:n]
+    for k in range(8, GRAM, 8):
+        x = mix64(x) + eight[k : n + k] * np.uint64(0x9E3779B97F4A7C15)
+    return mix64(x)
 
 
 def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
@@ -64,12 +67,11 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - rest], x[rest:]) if rest else x
 
 
-def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each anchor of a text: hash, and first and last start of the strings it belongs to."""
+def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each anchor of a text: hash, first and last start of the strings it belongs to, place."""
     if len(data) < LENGTH:
-        empty = np.empty(0, np.int64)
-        return empty, empty, empty
-    hashes, firsts, lasts = [], [], []
+        return (np.empty(0, np.int64),) * 4
+    hashes, firsts, lasts, places = [], [], [], []
     step = (1 << PLACE_BITS) - LENGTH  # very long texts go by stretches that share no string
     for begin in range(0, len(data) - LENGTH + 1, step):
         piece = data[begin : begin + step + LENGTH - 1]
@@ -81,7 +83,8 @@ def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         hashes.append(h[at[change]].view(np.int64))
         firsts.append(begin + change)
         lasts.append(begin + np.append(change[1:], len(at)) - 1)
-    return np.concatenate(hashes), np.concatenate(firsts), np.concatenate(lasts)
+        places.append(begin + at[change])
+    return np.concatenate(hashes), np.concatenate(firsts), np.concatenate(lasts), np.concatenate(places)
 
 
 def _ranks(keys: np.ndarray) -> tuple[np.ndarray, int]:
@@ -157,8 +160,10 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_ID)).alias("doc_id"), F.col("text").cast("string"))
 
 
-ROWS = "anchor long, part long, doc_id long, digest long, first long, last long, stretch binary"
-ROWS_ARROW = pa.schema([(n, pa.binary() if n == "stretch" else pa.int64()) for n in (f.split()[0] for f in ROWS.split(", "))])
+ROWS = "anchor long, part long, doc_id long, digest long, first long, last long, at int, stretch binary"
+ROWS_ARROW = pa.schema(
+    [(n, {"binary": pa.binary(), "int": pa.int32()}.get(t, pa.int64())) for n, t in (f.split() for f in ROWS.split(", "))]
+)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -167,7 +172,8 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def find_anchors(docs: DataFrame) -> DataFrame:
-    """(hash, doc_id, digest, number, again): anchors of every text; ``again``: twice in its text."""
+    """(hash, doc_id, digest, number, mark): anchors of every text. ``mark`` is a short digest of
+    the text; of an anchor found again in a text the marks alternate, as if texts differed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,12 +182,15 @@ def find_anchors(docs: DataFrame) -> DataFrame:
                 data = utf8(text.as_py())
                 h = anchors(data)[0]
                 if len(h):
-                    _, back, n = np.unique(h, return_inverse=True, return_counts=True)
-                    parts.append((h, np.full(len(h), doc_id), np.full(len(h), digest(data)), np.arange(len(h), dtype=np.int32), n[back] > 1))
+                    own = digest(data)
+                    first = np.unique(h, return_index=True)[1]
+                    mark = np.full(len(h), own & 0x7FFFFFFF ^ 0x7FFFFFFF, np.int64)
+                    mark[first] = own & 0x7FFFFFFF
+                    parts.append((h, np.full(len(h), doc_id), np.full(len(h), own), np.arange(len(h), dtype=np.int32), mark.astype(np.int32)))
             if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], names=["hash", "doc_id", "digest", "number", "again"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], names=["hash", "doc_id", "digest", "number", "mark"])
 
-    return docs.mapInArrow(run, "hash long, doc_id long, digest long, number int, again boolean")
+    return docs.mapInArrow(run, "hash long, doc_id long, digest long, number int, mark int")
 
 
 def send_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,27 +211,31 @@ def send_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         if place is not None and place != old:
             rows.append((None, part, *place, None))
 
+    def flush() -> list[tuple]:
+        out = [(a, p, *place, stretch) for (a, p, stretch), place in held.items()]
+        held.clear()
+        return out
+
     for batch in batches:
         for doc_id, text, own, wanted in zip(*(c.to_pylist() for c in batch.columns)):
             data = utf8(text)
             if digest(data) != own:
                 continue  # another text of the same id
-            hashes, firsts, lasts = anchors(data)
+            hashes, firsts, lasts, places = anchors(data)
             for w in wanted:
                 k = w["number"]
-                first, last, anchor = int(firsts[k]), int(lasts[k]), int(hashes[k])
+                first, last, at, anchor = int(firsts[k]), int(lasts[k]), int(places[k]), int(hashes[k])
                 if not w["parts"]:
-                    add(anchor, 0, (doc_id, own, first, last), data[first : last + LENGTH])
+                    add(anchor, 0, (doc_id, own, first, last, at - first), data[first : last + LENGTH])
                     continue
                 for q in range(first, last + 1):
                     string = data[q : q + LENGTH]
-                    add(anchor, 1 + digest(string) % w["parts"], (doc_id, own, q, q), string)
+                    add(anchor, 1 + digest(string) % w["parts"], (doc_id, own, q, q, at - q), string)
         if len(held) > 100_000:
-            rows += [(a, p, *place, stretch) for (a, p, stretch), place in held.items()]
-            held.clear()
+            rows += flush()
         yield _batch(rows)
-        rows = []
-    yield _batch([(a, p, *place, stretch) for (a, p, stretch), place in held.items()])
+        rows.clear()
+    yield _batch(flush())
 
 
 def sort_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,17 +244,23 @@ def sort_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     size, last_key = 0, None
 
     def solve() -> list[tuple]:
-        earliest: dict[bytes, tuple] = {}
+        earliest: set[tuple] = set()
+        sides: dict[tuple, int] = {}
         out, kept = [], []
-        for doc_id, own, first, last, stretch in sorted(slab):
-            if stretch in earliest:
-                out.append((None, 0, doc_id, own, first, last, None))
-            else:
-                earliest[stretch] = True
-                kept.append((doc_id, own, first, last, stretch))
-        if len(kept) < 2:
-            # One stretch alone can still repeat itself.
-            kept = [k for k in kept if k[3] > k[2]]
+        for doc_id, own, first, last, at, key, stretch in sorted(slab):
+            if (key, stretch) in earliest:
+                out.append((None, 0, doc_id, own, first, last, None, None))
+                continue
+            earliest.add((key, stretch))
+            left = (key, 0, stretch[at - SIDE : at + GRAM]) if at >= SIDE else None
+            right = (key, 1, stretch[at : at + GRAM + SIDE]) if at + GRAM + SIDE <= len(stretch) else None
+            for side in (left, right):
+                sides[side] = sides.get(side, 0) + 1
+            kept.append((doc_id, own, first, last, stretch, left, right))
+        # Equal strings agree on one side of their anchor at least. The strings of one stretch
+        # differ, as each has the anchor at another place.
+        sides[None] = 0
+        kept = [k for k in kept if sides[k[5]] > 1 or sides[k[6]] > 1]
         if not kept:
             return out
         text = b"".join(k[4] for k in kept)
@@ -256,21 +275,21 @@ def sort_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             heads = np.flatnonzero(gap)
             tails = np.append(heads[1:], len(again)) - 1
             for a, b in zip(again[heads], again[tails]):
-                doc_id, own, first, _, _ = kept[owner[a]]
-                out.append((None, 0, doc_id, own, int(first + inner[a]), int(first + inner[b]), None))
+                doc_id, own, first = kept[owner[a]][:3]
+                out.append((None, 0, doc_id, own, int(first + inner[a]), int(first + inner[b]), None, None))
         return out
 
     for batch in batches:
         done: list[tuple] = []
-        for anchor, part, doc_id, own, first, last, stretch in zip(*(c.to_pylist() for c in batch.columns)):
+        for anchor, part, doc_id, own, first, last, at, stretch in zip(*(c.to_pylist() for c in batch.columns)):
             if stretch is None:
-                done.append((None, 0, doc_id, own, first, last, None))
+                done.append((None, 0, doc_id, own, first, last, None, None))
                 continue
-            # A slab is closed between anchors; a cut anchor's parts are closed at their own ends.
+            # A slab is closed between anchors, or between the parts of one.
             if size >= SLAB // 2 and (anchor, part) != last_key:
                 done += solve()
                 slab, size = [], 0
-            slab.append((doc_id, own, first, last, stretch))
+            slab.append((doc_id, own, first, last, at, (anchor, part), stretch))
             size, last_key = size + len(stretch), (anchor, part)
         yield _batch(done)
     if slab:
@@ -282,10 +301,12 @@ def repeated(docs: DataFrame, hot: int = 8000) -> DataFrame:
 
     ``docs`` has doc_id without nulls, and text.
     """
+    # The mark of a text in one bit less than it has could be another's complement: then an
+    # anchor is wanted needlessly, never left out.
     found = store(find_anchors(docs), "anchors")
     seen = found.groupBy("hash").agg(
-        F.count("*").alias("n"), F.min("digest").alias("x"), F.max("digest").alias("y"), F.max("again").alias("again")
-    ).where("x != y or again").select("hash", F.when(F.col("n") > hot, F.floor(F.col("n") / 50)).otherwise(0).alias("parts"))
+        F.count("*").alias("n"), F.min("mark").alias("x"), F.max("mark").alias("y")
+    ).where("x != y").select("hash", F.when(F.col("n") > hot, F.floor(F.col("n") / 50)).otherwise(0).alias("parts"))
     wanted = (
         found.join(seen, "hash").groupBy("doc_id", "digest")
         .agg(F.sort_array(F.collect_set(F.struct("number", "parts"))).alias("wanted"))
