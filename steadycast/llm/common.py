@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from steadycast.session import run_dir
 
@@ -28,6 +29,11 @@ def store(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def nullable(df: DataFrame) -> StructType:
+    """The schema of ``df`` with nulls allowed everywhere, for rows that pass through Python."""
+    return StructType([StructField(f.name, f.dataType, True, f.metadata) for f in df.schema.fields])
+
+
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo ``n``; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from steadycast.llm import charlm
-from steadycast.llm.common import WordHashes, utf8
+from steadycast.llm.common import WordHashes, nullable, utf8
 from steadycast.llm.rules import repeated_lines, repeated_words
 
 MEASURES = 7
@@ -194,4 +194,4 @@ def keep(docs: DataFrame, model: Model | float, threshold: float = 0.3) -> DataF
             texts = [t or "" for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(_scores(shared.value, texts, table, known) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, nullable(docs))

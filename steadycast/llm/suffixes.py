@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from steadycast.llm.common import mix64, store, utf8
+from steadycast.llm.common import mix64, nullable, store, utf8
 
 LENGTH, GRAM = 100, 32
 SPAN = LENGTH - GRAM + 1  # grams in a string
@@ -408,4 +408,4 @@ def clean(docs: DataFrame) -> DataFrame:
 
     keyed = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_ID)))
     found = notes(_keyed(docs)).withColumnRenamed("doc_id", "_key")
-    return keyed.join(found, "_key", "left").select(*names, "found", "copies").mapInArrow(run, docs.schema)
+    return keyed.join(found, "_key", "left").select(*names, "found", "copies").mapInArrow(run, nullable(docs))

@@ -1,0 +1,199 @@
+"""Language, quality, toxicity and rules: closed forms, held-out accuracy, odd rows."""
+
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from steadycast.llm import charlm, langid, mixing, quality, queries, rules, toxicity
+from steadycast.llm.common import WordHashes
+
+SCHEMA = "doc_id long, text string, lang string, source string, score double, bits int"
+LONG = "/root/testdata/sf0.01"
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(*r, *["en", "s1"][len(r) - 2 :], 0.5, 3) for r in rows], SCHEMA)
+
+
+def test_model_is_a_distribution():
+    """Probabilities of all symbols after a context add up to one, at every order and context."""
+    rng = np.random.default_rng(1)
+    texts = ["".join(rng.choice(list("ab c"), 300)) for _ in range(3)]
+    keys, n = charlm.keys_of(texts, charlm.letters_table(), False)
+    assert n.sum() == len(keys) == 900
+    grams, counts = np.unique(keys, return_counts=True)
+    for modified in (False, True):
+        model = charlm.KneserNey.fit(grams, counts, modified)
+        for context in (int(grams[0]) >> 6, int(grams[5]) >> 6, (1 << 18) - 1, 9):
+            every = (context << 6 | np.arange(64)).astype(np.uint32)
+            assert np.exp2(model.log2(every, charlm.ORDER).astype(float)).sum() == pytest.approx(1, abs=1e-3)
+
+
+def test_keys_of_texts_do_not_mix():
+    table = charlm.letters_table()
+    parts = ["ab", "", "c", "a  b"]
+    keys, n = charlm.keys_of(parts, table, True)
+    alone = [charlm.keys_of([p], table, True)[0] for p in parts]
+    assert n.tolist() == [2, 0, 1, 3] and keys.tolist() == np.concatenate(alone).tolist()
+
+
+def test_language_of_held_out_rows(spark):
+    out = queries.QUERIES["op5_language_id"](spark, LONG)
+    truth = spark.read.parquet(f"{LONG}/documents.parquet").select("doc_id", "lang", "text")
+    rows = out.join(truth, "doc_id").collect()
+    assert len(rows) == truth.count()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1 for r in rows)
+    held = [r for r in rows if r.held_out]
+    assert np.mean([r.lang == r.lang_pred for r in held]) > 0.97
+
+
+def test_language_odd_rows(spark):
+    fold = F.lit(0)
+    rows = [(1, "der hund und die katze " * 9, "de"), (2, "the dog and the cat " * 9, "en"), (3, None, "en"), (4, "123 ###", "en"), (5, "the cat", None), (None, "", None)]
+    got = {r.doc_id: r for r in langid.identify(frame(spark, rows), fold, (0,), (3,)).collect()}
+    assert [got[i].lang_pred for i in (1, 2, 3, 4, 5, None)] == ["de", "en", "und", "und", "en", "und"]
+    assert got[3].score == 0 and got[3].rejected
+    none = langid.identify(frame(spark, [(1, "abc", None)]), fold, (0,), (3,)).collect()
+    assert [(r.lang_pred, r.score) for r in none] == [("und", 0.0)]
+    assert langid.identify(frame(spark, []), fold, (0,), (3,)).count() == 0
+
+
+def area(truth, score):
+    order = np.argsort(score)
+    rank = np.empty(len(order))
+    rank[order] = np.arange(1, len(order) + 1)
+    ones = sum(truth)
+    return (rank[np.array(truth) == 1].sum() - ones * (ones + 1) / 2) / (ones * (len(truth) - ones))
+
+
+@pytest.mark.parametrize("name, label, least", [("op6_quality_classifier", "quality", 0.97), ("op8_toxicity", "toxic", 0.7)])
+def test_held_out_labels(spark, name, label, least):
+    out = queries.QUERIES[name](spark, LONG)
+    docs = spark.read.parquet(f"{LONG}/documents.parquet").count()
+    truth = spark.read.parquet(f"{LONG}/labels.parquet")
+    rows = out.join(truth, "doc_id").where("held_out").collect()
+    assert out.count() == docs
+    assert area([r[label] for r in rows], [r.score for r in rows]) > least
+
+
+def test_quality_odd_rows(spark):
+    good = [(i, f"Plain words of prose number {i} that say a thing or two." * 3) for i in range(40)]
+    bad = [(100 + i, "### $$$ %%% " * 20 + str(i)) for i in range(40)]
+    df = frame(spark, [*good, *bad, (500, None), (501, ""), (None, "words")])
+    labels = spark.createDataFrame([(i, 1) for i, _ in good] + [(i, 0) for i, _ in bad] + [(7777, 1), (None, 1), (3, None)], "doc_id long, quality int")
+    model = quality.learn(df, labels)
+    scores = {r.doc_id: r.score for r in quality.score(df, model).collect()}
+    assert min(scores[i] for i, _ in good) > 0.5 > max(scores[i] for i, _ in bad) and all(0 <= s <= 1 for s in scores.values())
+    kept = quality.keep(df, model)
+    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} >= {i for i, _ in good}
+    assert quality.learn(df, labels.where("quality = 5")) == 0.5
+    assert quality.score(frame(spark, []), 0.5).count() == 0
+
+
+def test_non_negative_risk_finds_the_boundary():
+    rng = np.random.default_rng(2)
+    positive = rng.normal(2, 1, (400, 2)).astype(np.float32)
+    unlabelled = np.vstack([rng.normal(2, 1, (300, 2)), rng.normal(-2, 1, (300, 2))]).astype(np.float32)
+    model = quality.fit(positive, unlabelled, 0.5)
+    assert (model.scores(unlabelled[:300]) > 0.5).mean() > 0.95 and (model.scores(unlabelled[300:]) < 0.5).mean() > 0.95
+
+
+def test_toxicity_locates_sentences(spark):
+    rng = random.Random(3)
+    plain = lambda: " ".join(rng.choice("alpha beta gamma delta epsilon zeta".split()) for _ in range(9)) + ". "
+    docs = [(i, plain() * 3 + ("You are a stinker. " if i % 4 == 0 else "") + plain()) for i in range(200)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in docs] + [(999, 1), (None, 1)], "doc_id long, toxic int")
+    df = frame(spark, [*docs, (900, None), (901, ""), (None, "You stinker.")])
+    model = toxicity.learn(df, labels)
+    got = {r.doc_id: r for r in toxicity.score(df, model).collect()}
+    texts = dict(docs)
+    for i, text in docs:
+        assert (got[i].score >= 0.5) == (i % 4 == 0)
+        spans = [text[s.start : s.start + s.length] for s in got[i].offending]
+        assert all("stinker" in s for s in spans) and bool(spans) == (i % 4 == 0), texts[i]
+    assert got[900].score == got[901].score == 0 and got[None].score >= 0.5
+    assert toxicity.learn(df, labels.where("toxic = 0")) is None
+    assert {r.score for r in toxicity.score(df, None).collect()} == {0.0}
+    assert toxicity.score(frame(spark, []), model).count() == 0
+
+
+def test_base_counts_equal_brute_force():
+    rng = random.Random(4)
+    texts = ["", "a", " \n\t", "x\x0by\x0cz\r\n", "a b c d e a b c d e", "l\nl\n\n l\nl", "# $ %%"]
+    texts += [" ".join(rng.choice("ab cd ef #".split()) for _ in range(rng.randrange(60))).replace(" ef", "\nef") for _ in range(60)]
+    got = rules.base_counts(texts, WordHashes())
+    for text, row in zip(texts, got):
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        windows = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+        count = Counter(windows)
+        covered = {i + k for i, w in enumerate(windows) if count[w] > 1 for k in range(5)}
+        lines = [s for s in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", s)]
+        want = [len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered)]
+        assert row.tolist() == want, text
+
+
+def test_rules_keep_prose_and_reject_noise(spark):
+    rng = random.Random(6)
+    vocabulary = "house tree river stone cloud bread letter music garden window".split()
+    prose = lambda: " ".join(rng.choice(vocabulary) for _ in range(60)) + "."
+    rows = [(i, prose()) for i in range(450)] + [(900, "xqzvk jjwqx " + " ".join("".join(rng.choices("qxzjvkw", k=7)) for _ in range(60)))]
+    rows += [(901, None), (902, ""), (903, "too short"), (904, "same words go here now " * 20), (905, prose(), None, None)]
+    got = {r.doc_id: r for r in rules.judge(frame(spark, rows)).collect()}
+    assert np.mean([got[i].kept for i in range(150)]) > 0.95
+    assert not any(got[i].kept for i in (900, 901, 902, 903, 904)) and got[900].base_failed is False
+    assert got[901].base_failed and got[904].base_failed and got[901].n_words == 0
+    assert rules.judge(frame(spark, [])).count() == 0
+
+
+def test_shortages_go_to_siblings_first(spark):
+    words = lambda n: "w " * n
+    rows = [(i, words(100), "en", "s0") for i in range(10)] + [(100, words(50), "de", "s2")] + [(200 + i, words(100), "en", "s1") for i in range(10)]
+    rows += [(300, None, None, None), (301, "", "en", "s0")]
+    out = mixing.mix(frame(spark, rows), total=F.lit(900), epochs=1).collect()
+    used = Counter()
+    for r in out:
+        used[r.domain, r.lang] += r.copies * r.tokens
+    # domain0 and domain1 get 450 each; de holds 50 only, so en of its domain takes 400 of the 450.
+    assert used == {("domain0", "de"): 50, ("domain0", "en"): 400, ("domain1", "en"): 400, ("(none)", "(none)"): 0}
+    assert len(out) == len(rows)
+    every = mixing.mix(frame(spark, rows), total=F.lit(10**9), epochs=2).collect()
+    assert {r.copies for r in every if r.tokens} == {2}
+    assert mixing.mix(frame(spark, [])).count() == 0
+
+
+def test_prefix_of_seeded_epochs_is_brute_force(spark):
+    import hashlib
+
+    rng = random.Random(8)
+    rows = [(i, "w " * rng.randrange(1, 20), "en", "s1") for i in range(300)]
+    out = {r.doc_id: r.copies for r in mixing.mix(frame(spark, rows), total=F.lit(4000), epochs=3).collect()}
+    sizes = {i: len(t.split()) for i, t, _, _ in rows}
+    whole, rest = divmod(4000, sum(sizes.values()))
+    order = sorted(sizes, key=lambda i: hashlib.md5(f"7:{whole}:{i}".encode()).hexdigest())
+    want, total = {}, 0
+    for i in order:
+        total += sizes[i]
+        want[i] = whole + (total <= rest)
+    assert out == want
+
+
+def test_pipeline_stages(spark, sf_dir):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    columns, before = docs.columns, docs.count()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.common.store(stage(spark, docs, sf_dir), "test")
+        assert docs.columns == columns and 0 < docs.count() <= before, name
+        assert docs.select("doc_id").distinct().count() == docs.count()
+        before = docs.count()
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
+    assert pieces.select("doc_id").distinct().count() == before
+    empty = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, sf_dir).count() == 0
