@@ -9,8 +9,9 @@ meet under one of their ``COORDINATES - MATCHES + 1`` rarest, so the common pair
 A list is not expanded into its pairs. It is cut into blocks, agreements are counted between
 the documents of two blocks at a time, and only a spanning forest of the best candidates is
 confirmed first; confirmed links join into components. Pairs within a component are skipped from
-then on. Between components that still meet, the best few candidates of each document are
-confirmed next, and in the end all that are left. Every link is confirmed on the full sets.
+then on. What still agrees often enough between two components is then confirmed in full, packed
+by blocks of a component, so that a text is sent to a block once and not to each of its pairs.
+Every link is confirmed on the full sets.
 
 Two sets of Jaccard index 0.8 agree in fewer than 36 of 64 places in about 3 of a million cases;
 that is the only way to lose a link, and only if no other link connects the two.
@@ -193,12 +194,19 @@ def forest(same: np.ndarray, label: np.ndarray) -> list[tuple[int, int, int]]:
     return found
 
 
-def residual(posted: DataFrame, sets: DataFrame, percent: int, most: int | None, block: int = 700) -> DataFrame:
-    """Candidate pairs (a, b, matches) of different labels from lists that hold several labels.
+PAIRS = "a long, b long"
+GROUPED = "label long, block long, share long, a long, others array<long>"
 
-    ``posted``: (token, rep, label). A list is cut into blocks, and each pair of its blocks is one
-    group, so a group is bounded. ``most`` 0: a spanning forest of the candidates of a group;
-    else the best ``most`` candidates of each document for each other label; None: all.
+
+def residual(posted: DataFrame, sets: DataFrame, percent: int, shares: int | None, block: int = 700) -> DataFrame:
+    """Candidates of different labels from lists that hold several labels.
+
+    ``posted``: (token, rep, label, members), the last being the size of the label. A list is cut
+    into blocks, and each pair of its blocks is one group, so a group is bounded.
+
+    Without ``shares``: pairs (a, b), a spanning forest of the candidates of each group. With it:
+    all candidates, packed by document as ``GROUPED``: those of ``a`` in one block of a label,
+    documents like ``a`` being dealt out to ``shares`` shares.
     """
     lists = posted.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("size")).where("x != y")
     lists = lists.select("token", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
@@ -207,40 +215,36 @@ def residual(posted: DataFrame, sets: DataFrame, percent: int, most: int | None,
     others = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(
         F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: o != F.col("own"))
     )
-    rows = rows.select("token", "rep", "label", "own", F.explode(others).alias("other"))
+    rows = rows.select("token", "rep", "label", "members", "own", F.explode(others).alias("other"))
     rows = rows.join(sets.select("rep", "n", "sig"), "rep").select(
-        "token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "label", "n", "sig"
+        "token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "label", "n", "members", "sig"
     )
 
-    def large(rep: np.ndarray, label: np.ndarray, n: np.ndarray, sig: np.ndarray) -> list[tuple]:
-        if most == 0:
-            return [(rep[y], rep[x], m) for x, y, m in forest(agreements(sig, n, np.arange(len(rep)), percent), label)]
+    def large(rep: np.ndarray, label: np.ndarray, n: np.ndarray, members: np.ndarray, sig: np.ndarray) -> np.ndarray:
+        """Candidates of one group as pairs of its rows."""
+        if shares is None:
+            found = forest(agreements(sig, n, np.arange(len(rep)), percent), label)
+            return np.array([(x, y) for x, y, _ in found], np.int64).reshape(-1, 2).T
         names, counts = np.unique(label, return_counts=True)
         # Pairs within the largest label need no look; every other pair has a row outside it.
         few = np.flatnonzero(label != names[np.argmax(counts)])
-        found = []
+        found = [np.zeros((2, 0), np.int64)]
         for start in range(0, len(few), 256):
             part = few[start : start + 256]
-            for k, row in zip(part, agreements(sig, n, part, percent)):
-                other = np.flatnonzero((row >= MATCHES) & (label != label[k]))
-                if most is not None and len(other) > most:
-                    other = other[np.lexsort((-row[other].astype(np.int16), label[other]))]
-                    lab = label[other]
-                    begins = np.flatnonzero(np.append(True, lab[1:] != lab[:-1]))
-                    other = other[np.arange(len(lab)) - np.repeat(begins, np.diff(np.append(begins, len(lab)))) < most]
-                found += [(rep[k], rep[o], row[o]) for o in other]
-        return found
-
-    def small(starts: np.ndarray, size: int, rep: np.ndarray, label: np.ndarray, n: np.ndarray, sig: np.ndarray) -> Iterator[np.ndarray]:
-        """All candidates of many groups of one small size at a time."""
+            hit = (agreements(sig, n, part, percent) >= MATCHES) & (label[part][:, None] != label[None, :])
+            x, y = np.nonzero(hit)
+            found.append(np.stack([part[x], y]))
+        return np.concatenate(found, axis=1)
+
+    def small(starts: np.ndarray, size: int, rep: np.ndarray, label: np.ndarray, n: np.ndarray, members: np.ndarray, sig: np.ndarray) -> Iterator[np.ndarray]:
+        """Candidates of many groups of one small size at a time."""
         for x in range(size):
             for y in range(x + 1, size):
                 a, b = starts + x, starts + y
                 use = (label[a] != label[b]) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
                 a, b = a[use], b[use]
-                same = (sig[a] == sig[b]).sum(axis=1)
-                hit = same >= MATCHES
-                yield np.stack([rep[a[hit]], rep[b[hit]], same[hit]])
+                hit = (sig[a] == sig[b]).sum(axis=1) >= MATCHES
+                yield np.stack([a[hit], b[hit]])
 
     def solve(keys: list[np.ndarray], columns: list[np.ndarray]) -> pa.RecordBatch:
         change = np.zeros(len(keys[0]), bool)
@@ -249,19 +253,29 @@ def residual(posted: DataFrame, sets: DataFrame, percent: int, most: int | None,
             change[1:] |= k[1:] != k[:-1]
         starts = np.flatnonzero(change)
         sizes = np.diff(np.append(starts, len(change)))
-        parts = [np.zeros((3, 0), np.int64)]
+        parts = [np.zeros((2, 0), np.int64)]
         for size in np.unique(sizes):
             own = starts[sizes == size]
             if 1 < size <= 12:
                 parts += small(own, size, *columns)
             elif size > 12:
-                for at in own:
-                    found = large(*(c[at : at + size] for c in columns))
-                    if found:
-                        parts.append(np.array(found, np.int64).T)
-        a, b, m = np.concatenate(parts, axis=1)
-        out = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b), m]), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in out], names=["a", "b", "matches"])
+                parts += [large(*(c[at : at + size] for c in columns)) + at for at in own]
+        x, y = np.concatenate(parts, axis=1)
+        rep, label, _, members, _ = columns
+        if shares is None:
+            out = np.unique(np.stack([np.maximum(rep[x], rep[y]), np.minimum(rep[x], rep[y])]), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=["a", "b"])
+        # The end in the larger label gives the block, so that its members are gathered once.
+        swap = (members[x] > members[y]) | (members[x] == members[y]) & (label[x] > label[y])
+        x, y = np.where(swap, y, x), np.where(swap, x, y)
+        spread = lambda ids, parts: (mix64(ids.view(np.uint64)) % parts.astype(np.uint64)).astype(np.int64)
+        blocks = spread(rep[y], np.maximum(-(-members[y] // 500), 1))
+        share = spread(rep[x], np.full(len(x), shares, np.int64))
+        out = np.unique(np.stack([label[y], blocks, share, rep[x], rep[y]]), axis=1)
+        new = np.append(True, (out[:4, 1:] != out[:4, :-1]).any(axis=0)) if out.shape[1] else np.zeros(0, bool)
+        heads = np.flatnonzero(new)
+        others = pa.ListArray.from_arrays(pa.array(np.append(heads, out.shape[1]).astype(np.int32)), pa.array(out[4]))
+        return pa.RecordBatch.from_arrays([*(pa.array(c[heads]) for c in out[:4]), others], names=["label", "block", "share", "a", "others"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -269,8 +283,8 @@ def residual(posted: DataFrame, sets: DataFrame, percent: int, most: int | None,
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sig = batch.column(6).flatten().to_numpy().reshape(-1, COORDINATES)
-            held.append([*(batch.column(c).to_numpy() for c in range(6)), sig])
+            sig = batch.column(7).flatten().to_numpy().reshape(-1, COORDINATES)
+            held.append([*(batch.column(c).to_numpy() for c in range(7)), sig])
             waiting += batch.num_rows
             if waiting < 20_000:
                 continue
@@ -288,7 +302,61 @@ def residual(posted: DataFrame, sets: DataFrame, percent: int, most: int | None,
             yield solve(joined[:3], joined[3:])
 
     dealt = rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "rep")
-    return dealt.mapInArrow(merge, "a long, b long, matches long").distinct()
+    if shares is None:
+        return dealt.mapInArrow(merge, PAIRS).distinct()
+    key = ["label", "block", "share", "a"]
+    packed = dealt.mapInArrow(merge, GROUPED).groupBy(*key).agg(F.array_distinct(F.flatten(F.collect_list("others"))).alias("others"))
+    return packed
+
+
+def confirm_grouped(docs: DataFrame, packed: DataFrame, size: int, percent: int, few: int = 200_000) -> DataFrame:
+    """The links (a, b) among packed candidates, on their full sets.
+
+    A group gets the texts of a share of documents and of one block of a label, each once.
+    """
+    group = ["label", "block", "share"]
+    heads = packed.select(*group, F.col("a").alias("doc_id"), "others")
+    members = packed.groupBy(*group).agg(F.array_distinct(F.flatten(F.collect_list("others"))).alias("m"))
+    members = members.select(*group, F.explode("m").alias("doc_id"), F.lit(None).cast("array<long>").alias("others"))
+    wanted = store(heads.unionByName(members), "groups")
+    ids = F.broadcast(wanted) if wanted.count() <= few else wanted
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_ID)).alias("doc_id"), F.col("text").cast("string"))
+    dealt = texts.join(ids, "doc_id").select(*group, "doc_id", "text", "others").repartition(*group).sortWithinPartitions(*group)
+
+    def links(sets: dict[int, np.ndarray], asked: list[tuple[int, list[int]]]) -> list[tuple[int, int]]:
+        out = []
+        for a, others in asked:
+            own = sets[a]
+            for b in others:
+                common = len(np.intersect1d(own, sets[b], assume_unique=True))
+                if common and 100 * common >= percent * (len(own) + len(sets[b]) - common):
+                    out.append((a, b))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, now, sets, asked = WordHashes(), None, {}, []
+        for batch in batches:
+            rows = batch.to_pydict()
+            texts, done = [t or "" for t in rows["text"]], []
+            for start, stop in charlm.chunks(texts):
+                keys, n = shingles(texts[start:stop], size, known)
+                ends = np.cumsum(n)
+                for k in range(start, stop):
+                    at = (rows["label"][k], rows["block"][k], rows["share"][k])
+                    if at != now:
+                        done += links(sets, asked)
+                        now, sets, asked = at, {}, []
+                    sets[rows["doc_id"][k]] = keys[ends[k - start] - n[k - start] : ends[k - start]].copy()
+                    if rows["others"][k]:
+                        asked.append((rows["doc_id"][k], rows["others"][k]))
+            yield _links(done)
+        yield _links(links(sets, asked))
+
+    return dealt.mapInArrow(run, PAIRS)
+
+
+def _links(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
 def relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -314,20 +382,25 @@ def group(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     # Lists of similar documents are many times the same, so two of each document's come first.
     chosen = Window.partitionBy("rep").orderBy(F.xxhash64("token"))
     some = posted.withColumn("k", F.row_number().over(chosen)).where("k <= 2").drop("k")
-    tested = None
-    for lists, most in ((some, 0), (posted, 0), (posted, 8), (posted, None)):
-        pairs = store(residual(lists.join(labels, "rep"), sets, percent, most).select("a", "b"), "candidates")
-        if pairs.isEmpty():
-            if lists is posted:
-                break  # no candidates are left at all
-            continue
-        if tested is not None:
-            pairs = store(pairs.join(tested, ["a", "b"], "left_anti"), "candidates")
-        links = confirm(docs, pairs, size, percent)
+
+    def labelled(lists: DataFrame) -> DataFrame:
+        sizes = labels.groupBy("label").agg(F.count("*").alias("members"))
+        return lists.join(labels.join(sizes, "label"), "rep")
+
+    def joined(links: DataFrame) -> DataFrame:
         x, y = (labels.select(F.col("rep").alias(c), F.col("label").alias(f"l{c}")) for c in "ab")
         links = links.join(x, "a").join(y, "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
-        labels = store(relabel(labels, links), "labels")
-        tested = pairs if tested is None else tested.unionByName(pairs)
+        return store(relabel(labels, links), "labels")
+
+    for lists in (some, posted):
+        pairs = store(residual(labelled(lists), sets, percent, None), "candidates")
+        if pairs.isEmpty():
+            continue
+        labels = joined(confirm(docs, pairs, size, percent))
+    shares = -(-sets.count() // 50_000) or 1
+    packed = store(residual(labelled(posted), sets, percent, shares), "candidates")
+    if not packed.isEmpty():
+        labels = joined(confirm_grouped(docs, packed, size, percent))
 
     of_set = sets.select(*key, "rep").join(labels, "rep").select(*key, "label")
     out = signed.select("doc_id", *key).join(of_set, key, "left")
