@@ -18,7 +18,8 @@ rows is cut into its single strings, dealt out by their own hashes into parts of
 Defined cases. A null text is empty; nothing shorter than ``LENGTH`` bytes is ever removed.
 Null ids come first. Repeated rows (same id, same text) are one document, and each row gets its
 result; rows of one id with different texts are ordered by a hash of the text. An empty table
-gives an empty table. Matches never cross documents.
+gives an empty table. Matches never cross documents. Two different texts around an anchor are taken for copies
+when 31 bits of their digests agree; an anchor that no third text has is then lost.
 """
 
 from __future__ import annotations
@@ -28,10 +29,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from steadycast.llm.common import mix64, nullable, store, utf8
+from steadycast.llm.common import mix64, nullable, utf8
 
 LENGTH, GRAM = 100, 32
 SPAN = LENGTH - GRAM + 1  # grams in a string
@@ -42,7 +44,24 @@ SLAB = 1 << 21
 
 
 def digest(data: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
+    """31 bits that tell apart the texts of one id, and the texts around an anchor."""
+    return int.from_bytes(hashlib.blake2b(data, digest_size=4).digest(), "little") >> 1
+
+
+def squeezed(docs: DataFrame) -> DataFrame:
+    """(doc_id, packed): texts compressed for their way through a shuffle; null stays null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            packed = [None if t is None else press.compress(utf8(t)) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["doc_id", "packed"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, packed binary")
+
+
+def _spread(packed: bytes | None, press: zstandard.ZstdDecompressor) -> bytes:
+    return b"" if packed is None else press.decompress(packed)
 
 
 def gram_hashes(data: bytes) -> np.ndarray:
@@ -172,8 +191,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def find_anchors(docs: DataFrame) -> DataFrame:
-    """(hash, doc_id, digest, number, mark): anchors of every text. ``mark`` is a short digest of
-    the text; of an anchor found again in a text the marks alternate, as if texts differed."""
+    """(hash, doc_id, digest, number, again): anchors of every text; ``again``: not its first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,19 +200,18 @@ def find_anchors(docs: DataFrame) -> DataFrame:
                 data = utf8(text.as_py())
                 h = anchors(data)[0]
                 if len(h):
-                    own = digest(data)
-                    first = np.unique(h, return_index=True)[1]
-                    mark = np.full(len(h), own & 0x7FFFFFFF ^ 0x7FFFFFFF, np.int64)
-                    mark[first] = own & 0x7FFFFFFF
-                    parts.append((h, np.full(len(h), doc_id), np.full(len(h), own), np.arange(len(h), dtype=np.int32), mark.astype(np.int32)))
+                    again = np.ones(len(h), bool)
+                    again[np.unique(h, return_index=True)[1]] = False
+                    own = np.full(len(h), digest(data), np.int32)
+                    parts.append((h, np.full(len(h), doc_id), own, np.arange(len(h), dtype=np.int32), again))
             if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], names=["hash", "doc_id", "digest", "number", "mark"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], names=["hash", "doc_id", "digest", "number", "again"])
 
-    return docs.mapInArrow(run, "hash long, doc_id long, digest long, number int, mark int")
+    return docs.mapInArrow(run, "hash long, doc_id long, digest int, number int, again boolean")
 
 
 def send_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stretches around the wanted anchors of (doc_id, text, digest, wanted) rows.
+    """Stretches around the wanted anchors of (doc_id, packed, digest, wanted) rows.
 
     Of stretches that are equal within the task only the earliest is sent; the others are
     given back at once as repeats, without an anchor.
@@ -216,9 +233,10 @@ def send_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         held.clear()
         return out
 
+    press = zstandard.ZstdDecompressor()
     for batch in batches:
-        for doc_id, text, own, wanted in zip(*(c.to_pylist() for c in batch.columns)):
-            data = utf8(text)
+        for doc_id, packed, own, wanted in zip(*(c.to_pylist() for c in batch.columns)):
+            data = _spread(packed, press)
             if digest(data) != own:
                 continue  # another text of the same id
             hashes, firsts, lasts, places = anchors(data)
@@ -296,22 +314,22 @@ def sort_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield _batch(solve())
 
 
-def repeated(docs: DataFrame, hot: int = 8000) -> DataFrame:
+def repeated(docs: DataFrame, packed: DataFrame, hot: int = 8000) -> DataFrame:
     """Starts of repeated strings: (doc_id, digest, ranges) with ranges of first and last starts.
 
-    ``docs`` has doc_id without nulls, and text.
+    ``docs`` has doc_id without nulls, and text; ``packed`` are the same texts ``squeezed``. The
+    anchors are found twice: storing them would take more room than the work is worth.
     """
-    # The mark of a text in one bit less than it has could be another's complement: then an
-    # anchor is wanted needlessly, never left out.
-    found = store(find_anchors(docs), "anchors")
-    seen = found.groupBy("hash").agg(
-        F.count("*").alias("n"), F.min("mark").alias("x"), F.max("mark").alias("y")
-    ).where("x != y").select("hash", F.when(F.col("n") > hot, F.floor(F.col("n") / 50)).otherwise(0).alias("parts"))
+    found = find_anchors(docs)
+    # A text's second anchor of a kind counts as another text's.
+    mark = F.when(F.col("again"), -1 - F.col("digest")).otherwise(F.col("digest"))
+    seen = found.groupBy("hash").agg(F.count("*").alias("n"), F.min(mark).alias("x"), F.max(mark).alias("y")).where("x != y")
+    seen = seen.select("hash", F.when(F.col("n") > hot, F.floor(F.col("n") / 50)).otherwise(0).alias("parts"))
     wanted = (
-        found.join(seen, "hash").groupBy("doc_id", "digest")
+        found.select("hash", "doc_id", "digest", "number").join(seen, "hash").groupBy("doc_id", "digest")
         .agg(F.sort_array(F.collect_set(F.struct("number", "parts"))).alias("wanted"))
     )
-    texts = docs.join(wanted, "doc_id").select("doc_id", "text", "digest", "wanted")
+    texts = packed.join(wanted, "doc_id").select("doc_id", "packed", "digest", "wanted")
     sent = texts.mapInArrow(send_stretches, ROWS)
     # What is settled already has no anchor; it is spread by its document.
     dealt = sent.repartition(F.coalesce("anchor", F.xxhash64("doc_id", "first")), "part").sortWithinPartitions("anchor", "part")
@@ -342,35 +360,36 @@ def _cut(data: bytes, ranges: list[dict] | None, copy: bool) -> tuple[bytes, int
     return b"".join(kept), removed, runs
 
 
-def notes(docs: DataFrame) -> DataFrame:
+def notes(docs: DataFrame, packed: DataFrame) -> DataFrame:
     """(doc_id, found, copies): ranges of repeated strings by digest, and digests of texts that
-    copy an earlier one. ``docs`` has doc_id without nulls, and text."""
+    copy an earlier one. ``docs`` has doc_id without nulls, and text; ``packed``: see above."""
     sha = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("sha")
     firsts = docs.groupBy(sha).agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1")
     copies = docs.select("doc_id", sha).join(firsts, "sha").where("doc_id > least")
     copies = copies.groupBy("doc_id").agg(F.collect_set("sha").alias("copies"))
-    ranges = repeated(docs).groupBy("doc_id").agg(F.collect_list(F.struct("digest", "ranges")).alias("found"))
+    ranges = repeated(docs, packed).groupBy("doc_id").agg(F.collect_list(F.struct("digest", "ranges")).alias("found"))
     return ranges.join(copies, "doc_id", "full_outer")
 
 
-def _left(text: str | None, found: list[dict] | None, copies: list[str] | None) -> tuple[bytes, bytes, int, int]:
-    data = utf8(text)
+def _left(data: bytes, found: list[dict] | None, copies: list[str] | None) -> tuple[bytes, int, int]:
     ranges = None
     if found:
         own = digest(data)
         ranges = [r for f in found if f["digest"] == own for r in f["ranges"]]
     copy = bool(copies) and hashlib.sha256(data).hexdigest() in copies
-    return (data, *_cut(data, ranges, copy))
+    return _cut(data, ranges, copy)
 
 
 def remove(docs: DataFrame) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept`` for every row; kept: the bytes left."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdDecompressor()
         for batch in batches:
             rows = []
-            for doc_id, text, found, copies in zip(*(c.to_pylist() for c in batch.columns)):
-                data, kept, removed, runs = _left(text, found, copies)
+            for doc_id, packed, found, copies in zip(*(c.to_pylist() for c in batch.columns)):
+                data = _spread(packed, press)
+                kept, removed, runs = _left(data, found, copies)
                 rows.append((None if doc_id == LEAST_ID else doc_id, len(data), removed, runs, hashlib.sha256(kept).hexdigest()))
             columns = list(zip(*rows)) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays(
@@ -380,7 +399,9 @@ def remove(docs: DataFrame) -> DataFrame:
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     keyed = _keyed(docs)
-    return keyed.join(notes(keyed), "doc_id", "left").select("doc_id", "text", "found", "copies").mapInArrow(run, schema)
+    packed = squeezed(keyed)
+    # The shuffle of the texts serves both joins.
+    return packed.join(notes(keyed, packed), "doc_id", "left").select("doc_id", "packed", "found", "copies").mapInArrow(run, schema)
 
 
 def clean(docs: DataFrame) -> DataFrame:
@@ -396,7 +417,7 @@ def clean(docs: DataFrame) -> DataFrame:
         for batch in batches:
             texts, stay = [], []
             for text, found, copies in zip(batch.column(at).to_pylist(), *(batch.column(len(names) + k).to_pylist() for k in (0, 1))):
-                _, kept, removed, _ = _left(text, found, copies)
+                kept, removed, _ = _left(utf8(text), found, copies)
                 texts.append(kept.decode("utf-8", "ignore") if removed else text)
                 stay.append(not removed or bool(texts[-1].strip()))
             columns = list(batch.columns[: len(names)])
@@ -407,5 +428,6 @@ def clean(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(stay, pa.bool_()))
 
     keyed = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_ID)))
-    found = notes(_keyed(docs)).withColumnRenamed("doc_id", "_key")
+    own = _keyed(docs)
+    found = notes(own, squeezed(own)).withColumnRenamed("doc_id", "_key")
     return keyed.join(found, "_key", "left").select(*names, "found", "copies").mapInArrow(run, nullable(docs))

@@ -134,7 +134,7 @@ def repeated_docs():
 def test_repeated_strings(spark, monkeypatch, hot):
     docs = repeated_docs()
     whole = suffixes.repeated
-    monkeypatch.setattr(suffixes, "repeated", lambda d: whole(d, hot))
+    monkeypatch.setattr(suffixes, "repeated", lambda d, p: whole(d, p, hot))
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.remove(frame(spark, docs).repartition(5)).collect()}
     assert got == cut(docs)
 
