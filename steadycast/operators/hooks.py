@@ -47,18 +47,25 @@ def calibrate_with(calibrator: Any, probability: str) -> Column:
 
 
 def complete_with(prompts: DataFrame, generate_json: Callable[[str], str], output: str = "explanation") -> DataFrame:
-    """Fill the explanation from a client function of the prompt; a failure gives null."""
-    kept = prompts.drop(output)
+    """Fill the explanation from a client function of the prompt.
+
+    A failed call is a rejected case, not a failed job: it gives null, and the failure is kept
+    in ``<output>_error``, so that failures can be counted and told apart.
+    """
+    error = f"{output}_error"
+    kept = prompts.drop(output, error)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = []
+            texts, failures = [], []
             for prompt in batch["prompt"]:
                 try:
                     texts.append(generate_json(prompt))
-                except Exception:  # a failed call is a rejected case, not a failed job
+                    failures.append(None)
+                except Exception as failure:
                     texts.append(None)
-            yield batch.assign(**{output: texts})
+                    failures.append(f"{type(failure).__name__}: {failure}")
+            yield batch.assign(**{output: texts, error: failures})
 
-    schema = StructType([*kept.schema.fields, StructField(output, StringType())])
+    schema = StructType([*kept.schema.fields, StructField(output, StringType()), StructField(error, StringType())])
     return kept.mapInPandas(run, schema)

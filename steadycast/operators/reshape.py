@@ -91,10 +91,16 @@ def selection_predictions(
     )
 
 
+def undecided() -> Column:
+    """True where neither an abstention nor a prediction is stated."""
+    return F.col("abstain").isNull() | (~F.col("abstain") & F.col("predicted_poor_qoe").isNull())
+
+
 def decision_label() -> Column:
-    """'abstain', 'future_poor_qoe' or 'future_acceptable_qoe'."""
+    """'abstain', 'future_poor_qoe' or 'future_acceptable_qoe'; a missing decision is an error."""
     return (
-        F.when(F.col("abstain"), "abstain")
+        F.when(undecided(), F.raise_error(F.lit("a decision is missing")).cast("string"))
+        .when(F.col("abstain"), "abstain")
         .when(F.col("predicted_poor_qoe") == 1, "future_poor_qoe")
         .otherwise("future_acceptable_qoe")
     )

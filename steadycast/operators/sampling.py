@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from steadycast.functions.scalar import epoch_micros
+from steadycast.operators.reshape import undecided
 from steadycast.params import ROW_KEY
 
 SALTS = 256
@@ -48,9 +49,10 @@ POOR, ACCEPTABLE, ABSTENTION = "accepted_poor_qoe", "accepted_acceptable_qoe", "
 
 
 def review_category() -> Column:
-    """Stratum of a decided row."""
+    """Stratum of a decided row; a missing decision is an error."""
     return (
-        F.when(F.col("abstain"), ABSTENTION)
+        F.when(undecided(), F.raise_error(F.lit("a decision is missing")).cast("string"))
+        .when(F.col("abstain"), ABSTENTION)
         .when(F.col("predicted_poor_qoe") == 1, POOR)
         .otherwise(ACCEPTABLE)
     )

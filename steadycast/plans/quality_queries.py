@@ -430,13 +430,16 @@ def file_manifest_differences(spark, sf_dir):
 @query(
     "table_fingerprint",
     """SELECT count(*) AS rows, CAST(sum(CAST('0x' || substr(md5(concat_ws('|', event_id, epoch_us(ts), user_id,
-         coalesce(event_type, '<null>'), coalesce(props, '<null>'))), 1, 12) AS BIGINT)) AS VARCHAR) AS content
+         coalesce(event_type, '<null>'), coalesce(CAST(CAST(value AS DECIMAL(38, 9)) AS VARCHAR), '<null>'),
+         coalesce(props, '<null>'))), 1, 12) AS BIGINT)) AS VARCHAR) AS content
        FROM events""",
 )
 def table_fingerprint(spark, sf_dir):
     """Row count and content hash that ignore row order and partitioning."""
     e = views.table(spark, sf_dir, "events")
-    columns = [F.col("event_id"), epoch_micros(F.col("ts")), F.col("user_id"), F.col("event_type"), F.col("props")]
+    # A number as text of fixed places, so that another engine gives the same.
+    value = F.col("value").cast("decimal(38,9)").cast("string")
+    columns = [F.col("event_id"), epoch_micros(F.col("ts")), F.col("user_id"), F.col("event_type"), value, F.col("props")]
     return lineage.fingerprint(e, columns).select("rows", "content")
 
 

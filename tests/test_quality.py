@@ -266,3 +266,29 @@ def test_one_to_one_join_rejects_null_keys(spark):
     side = spark.createDataFrame([(1, "a"), (None, "b")], "k int, v string")
     with pytest.raises(ValueError, match="null in a key"):
         reconcile.join_one_to_one(side, side.withColumnRenamed("v", "w"), ["k"])
+
+
+def test_repeated_cases_are_reported_once(spark):
+    export = spark.createDataFrame([("a", 1), ("b", 2), ("b", 2), ("c", 3)], "case_id string, v int")
+    done = spark.createDataFrame([("a", 1), ("b", 2), ("c", 4), ("c", 4), ("d", 5)], "case_id string, v int")
+    got = {r.case_id: r.problems for r in reviews.changed_records(export, done, ["v"]).collect()}
+    assert got == {
+        "b": ["repeated in the export"], "c": ["repeated among the completed", "changed v"], "d": ["not exported"],
+    }
+
+
+def test_failed_calls_keep_their_reason(spark):
+    def answer(prompt):
+        if prompt == "bad":
+            raise KeyError("no answer")
+        return prompt.upper()
+
+    df = spark.createDataFrame([("ok",), ("bad",)], "prompt string")
+    got = {r.prompt: (r.explanation, r.explanation_error) for r in hooks.complete_with(df, answer).collect()}
+    assert got == {"ok": ("OK", None), "bad": (None, "KeyError: 'no answer'")}
+
+
+def test_missing_decisions_are_an_error(spark):
+    df = spark.createDataFrame([(None, 1), (False, 0)], "abstain boolean, predicted_poor_qoe int")
+    with pytest.raises(Exception, match="a decision is missing"):
+        df.select(reshape.decision_label()).collect()
