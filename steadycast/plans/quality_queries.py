@@ -101,7 +101,9 @@ def source_reconciliation(spark, sf_dir):
              count(*) = count(*) FILTER (event_id % 97 <> 0) AS same_number_of_rows,
              count(*) FILTER (event_id % 97 = 0) = 0 AS same_keys, true AS same_values,
              round(count(*) FILTER (event_id % 97 <> 0 AND (event_id % 3 = 0 OR throughput_mbps = 0))
-               / count(*) FILTER (event_id % 97 <> 0), 6) AS throughput_equal_fraction
+               / count(*) FILTER (event_id % 97 <> 0), 6) AS throughput_equal_fraction,
+             round((4 * count(*) FILTER (event_id % 97 <> 0) - count(*) FILTER (event_id % 97 <> 0 AND event_id % 5 = 0))
+               / (4 * count(*) FILTER (event_id % 97 <> 0)), 6) AS mos_equal_fraction
            FROM phys GROUP BY base_station"""
     ),
 )
@@ -110,7 +112,14 @@ def scenario_comparison(spark, sf_dir):
     settings = F.explode(
         F.when(F.col("event_id") % 97 == 0, F.array(F.lit(5))).otherwise(F.array(F.lit(5), F.lit(40)))
     )
-    df = views.physical(spark, sf_dir).withColumn("prb", settings)
+    df = views.physical(spark, sf_dir)
+    scores = [f"mos_{b}" for b in RESOLUTION_BY_BITRATE]
+    df = df.withColumns(
+        {f"mos_{b}": 1 + 4 * F.least(F.lit(1.0), F.col("throughput_mbps") / (b / 1000)) for b in RESOLUTION_BY_BITRATE}
+    )
+    df = df.withColumn("prb", settings)
+    higher = (F.col("prb") == 40) & (F.col("event_id") % 5 == 0)
+    df = df.withColumn(scores[-1], F.when(higher, F.col(scores[-1]) + 0.5).otherwise(F.col(scores[-1])))
     changed = (F.col("prb") == 40) & (F.col("event_id") % 3 != 0)
     df = df.withColumn(
         "throughput_mbps",
@@ -118,9 +127,10 @@ def scenario_comparison(spark, sf_dir):
     )
     out = reconcile.scenario_comparison(
         df, "base_station", "prb", ["user_id", "timestamp"], ["latitude", "longitude"],
-        {"throughput": ["throughput_mbps"]},
+        {"throughput": ["throughput_mbps"], "mos": scores},
     )
-    return out.withColumn("throughput_equal_fraction", F.round("throughput_equal_fraction", 6))
+    shares = ("throughput_equal_fraction", "mos_equal_fraction")
+    return out.withColumns({c: F.round(c, 6) for c in shares})
 
 
 @query(
