@@ -32,6 +32,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from steadycast.llm.common import mix64, nullable, utf8
 
@@ -411,23 +412,35 @@ def clean(docs: DataFrame) -> DataFrame:
     anew. A row whose text is cut to nothing is left out.
     """
     names = docs.columns
-    at, counted = names.index("text"), names.index("n_chars") if "n_chars" in names else None
+    counted = "n_chars" in names
+    kinds = nullable(docs)
+
+    def press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tool, at = zstandard.ZstdCompressor(level=3), names.index("text")
+        for batch in batches:
+            columns = list(batch.columns)
+            columns[at] = pa.array([None if t is None else tool.compress(utf8(t)) for t in columns[at].to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays(columns, names=[*names, "_key"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tool, at = zstandard.ZstdDecompressor(), names.index("text")
         for batch in batches:
             texts, stay = [], []
-            for text, found, copies in zip(batch.column(at).to_pylist(), *(batch.column(len(names) + k).to_pylist() for k in (0, 1))):
-                kept, removed, _ = _left(utf8(text), found, copies)
-                texts.append(kept.decode("utf-8", "ignore") if removed else text)
+            for packed, found, copies in zip(batch.column(at).to_pylist(), *(batch.column(len(names) + k).to_pylist() for k in (0, 1))):
+                data = _spread(packed, tool)
+                kept, removed, _ = _left(data, found, copies)
+                texts.append(None if packed is None else kept.decode("utf-8", "ignore" if removed else "strict"))
                 stay.append(not removed or bool(texts[-1].strip()))
             columns = list(batch.columns[: len(names)])
             columns[at] = pa.array(texts, pa.string())
-            if counted is not None:
+            if counted:
                 size = pa.array([None if t is None else len(t) for t in texts], pa.int64())
-                columns[counted] = size.cast(batch.column(counted).type)
+                columns[names.index("n_chars")] = size.cast(batch.column(names.index("n_chars")).type)
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(stay, pa.bool_()))
 
     keyed = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_ID)))
     own = _keyed(docs)
     found = notes(own, squeezed(own)).withColumnRenamed("doc_id", "_key")
-    return keyed.join(found, "_key", "left").select(*names, "found", "copies").mapInArrow(run, nullable(docs))
+    small = StructType([StructField(f.name, BinaryType() if f.name == "text" else f.dataType) for f in kinds.fields])
+    keyed = keyed.mapInArrow(press, small.add("_key", "long"))
+    return keyed.join(found, "_key", "left").select(*names, "found", "copies").mapInArrow(run, kinds)
