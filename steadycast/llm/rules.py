@@ -1,12 +1,13 @@
 """Quality rules: counts of words, signs, repeated lines and windows, and perplexity bands.
 
 A character model with modified Kneser-Ney smoothing is counted by Spark for each language over
-all texts that are mostly words. A document is kept when it passes the base rules and its bits
+all texts that are mostly words in any script, or all texts of a language that has none of
+these; so every language with text has a model and a band. A document is kept when it passes the base rules and its bits
 a symbol lie inside the band of its language, which is taken from the scores of all documents.
 
 Defined cases. A null text has no words and fails the base rules. Documents without a language
-form a language of their own. A language without a model or without scores keeps what passes
-the base rules. Repeated rows are judged alike. An empty table gives an empty table. Texts are
+form a language of their own. A language without any text has no model and no band, and
+nothing in it passes the base rules. Repeated rows are judged alike. An empty table gives an empty table. Texts are
 used whole. Languages are few: their models are broadcast, 2^24 keys each at most.
 """
 
@@ -75,11 +76,11 @@ def base_counts(texts: list[str], known: WordHashes) -> np.ndarray:
 
 
 def mostly_words(text: str = "text", share: float = 0.02):
-    """Few signs and not all capitals: texts that the models are counted on."""
+    """Few signs, and at least half of it letters that are no capitals, in any script."""
     c = F.col(text)
     signs = F.length(c) - F.length(F.translate(c, SIGNS, ""))
-    lower = F.length(F.translate(c, "abcdefghijklmnopqrstuvwxyz", ""))
-    return (signs <= share * F.length(c)) & (2 * lower <= F.length(c))
+    letters = F.length(c) - F.length(F.regexp_replace(c, r"[\p{Ll}\p{Lo}\p{Lm}\p{M}]+", ""))
+    return (signs <= share * F.length(c)) & (2 * letters >= F.length(c))
 
 
 def judge(docs: DataFrame, quantile: float = 0.005, reach: float = 1.5, slack: float = 3.0) -> DataFrame:
@@ -95,6 +96,10 @@ def judge(docs: DataFrame, quantile: float = 0.005, reach: float = 1.5, slack: f
         F.col("text").cast("string"),
     )
     rows = rows.withColumn("plain", F.coalesce(mostly_words(), F.lit(False)))
+    # A language without such texts is modelled on all it has.
+    odd = rows.groupBy("lang").agg(F.max("plain").alias("any")).where(~F.col("any")).select("lang", F.lit(True).alias("odd"))
+    rows = rows.join(F.broadcast(store(odd, "odd-langs")), "lang", "left")
+    rows = rows.withColumn("plain", F.col("plain") | (F.col("odd").isNotNull() & F.col("text").isNotNull()))
     grams = charlm.count_grams(rows.where("plain"), charlm.text_table(), False)
     shared = spark.sparkContext.broadcast(charlm.fit_all(grams, True))
 
@@ -120,9 +125,11 @@ def judge(docs: DataFrame, quantile: float = 0.005, reach: float = 1.5, slack: f
     schema = "doc_id long, lang string, plain boolean, bits double, " + ", ".join(f"{c} long" for c in COUNTS)
     stored = store(rows.select("doc_id", "lang", "text", "plain").mapInArrow(score, schema), "rules")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    edges = (
-        stored.where(F.col("plain") & ~failed & F.col("bits").isNotNull()).groupBy("lang")
-        .agg(F.percentile_approx("bits", F.array(*map(F.lit, (quantile, 0.5, 1 - quantile))), 10000).alias("q"))
+    at = F.array(*map(F.lit, (quantile, 0.5, 1 - quantile)))
+    # Where no text that the model is counted on passes the base rules, others give the band.
+    choices = [F.when(which, F.col("bits")) for which in (F.col("plain") & ~failed, ~failed, F.lit(True))]
+    edges = stored.where(F.col("bits").isNotNull()).groupBy("lang").agg(
+        F.coalesce(*(F.percentile_approx(c, at, 10000) for c in choices)).alias("q")
     )
     low = F.col("q")[1] - reach * (F.col("q")[1] - F.col("q")[0])
     high = F.col("q")[1] + reach * (F.col("q")[2] - F.col("q")[1])

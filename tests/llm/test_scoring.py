@@ -150,6 +150,24 @@ def test_rules_keep_prose_and_reject_noise(spark):
     assert rules.judge(frame(spark, [])).count() == 0
 
 
+def test_rules_have_a_model_and_a_band_for_every_language(spark):
+    rng = random.Random(9)
+    ru = "дом дерево река камень облако хлеб письмо музыка сад окно".split()
+    zh = ["".join(rng.choices("山水火土木金日月人口", k=3)) for _ in range(12)]
+    caps = "HOUSE TREE RIVER STONE CLOUD BREAD LETTER MUSIC GARDEN WINDOW".split()
+    rows, n = [], 0
+    for lang, words in (("ru", ru), ("zh", zh), ("caps", caps)):
+        for _ in range(200):
+            rows.append((n, " ".join(rng.choice(words) for _ in range(60)), lang, "s"))
+            n += 1
+    noise = {"ru": "ъыьщэжфцшчюй", "zh": "龘靐齉爩鱻麤灪籲"}
+    rows += [(1000 + i, " ".join("".join(rng.choices(noise[lang], k=7)) for _ in range(60)), lang, "s") for i, lang in enumerate(noise)]
+    got = {r.doc_id: r for r in rules.judge(frame(spark, rows)).collect()}
+    assert all(got[i].bits is not None for i in got)
+    assert all(np.mean([got[i].kept for i in range(k, k + 200)]) > 0.95 for k in (0, 200, 400))
+    assert not any(got[1000 + i].kept or got[1000 + i].base_failed for i in range(2))
+
+
 def test_shortages_go_to_siblings_first(spark):
     words = lambda n: "w " * n
     rows = [(i, words(100), "en", "s0") for i in range(10)] + [(100, words(50), "de", "s2")] + [(200 + i, words(100), "en", "s1") for i in range(10)]
