@@ -8,7 +8,8 @@ a symbol lie inside the band of its language, which is taken from the scores of
 Defined cases. A null text has no words and fails the base rules. Documents without a language
 form a language of their own. A language without any text has no model and no band, and
 nothing in it passes the base rules. Repeated rows are judged alike. An empty table gives an empty table. Texts are
-used whole. Languages are few: their models are broadcast, 2^24 keys each at most.
+used whole. Of a language, only discounts and a band are broadcast; see ``gramtable`` for its model.
+Texts are dealt out in chunks of bounded size; a chunk gets the scores of its distinct grams.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from steadycast.llm import charlm
+from steadycast.llm import charlm, gramtable
 from steadycast.llm.common import WordHashes, mix64, store, utf8
 
 SIGNS = "#*$%&|<>"
@@ -28,6 +29,7 @@ SPACES = " \t\n\x0b\x0c\r"
 NO_LANG = "und"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 WINDOW = 5
+CHUNKS, CHUNK_CHARS = 256, 1 << 22
 
 
 def repeated_lines(text: str) -> int:
@@ -90,40 +92,38 @@ def judge(docs: DataFrame, quantile: float = 0.005, reach: float = 1.5, slack: f
     that are mostly words, and ``slack`` bits, divided by the root of the length, farther: the
     mean over a short text scatters more.
     """
-    spark = docs.sparkSession
     rows = docs.select(
         F.col("doc_id").cast("long"), F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANG)).alias("lang"),
         F.col("text").cast("string"),
     )
     rows = rows.withColumn("plain", F.coalesce(mostly_words(), F.lit(False)))
+    held = rows.groupBy("lang").agg(F.max("plain").alias("any"), F.sum(F.length("text")).alias("chars"))
+    held = store(held, "langs")
     # A language without such texts is modelled on all it has.
-    odd = rows.groupBy("lang").agg(F.max("plain").alias("any")).where(~F.col("any")).select("lang", F.lit(True).alias("odd"))
-    rows = rows.join(F.broadcast(store(odd, "odd-langs")), "lang", "left")
+    odd = held.where(~F.col("any")).select("lang", F.lit(True).alias("odd"))
+    rows = rows.join(F.broadcast(odd), "lang", "left")
     rows = rows.withColumn("plain", F.col("plain") | (F.col("odd").isNotNull() & F.col("text").isNotNull()))
-    grams = charlm.count_grams(rows.where("plain"), charlm.text_table(), False)
-    shared = spark.sparkContext.broadcast(charlm.fit_all(grams, True))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, table, models = WordHashes(), charlm.text_table(), shared.value
-        for batch in batches:
-            langs, texts = batch.column(1).to_pylist(), [t or "" for t in batch.column(2).to_pylist()]
-            bits = np.full(len(texts), np.nan)
-            counts = np.zeros((len(texts), 5), np.int64)
-            for a, b in charlm.chunks(texts):
-                counts[a:b] = base_counts(texts[a:b], known)
-                for lang in set(langs[a:b]) & set(models):
-                    own = [i for i in range(a, b) if langs[i] == lang and texts[i]]
-                    if own:
-                        keys, sizes = charlm.keys_of([texts[i] for i in own], table, False)
-                        logs = models[lang].log2(keys, charlm.ORDER)
-                        bits[own] = -np.add.reduceat(logs, np.cumsum(sizes) - sizes, dtype=np.float64) / sizes
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(3), pa.array(bits, from_pandas=True), *(pa.array(c) for c in counts.T)],
-                names=["doc_id", "lang", "plain", "bits", *COUNTS],
-            )
+    model = gramtable.fit(gramtable.count(rows))
+
+    chars = held.agg(F.sum("chars")).first()[0] or 0
+    chunks = max(CHUNKS, -(-chars // CHUNK_CHARS))
+    chunk = F.pmod(F.xxhash64("doc_id", "lang", "text"), F.lit(chunks)).alias("chunk")
+    dealt = rows.select(chunk, "doc_id", "lang", "text", "plain").repartition("chunk")
+    looked = gramtable.look_up(dealt, model)
+
+    def score(looked: pa.Table, docs: pa.Table) -> pa.Table:
+        langs, texts = docs["lang"].to_pylist(), [t or "" for t in docs["text"].to_pylist()]
+        known = WordHashes()
+        counts = [base_counts(texts[a:b], known) for a, b in charlm.chunks(texts)]
+        counts = np.concatenate([np.zeros((0, len(COUNTS)), np.int64), *counts])
+        bits = pa.array(gramtable.bits_of(langs, texts, looked), from_pandas=True)
+        return pa.table(
+            [docs["doc_id"], docs["lang"], docs["plain"], bits, *(pa.array(c) for c in counts.T)],
+            names=["doc_id", "lang", "plain", "bits", *COUNTS],
+        )
 
     schema = "doc_id long, lang string, plain boolean, bits double, " + ", ".join(f"{c} long" for c in COUNTS)
-    stored = store(rows.select("doc_id", "lang", "text", "plain").mapInArrow(score, schema), "rules")
+    stored = store(looked.groupBy("chunk").cogroup(dealt.groupBy("chunk")).applyInArrow(score, schema), "rules")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     at = F.array(*map(F.lit, (quantile, 0.5, 1 - quantile)))
     # Where no text that the model is counted on passes the base rules, others give the band.
@@ -133,12 +133,10 @@ def judge(docs: DataFrame, quantile: float = 0.005, reach: float = 1.5, slack: f
     )
     low = F.col("q")[1] - reach * (F.col("q")[1] - F.col("q")[0])
     high = F.col("q")[1] + reach * (F.col("q")[2] - F.col("q")[1])
-    bands = {r.lang: (r.low, r.high) for r in edges.select("lang", low.alias("low"), high.alias("high")).collect()}
-    more = slack / F.sqrt(F.col("word_chars") + F.col("n_words"))
-    inside = F.lit(True)
-    for lang, (a, b) in bands.items():
-        here = F.coalesce(F.col("bits").between(a - more, b + more), F.lit(True))
-        inside = F.when(F.col("lang") == lang, here).otherwise(inside)
+    bands = store(edges.select("lang", low.alias("low"), high.alias("high")), "bands")
+    more = F.try_divide(F.lit(slack), F.sqrt(F.col("word_chars") + F.col("n_words")))
+    inside = F.coalesce(F.col("bits").between(F.col("low") - more, F.col("high") + more), F.lit(True))
+    stored = stored.join(F.broadcast(bands), "lang", "left")
     return stored.select(
         "doc_id", *COUNTS, failed.alias("base_failed"), (~failed & inside).alias("kept"), "bits", inside.alias("in_band"),
     )

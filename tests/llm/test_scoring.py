@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from steadycast.llm import charlm, langid, mixing, quality, queries, rules, toxicity
+from steadycast.llm import charlm, gramtable, langid, mixing, quality, queries, rules, toxicity
 from steadycast.llm.common import WordHashes
 
 SCHEMA = "doc_id long, text string, lang string, source string, score double, bits int"
@@ -168,6 +168,50 @@ def test_rules_have_a_model_and_a_band_for_every_language(spark):
     assert not any(got[1000 + i].kept or got[1000 + i].base_failed for i in range(2))
 
 
+def test_gram_table_equals_the_array_model(spark):
+    """Tables of 16-bit symbols hold the model that arrays of 16-bit symbols hold, and fold nothing."""
+    from collections import defaultdict
+
+    rng = random.Random(10)
+    texts = ["".join(rng.choices("abcdeABé山😀 .19", [9, 7, 5, 3, 1] * 2 + [1, 4, 1, 1], k=rng.randrange(1, 80))) for _ in range(200)]
+    rows = [("x", t, i % 5 > 0) for i, t in enumerate(texts)] + [("y", "ab", True), ("y", None, False), ("y", "", True)]
+    counted = gramtable.count(spark.createDataFrame(rows, "lang string, text string, plain boolean"))
+    got = {(r.lang, r.gram): r.log2p for r in gramtable.fit(counted).collect()}
+    levels = {4: Counter()}
+    for lang, text, plain in rows[:200]:
+        for k in gramtable.keys_of([text])[0].tolist():
+            levels[4][np.uint64(np.int64(k)).item() if k >= 0 else k + 2**64] += plain
+    for order in (3, 2, 1):
+        levels[order] = Counter()
+        for g, n in levels[order + 1].items():
+            levels[order][g % 2 ** (16 * order)] += n > 0
+    lower = defaultdict(lambda: 2.0**-16)
+    for order in (1, 2, 3, 4):
+        table, now = levels[order], {}
+        cut = charlm.discounts(np.array(list(table.values())), True)
+        total, left = Counter(), Counter()
+        for g, n in table.items():
+            total[g >> 16] += n
+            left[g >> 16] += min(cut[min(n, 3)], n)
+        for g, n in table.items():
+            low, c = lower[g % 2 ** (16 * (order - 1))], g >> 16
+            now[g] = (n - min(cut[min(n, 3)], n)) / total[c] + max(left[c] / total[c], 1e-9) * low if total[c] else low
+        lower = now
+    want = {g if g < 2**63 else g - 2**64: np.log2(p) for g, p in lower.items()}
+    mine = {g: v for (lang, g), v in got.items() if lang == "x"}
+    assert mine.keys() == want.keys() and all(abs(mine[g] - want[g]) < 1e-4 for g in want)
+    assert len(mine) > len(set(charlm.keys_of(texts, charlm.text_table(), False)[0].tolist()))
+
+
+def test_capitals_are_told_apart(spark):
+    rng = random.Random(11)
+    words = "HOUSE TREE RIVER STONE CLOUD BREAD LETTER MUSIC GARDEN WINDOW".split()
+    rows = [(i, " ".join(rng.choice(words) for _ in range(60)), "caps", "s") for i in range(300)]
+    rows += [(1000, " ".join("".join(rng.choices("QXZJVKW", k=6)) for _ in range(60)), "caps", "s")]
+    got = {r.doc_id: r for r in rules.judge(frame(spark, rows)).collect()}
+    assert not got[1000].base_failed and not got[1000].kept and np.mean([got[i].kept for i in range(300)]) > 0.95
+
+
 def test_shortages_go_to_siblings_first(spark):
     words = lambda n: "w " * n
     rows = [(i, words(100), "en", "s0") for i in range(10)] + [(100, words(50), "de", "s2")] + [(200 + i, words(100), "en", "s1") for i in range(10)]
