@@ -6,18 +6,21 @@ the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from steadycast.llm import common, mixing, near_dup, packing, quality, queries, suffixes
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id is in ``ids``, one for each id; null is an id."""
-    least = F.lit(near_dup.LEAST_ID)
-    keys = ids.select(F.coalesce(F.col("doc_id"), least).alias("_key")).distinct()
-    rows = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), least)).join(keys, "_key", "left_semi")
-    return rows.dropDuplicates(["_key"]).select(*docs.columns)
+def _only(docs: DataFrame, rows: DataFrame, key: dict[str, Column]) -> DataFrame:
+    """Rows of ``docs`` whose ``key``, columns by the names they have in ``rows``, is in ``rows``; null is a value."""
+    there = docs.withColumns({f"_{c}": value for c, value in key.items()})
+    wanted = rows.select(*(F.col(c).alias(f"_{c}") for c in key)).distinct().alias("w")
+    same = reduce(and_, (F.col(f"d._{c}").eqNullSafe(F.col(f"w._{c}")) for c in key))
+    return there.alias("d").join(wanted, same, "left_semi")
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +30,9 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: shingles of five words, 0.8 alike."""
-    return _only(docs, near_dup.group(docs, size=5).where("kept").select("doc_id"))
+    kept = near_dup.marked(docs, size=5).where("kept")
+    key = {"doc_id": F.col("doc_id").cast("long"), "mark": near_dup.mark_of(F.col("text"))}
+    return _only(docs, kept, key).dropDuplicates(["_doc_id", "_mark"]).select(*docs.columns)
 
 
 def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +43,10 @@ def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents taken for nine tenths of the tokens, one epoch, by the weights of the mix."""
     taken = mixing.mix(docs, epochs=1, weights=queries.MIX_WEIGHTS).where("copies > 0")
-    return _only(docs, taken.select("doc_id"))
+    # Rows of one id and leaf have one ticket, and are taken together.
+    tree = {"domain": mixing.domain_of(F.col("source").cast("string"))}
+    tree |= {c: F.coalesce(F.col(c).cast("string"), F.lit(mixing.NONE)) for c in ("lang", "source")}
+    return _only(docs, taken, {"doc_id": F.col("doc_id").cast("long")} | tree).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

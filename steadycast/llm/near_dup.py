@@ -17,7 +17,8 @@ Two sets of Jaccard index 0.8 agree in fewer than 36 of 64 places in about 3 of
 that is the only way to lose a link, and only if no other link connects the two.
 
 Defined cases. A null or empty text has no shingles and is linked with nothing. Fewer words
-than a shingle make one shingle. Null ids count as the least id. Repeated rows have equal sets
+than a shingle make one shingle. Null ids count as the least id. Texts that share an
+id are told apart by a digest. Repeated rows have equal sets
 and fall together. An empty table gives an empty table. Texts are used whole.
 """
 
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from steadycast.llm import charlm
@@ -39,7 +40,7 @@ LEAST_ID = -(2**63)
 _SEED = np.random.default_rng(20240229)
 _FACTORS = _SEED.integers(1, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _OFFSETS = _SEED.integers(0, 2**63, COORDINATES, dtype=np.uint64)
-SIGNED = "doc_id long, n long, set_a long, set_b long, sig array<int>"
+SIGNED = "doc_id long, mark long, n long, set_a long, set_b long, sig array<int>"
 
 
 def shingles(texts: list[str], size: int, known: WordHashes) -> tuple[np.ndarray, np.ndarray]:
@@ -97,13 +98,24 @@ def sign(docs: DataFrame, size: int) -> DataFrame:
                 offsets = pa.array(np.arange(b - a + 1, dtype=np.int32) * COORDINATES)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(a, b - a), pa.array(n), *(pa.array(d.view(np.int64)) for d in digest),
+                        batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(n), *(pa.array(d.view(np.int64)) for d in digest),
                         pa.ListArray.from_arrays(offsets, pa.array(sig.ravel().view(np.int32))),
                     ],
-                    names=["doc_id", "n", "set_a", "set_b", "sig"],
+                    names=["doc_id", "mark", "n", "set_a", "set_b", "sig"],
                 )
 
-    return docs.mapInArrow(run, SIGNED)
+    return docs.select("doc_id", "text", "mark").mapInArrow(run, SIGNED)
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """``doc_id`` without nulls, ``text``, and ``mark``: rows of one id are told apart by a digest of the text."""
+    return docs.select(
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_ID)).alias("doc_id"), F.col("text").cast("string"), mark_of(F.col("text")).alias("mark")
+    )
+
+
+def mark_of(text: Column) -> Column:
+    return F.xxhash64(text.cast("string"))
 
 
 def postings(sets: DataFrame) -> DataFrame:
@@ -119,8 +131,8 @@ def postings(sets: DataFrame) -> DataFrame:
     return rare.select(F.col("t.token").alias("token"), "rep")
 
 
-def confirm(docs: DataFrame, pairs: DataFrame, size: int, percent: int, block: int = 500, few: int = 200_000) -> DataFrame:
-    """The pairs (a, b) that are links on their full sets.
+def confirm(docs: DataFrame, sets: DataFrame, pairs: DataFrame, size: int, percent: int, block: int = 500, few: int = 200_000) -> DataFrame:
+    """The pairs (a, b) of ``sets`` that are links on their full sets; ``docs`` is ``keyed``.
 
     Texts go to the groups of their ``b``; the members of a group are cut into blocks of about
     ``block``, each of which gets the text of ``b``. Ids are broadcast up to ``few`` of them, more
@@ -128,16 +140,14 @@ def confirm(docs: DataFrame, pairs: DataFrame, size: int, percent: int, block: i
     """
     blocks = pairs.groupBy("b").agg(F.ceil(F.count("*") / block).alias("blocks"))
     members = pairs.join(blocks, "b").select(
-        F.col("a").alias("doc_id"), "b", F.pmod(F.xxhash64("a"), F.col("blocks")).alias("part"), F.lit(1).alias("member")
+        F.col("a").alias("rep"), "b", F.pmod(F.xxhash64("a"), F.col("blocks")).alias("part"), F.lit(1).alias("member")
     )
     heads = blocks.select(
-        F.col("b").alias("doc_id"), "b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("part"), F.lit(0).alias("member")
+        F.col("b").alias("rep"), "b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("part"), F.lit(0).alias("member")
     )
-    wanted = store(members.unionByName(heads), "pairs")
+    wanted = store(members.unionByName(heads).join(sets.select("rep", "doc_id", "mark"), "rep"), "pairs")
     ids = F.broadcast(wanted) if wanted.count() <= few else wanted
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_ID)).alias("doc_id"), F.col("text").cast("string"))
-    # Rows that share an id are not told apart by it: one text an id is enough only if ids are unique.
-    dealt = texts.join(ids, "doc_id").repartition("b", "part").sortWithinPartitions("b", "part", "member", "doc_id")
+    dealt = docs.join(ids, ["doc_id", "mark"]).repartition("b", "part").sortWithinPartitions("b", "part", "member", "rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, group, head = WordHashes(), None, np.empty(0, np.uint64)
@@ -157,12 +167,12 @@ def confirm(docs: DataFrame, pairs: DataFrame, size: int, percent: int, block: i
                     elif at == group:
                         common = len(np.intersect1d(own, head, assume_unique=True))
                         if common and 100 * common >= percent * (len(own) + len(head) - common):
-                            links.append((rows["doc_id"][k], at[0]))
+                            links.append((rows["rep"][k], at[0]))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], names=["a", "b"]
             )
 
-    return dealt.select("doc_id", "text", "b", "part", "member").mapInArrow(run, "a long, b long")
+    return dealt.select("rep", "text", "b", "part", "member").mapInArrow(run, "a long, b long")
 
 
 def agreements(sig: np.ndarray, n: np.ndarray, rows: np.ndarray, percent: int) -> np.ndarray:
@@ -309,19 +319,18 @@ def residual(posted: DataFrame, sets: DataFrame, percent: int, shares: int | Non
     return packed
 
 
-def confirm_grouped(docs: DataFrame, packed: DataFrame, size: int, percent: int, few: int = 200_000) -> DataFrame:
+def confirm_grouped(docs: DataFrame, sets: DataFrame, packed: DataFrame, size: int, percent: int, few: int = 200_000) -> DataFrame:
     """The links (a, b) among packed candidates, on their full sets.
 
     A group gets the texts of a share of documents and of one block of a label, each once.
     """
     group = ["label", "block", "share"]
-    heads = packed.select(*group, F.col("a").alias("doc_id"), "others")
+    heads = packed.select(*group, F.col("a").alias("rep"), "others")
     members = packed.groupBy(*group).agg(F.array_distinct(F.flatten(F.collect_list("others"))).alias("m"))
-    members = members.select(*group, F.explode("m").alias("doc_id"), F.lit(None).cast("array<long>").alias("others"))
-    wanted = store(heads.unionByName(members), "groups")
+    members = members.select(*group, F.explode("m").alias("rep"), F.lit(None).cast("array<long>").alias("others"))
+    wanted = store(heads.unionByName(members).join(sets.select("rep", "doc_id", "mark"), "rep"), "groups")
     ids = F.broadcast(wanted) if wanted.count() <= few else wanted
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_ID)).alias("doc_id"), F.col("text").cast("string"))
-    dealt = texts.join(ids, "doc_id").select(*group, "doc_id", "text", "others").repartition(*group).sortWithinPartitions(*group)
+    dealt = docs.join(ids, ["doc_id", "mark"]).select(*group, "rep", "text", "others").repartition(*group).sortWithinPartitions(*group)
 
     def links(sets: dict[int, np.ndarray], asked: list[tuple[int, list[int]]]) -> list[tuple[int, int]]:
         out = []
@@ -346,9 +355,9 @@ def confirm_grouped(docs: DataFrame, packed: DataFrame, size: int, percent: int,
                     if at != now:
                         done += links(sets, asked)
                         now, sets, asked = at, {}, []
-                    sets[rows["doc_id"][k]] = keys[ends[k - start] - n[k - start] : ends[k - start]].copy()
+                    sets[rows["rep"][k]] = keys[ends[k - start] - n[k - start] : ends[k - start]].copy()
                     if rows["others"][k]:
-                        asked.append((rows["doc_id"][k], rows["others"][k]))
+                        asked.append((rows["rep"][k], rows["others"][k]))
             yield _links(done)
         yield _links(links(sets, asked))
 
@@ -370,12 +379,20 @@ def group(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 
     Documents are linked when their sets of ``size``-word shingles have a Jaccard index of
     ``percent`` hundredths or more; a component is named by its least id, and that one is kept.
+    Of several texts with this id the one of the least mark is kept.
     """
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_ID)).alias("doc_id"), F.col("text").cast("string"))
+    return marked(docs, size, percent).drop("mark")
+
+
+def marked(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The columns of ``group``, and ``mark`` of the text."""
+    texts = keyed(docs)
     signed = store(sign(texts, size), "signed")
     key = ["set_a", "set_b", "n"]
-    sets = signed.where("n > 0").groupBy(*key).agg(F.min(F.struct("doc_id", "sig")).alias("d"))
-    sets = store(sets.select(F.col("d.doc_id").alias("rep"), "n", F.col("d.sig").alias("sig"), "set_a", "set_b"), "sets")
+    sets = signed.where("n > 0").groupBy(*key).agg(F.min(F.struct("doc_id", "mark", "sig")).alias("d"))
+    # A set has a number of its own, as ids may be shared by unlike texts.
+    number = F.monotonically_increasing_id().alias("rep")
+    sets = store(sets.select(number, F.col("d.doc_id").alias("doc_id"), F.col("d.mark").alias("mark"), "n", F.col("d.sig").alias("sig"), "set_a", "set_b"), "sets")
     posted = store(postings(sets), "postings")
 
     labels = store(sets.select("rep", F.col("rep").alias("label")), "labels")
@@ -396,17 +413,20 @@ def group(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
         pairs = store(residual(labelled(lists), sets, percent, None), "candidates")
         if pairs.isEmpty():
             continue
-        labels = joined(confirm(docs, pairs, size, percent))
+        labels = joined(confirm(texts, sets, pairs, size, percent))
     shares = -(-sets.count() // 50_000) or 1
     packed = store(residual(labelled(posted), sets, percent, shares), "candidates")
     if not packed.isEmpty():
-        labels = joined(confirm_grouped(docs, packed, size, percent))
-
-    of_set = sets.select(*key, "rep").join(labels, "rep").select(*key, "label")
-    out = signed.select("doc_id", *key).join(of_set, key, "left")
-    component = F.coalesce("label", "doc_id")
+        labels = joined(confirm_grouped(texts, sets, packed, size, percent))
+
+    of_set = sets.select(*key, "rep", "doc_id", "mark").join(labels, "rep")
+    heads = of_set.groupBy("label").agg(F.min(F.struct("doc_id", "mark")).alias("head"))
+    of_set = of_set.join(heads, "label").select(*key, "head")
+    out = signed.select("doc_id", "mark", *key).join(of_set, key, "left")
+    own = F.struct("doc_id", "mark")
+    head = F.coalesce("head", own)
     back = lambda c: F.nullif(c, F.lit(LEAST_ID))
     return out.select(
-        back(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), back(component).alias("component_id"),
-        (F.col("doc_id") == component).alias("kept"),
+        back(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), back(head["doc_id"]).alias("component_id"),
+        (own == head).alias("kept"), "mark",
     )

@@ -97,6 +97,35 @@ def test_near_duplicates_null_ids_repeated_rows_empty_table(spark):
     assert sorted((r.doc_id is None, r.component_id, r.kept) for r in got) == [(False, None, False), (False, None, False), (True, None, True)]
 
 
+def test_unlike_texts_of_one_id_are_not_linked(spark):
+    rng = random.Random(7)
+    text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))
+    unlike = [text() for _ in range(30)]
+    near = unlike[0] + " tail"
+    docs = [(None, t) for t in unlike] + [(None, near), (5, unlike[1] + " more"), (5, text()), (6, text())]
+    got = near_dup.marked(frame(spark, docs), size=5).collect()
+    assert len(got) == len(docs)
+    marks = {r.mark: r for r in got}
+    of = {t: m for t, m in zip([t for _, t in docs], frame(spark, docs).select(near_dup.mark_of(F.col("text"))).toPandas().iloc[:, 0])}
+    assert all(marks[of[t]].kept for t in unlike[1:]) and marks[of[unlike[0]]].kept != marks[of[near]].kept
+    assert [(marks[of[t]].component_id, marks[of[t]].kept) for _, t in docs[-3:]] == [(None, False), (5, True), (6, True)]
+
+
+def test_pipeline_keeps_unlike_texts_of_one_id(spark):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))
+    texts = [text() for _ in range(12)]
+    rows = [(None, t, "en", "s0") for t in texts] + [(None, texts[0], "de", "s1"), (3, texts[1] + " tail", "en", "s0"), (4, text(), "en", "s0")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    out = corpus_pipeline.unlike(spark, docs, "").collect()
+    assert sorted(r.text for r in out) == sorted([*texts, rows[-1][1]])
+    split = spark.createDataFrame([(None, t, "en", "s0") for t in texts] + [(10, text() * 20, "en", "s0")], docs.schema)
+    taken = corpus_pipeline.mixing.mix(split, epochs=1, weights=corpus_pipeline.queries.MIX_WEIGHTS).where("copies > 0")
+    assert corpus_pipeline.mixed(spark, split, "").count() == taken.count() == len(texts)
+
+
 def test_shingles_are_those_of_each_text():
     known = WordHashes()
     texts = ["a b c d e", "", "x y", "a b c d e", "a b c d"]
