@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from steadycast.llm import chat, common, langid, mixing, near_dup, packing, phrases, quality, rules, suffixes, toxicity
+from steadycast.llm import chat, common, langid, mixing, near_dup, orcfiles, packing, phrases, quality, rules, suffixes, toxicity
 
 QUERIES, ORACLES = {}, {}
 
@@ -193,3 +193,11 @@ FROM c
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each document is taken for a budget of nine tenths of all tokens, two epochs at most."""
     return mixing.mix(common.documents(spark, sf_dir), epochs=2, weights=MIX_WEIGHTS)
+
+
+@query("op12_orc_token_files")
+def op12_orc_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, size and checksum of every document's ids, read back from the ORC files they were written to."""
+    import public_tokenizers
+
+    return orcfiles.write_and_read(common.documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
