@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from steadycast.llm import chat, common, langid, mixing, near_dup, orcfiles, packing, phrases, quality, rules, suffixes, toxicity
+from steadycast.llm import chat, collocations, common, langid, mixing, near_dup, orcfiles, packing, phrases, quality, rules, suffixes, toxicity
 
 QUERIES, ORACLES = {}, {}
 
@@ -201,3 +201,44 @@ def op12_orc_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return orcfiles.write_and_read(common.documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+COLLOCATION_SQL = r"""
+WITH pieces AS (
+  SELECT lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda x: x <> '') AS w FROM (
+    SELECT coalesce(lang, 'und') AS lang,
+      unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents WHERE text IS NOT NULL)
+), grams AS (
+  SELECT lang, len(w) AS m, w, unnest(range(1, len(w) + 1)) AS i FROM pieces
+), counted AS (
+  SELECT lang, 1 AS size, w[i] AS phrase, count(*) AS f FROM grams GROUP BY lang, phrase
+  UNION ALL SELECT lang, 2, w[i] || ' ' || w[i + 1] AS phrase, count(*) FROM grams WHERE i < m GROUP BY lang, phrase HAVING count(*) >= 10
+  UNION ALL SELECT lang, 3, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS phrase, count(*) FROM grams WHERE i + 1 < m GROUP BY lang, phrase HAVING count(*) >= 10
+), candidates AS (
+  SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS w FROM counted WHERE size > 1
+), cuts AS (
+  SELECT lang, size, phrase, a, w, k, array_to_string(w[1:k], ' ') AS front, array_to_string(w[k + 1:], ' ') AS rest
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM candidates)
+), scored AS (
+  SELECT c.lang, c.size, c.phrase, c.a, k, x.f AS l, y.f AS r, (1000000::HUGEINT * c.a * c.a) // (x.f::HUGEINT * y.f) AS score
+  FROM cuts c JOIN counted x ON x.lang = c.lang AND x.phrase = front JOIN counted y ON y.lang = c.lang AND y.phrase = rest
+), best AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), inside AS (
+  SELECT lang, array_to_string(w[1:2], ' ') AS phrase, a FROM candidates WHERE size = 3
+  UNION ALL SELECT lang, array_to_string(w[2:3], ' '), a FROM candidates WHERE size = 3
+), longer AS (SELECT lang, phrase, max(a) AS most FROM inside GROUP BY lang, phrase
+), kept AS (
+  SELECT b.* FROM best b LEFT JOIN longer g ON g.lang = b.lang AND g.phrase = b.phrase WHERE g.most IS NULL OR 100 * g.most < 50 * b.a
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept
+), totals AS (SELECT lang, sum(f) AS n FROM counted WHERE size = 1 GROUP BY lang)
+SELECT ranked.lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM ranked JOIN totals ON totals.lang = ranked.lang WHERE rank <= 2000
+"""
+
+
+@query("op13_collocations", COLLOCATION_SQL)
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's first 2000 phrases of two and three words by how much more often they stand together than apart."""
+    return collocations.mine(common.documents(spark, sf_dir))

@@ -2,13 +2,12 @@
 
 A public tokenizer cuts a text at certain places whatever stands around them, so that a text's
 tokens are the tokens of its segments on end; words come back often, too. Segments of a slice are
-told apart by a 64-bit hash with random factors of the process, computed for all places at once,
-and only distinct ones are turned into objects.
+told apart by a 64-bit hash, computed for all places at once, and only distinct ones are turned into
+objects.
 """
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -23,8 +22,8 @@ GAP = 10
 class _Powers:
     """Powers of a random odd number and of its inverse modulo 2^64, as many as were asked for."""
 
-    def __init__(self):
-        draw = np.frombuffer(os.urandom(8 * 257), np.uint64)
+    def __init__(self, seed: int):
+        draw = np.random.default_rng(seed).integers(0, 2**64, 257, np.uint64)
         self.table = draw[:256].copy()
         self.base = np.array([draw[256] | np.uint64(5)])
         inverse = self.base.copy()
@@ -35,24 +34,32 @@ class _Powers:
 
     def reach(self, n: int) -> None:
         while len(self.up) < n:
-            k = len(self.up)
             self.up = np.concatenate([self.up, self.up * self.up[-1] * self.base])
             self.down = np.concatenate([self.down, self.down * self.down[-1] * self.inverse])
-            assert len(self.up) == 2 * k
 
 
-_POWERS: list[_Powers] = []
+_POWERS: dict[int, _Powers] = {}
+WINDOW = 1 << 20
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of ``data[start:end]`` for all spans; equal spans have equal hashes within this process."""
-    if not _POWERS:
-        _POWERS.append(_Powers())
-    powers = _POWERS[0]
-    powers.reach(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(powers.table[data] * powers.up[: len(data)], out=sums[1:])
-    return (sums[ends] - sums[starts]) * powers.down[starts] ^ (ends - starts).astype(np.uint64) << np.uint64(56)
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 20261) -> np.ndarray:
+    """A 64-bit hash of ``data[start:end]`` for all spans, which must be in order and apart.
+
+    A polynomial modulo 2^64 over random values of the bytes, of all places at once, in windows of
+    about a million bytes. Two different spans agree with a chance near 2^-64.
+    """
+    powers = _POWERS.setdefault(seed, _Powers(seed))
+    out = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + WINDOW, "right")))
+        low, high = starts[i], ends[j - 1]
+        powers.reach(high - low)
+        sums = np.zeros(high - low + 1, np.uint64)
+        np.cumsum(powers.table[data[low:high]] * powers.up[: high - low], out=sums[1:])
+        out[i:j] = (sums[ends[i:j] - low] - sums[starts[i:j] - low]) * powers.down[starts[i:j] - low]
+        i = j
+    return out ^ (ends - starts).astype(np.uint64) << np.uint64(56)
 
 
 class Remembered:
@@ -115,13 +122,23 @@ def joined(texts: pa.Array, before: bytes = b"") -> tuple[np.ndarray, np.ndarray
     return data, firsts
 
 
-def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-    """The number of each span's content, and the contents."""
-    codes, _ = pd.factorize(span_hashes(data, starts, ends))
+def numbered(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each hash in order of appearance, and where each number appears first."""
+    codes, _ = pd.factorize(hashes)
     first = np.empty(codes.max() + 1 if len(codes) else 0, np.int64)
     first[codes[::-1]] = np.arange(len(codes))[::-1]
+    return codes, first
+
+
+def contents(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
     raw = data.tobytes()
-    return codes, [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
+    return [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
+
+
+def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """The number of each span's content, and the contents."""
+    codes, first = numbered(span_hashes(data, starts, ends))
+    return codes, contents(data, starts[first], ends[first])
 
 
 def spread(counts: np.ndarray, firsts: np.ndarray) -> np.ndarray:
