@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from steadycast.llm import chat, collocations, common, langid, mixing, near_dup, orcfiles, packing, phrases, quality, rules, suffixes, toxicity
+from steadycast.llm import alignment, chat, collocations, common, langid, mixing, near_dup, orcfiles, packing, phrases, quality, rules, suffixes, toxicity
 
 QUERIES, ORACLES = {}, {}
 
@@ -242,3 +242,12 @@ FROM ranked JOIN totals ON totals.lang = ranked.lang WHERE rank <= 2000
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each language's first 2000 phrases of two and three words by how much more often they stand together than apart."""
     return collocations.mine(common.documents(spark, sf_dir))
+
+
+@query("op11_token_alignment")
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links between the tokens of two tokenizers over every document."""
+    import public_tokenizers
+
+    docs = common.documents(spark, sf_dir)
+    return alignment.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
