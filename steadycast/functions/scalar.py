@@ -37,6 +37,17 @@ def clip01(column: Column) -> Column:
     return F.when(column < 0, 0.0).when(column > 1, 1.0).otherwise(column)
 
 
+def exact_mean(column: Column) -> Column:
+    """Mean of nine-place decimals, so that it does not depend on the order of adding.
+
+    Values that do not fit (NaN, infinite, 10^15 or more) make it a plain average.
+    """
+    value = column.cast("double")
+    fits = ~F.isnan(value) & (F.abs(value) < 1e15)
+    exact = F.sum(F.when(fits, value).cast("decimal(25,9)")) / F.count(value)
+    return F.when(F.bool_and(fits), exact.cast("double")).otherwise(F.avg(value))
+
+
 def haversine_km(lat: Column, lon: Column, lat0: Column, lon0: Column) -> Column:
     """Great-circle distance between two points in kilometres."""
     half_lat = (F.radians(lat) - F.radians(lat0)) / 2

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from steadycast.functions.scalar import exact_mean
 from steadycast.operators.ranks import approximate_quantiles, exact_quantiles
 
 
@@ -73,17 +74,17 @@ def bitrate_profile(df: DataFrame, exact: bool = True) -> DataFrame:
     short = F.col("throughput_mbps") < F.col("bitrate_kbps") / F.lit(1000.0)
     stats = df.groupBy("bitrate_kbps").agg(
         F.min("plr_percent").alias("min_loss"),
-        F.avg("plr_percent").alias("mean_loss"),
+        exact_mean(F.col("plr_percent")).alias("mean_loss"),
         F.max("plr_percent").alias("max_loss"),
         F.avg((F.col("plr_percent") == 0).cast("double")).alias("zero_loss_share"),
         F.min("current_mos").alias("min_mos"),
-        F.avg("current_mos").alias("mean_mos"),
+        exact_mean(F.col("current_mos")).alias("mean_mos"),
         F.max("current_mos").alias("max_mos"),
         F.corr("plr_percent", "current_mos").alias("corr_loss_mos"),
         F.corr("throughput_mbps", "current_mos").alias("corr_throughput_mos"),
         F.avg(short.cast("double")).alias("below_capacity_share"),
-        F.avg(F.when(~short, F.col("current_mos"))).alias("mean_mos_sufficient"),
-        F.avg(F.when(short, F.col("current_mos"))).alias("mean_mos_insufficient"),
+        exact_mean(F.when(~short, F.col("current_mos"))).alias("mean_mos_sufficient"),
+        exact_mean(F.when(short, F.col("current_mos"))).alias("mean_mos_insufficient"),
     )
     medians = {"median_loss": 0.5}
     out = with_quantiles(stats, df, "plr_percent", medians, ["bitrate_kbps"], exact)
@@ -98,7 +99,7 @@ def column_summary(df: DataFrame, columns: Sequence[str], exact: bool = True) ->
     long = df.select(F.inline(cells))
     stats = long.groupBy("column").agg(
         F.min("value").alias("minimum"),
-        F.avg("value").alias("mean"),
+        exact_mean(F.col("value")).alias("mean"),
         F.max("value").alias("maximum"),
         F.stddev_samp("value").alias("standard_deviation"),
     )
@@ -111,7 +112,7 @@ def gap_statistics(
     """Minimum, mean, maximum and quantiles of ``gap_seconds`` per group."""
     stats = gaps.where(F.col("gap_seconds").isNotNull()).groupBy(*groups).agg(
         F.min("gap_seconds").alias("minimum_gap_seconds"),
-        F.avg("gap_seconds").alias("mean_gap_seconds"),
+        exact_mean(F.col("gap_seconds")).alias("mean_gap_seconds"),
         F.max("gap_seconds").alias("maximum_gap_seconds"),
     )
     return with_quantiles(stats, gaps, "gap_seconds", probs, groups, exact)
@@ -157,7 +158,7 @@ def lead_time_statistics(df: DataFrame, column: str, exact: bool = True) -> Data
     stats = values.agg(
         F.count("v").alias("count"),
         F.min("v").alias("minimum_seconds"),
-        F.avg("v").alias("mean_seconds"),
+        exact_mean(F.col("v")).alias("mean_seconds"),
         F.max("v").alias("maximum_seconds"),
     )
     return with_quantiles(stats, values, "v", LEAD_QUANTILES, (), exact)

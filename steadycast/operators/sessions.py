@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from steadycast.functions.scalar import seconds_between
+from steadycast.functions.scalar import exact_mean, seconds_between
 from steadycast.operators.slices import HotKeys, find_hot_keys, ordered
 from steadycast.params import TRAJECTORY, SessionParams
 
@@ -111,7 +111,7 @@ def session_summary(df: DataFrame) -> DataFrame:
         F.min("timestamp").alias("session_start"),
         F.max("timestamp").alias("session_end"),
         F.count(F.lit(1)).alias("rows"),
-        F.avg("current_mos").alias("mean_mos"),
+        exact_mean(F.col("current_mos")).alias("mean_mos"),
     )
 
 

@@ -13,7 +13,7 @@ from steadycast.operators import metrics, profiles, reshape, sessions
 from steadycast.operators.ranks import approximate_quantiles
 from steadycast.params import RESOLUTION_BY_BITRATE
 from steadycast.plans import views
-from steadycast.plans.oracle import over
+from steadycast.plans.oracle import mean6, over
 from steadycast.plans.registry import query
 from steadycast.plans.session_queries import KEY, r6, sql6
 
@@ -118,14 +118,14 @@ BITRATE_STATS = [
     "bitrate_profile",
     over(
         f"SELECT bitrate_kbps, {sql6(*BITRATE_STATS)} FROM s",
-        s="""SELECT bitrate_kbps, min(plr_percent) AS min_loss, avg(plr_percent) AS mean_loss,
+        s="""SELECT bitrate_kbps, min(plr_percent) AS min_loss, """ + mean6("plr_percent") + """ AS mean_loss,
             max(plr_percent) AS max_loss, avg((plr_percent = 0)::INT) AS zero_loss_share,
-            min(current_mos) AS min_mos, avg(current_mos) AS mean_mos, max(current_mos) AS max_mos,
+            min(current_mos) AS min_mos, """ + mean6("current_mos") + """ AS mean_mos, max(current_mos) AS max_mos,
             corr(plr_percent, current_mos) AS corr_loss_mos,
             corr(throughput_mbps, current_mos) AS corr_throughput_mos,
             avg((throughput_mbps < bitrate_kbps / 1000)::INT) AS below_capacity_share,
-            avg(current_mos) FILTER (throughput_mbps >= bitrate_kbps / 1000) AS mean_mos_sufficient,
-            avg(current_mos) FILTER (throughput_mbps < bitrate_kbps / 1000) AS mean_mos_insufficient,
+            """ + mean6("current_mos", where="throughput_mbps >= bitrate_kbps / 1000") + """ AS mean_mos_sufficient,
+            """ + mean6("current_mos", where="throughput_mbps < bitrate_kbps / 1000") + """ AS mean_mos_insufficient,
             median(plr_percent) AS median_loss, median(current_mos) AS median_mos
             FROM obs GROUP BY bitrate_kbps""",
     ),
@@ -143,8 +143,8 @@ SUMMARY = ["minimum", "mean", "median", "maximum", "standard_deviation"]
 @query(
     "mos_column_summary",
     over(
-        """SELECT 'MOS_' || bitrate_kbps || 'kbps' AS "column", round(min(current_mos), 6) AS minimum,
-           round(avg(current_mos), 6) AS mean, round(median(current_mos), 6) AS median,
+        f"""SELECT 'MOS_' || bitrate_kbps || 'kbps' AS "column", round(min(current_mos), 6) AS minimum,
+           {mean6("current_mos")} AS mean, round(median(current_mos), 6) AS median,
            round(max(current_mos), 6) AS maximum, round(stddev_samp(current_mos), 6) AS standard_deviation
            FROM obs GROUP BY bitrate_kbps"""
     ),
@@ -161,7 +161,7 @@ MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 @query(
     "measure_column_summary",
     " UNION ALL ".join(
-        f"""SELECT '{c}' AS "column", round(min({c}), 6) AS minimum, round(avg({c}), 4) AS mean,
+        f"""SELECT '{c}' AS "column", round(min({c}), 6) AS minimum, round({mean6(c)}, 4) AS mean,
         round(median({c}), 6) AS median, round(max({c}), 6) AS maximum,
         round(stddev_samp({c}), 4) AS standard_deviation FROM lineitem"""
         for c in MEASURES
@@ -192,7 +192,7 @@ _GAPS = """WITH g AS (SELECT event_type, user_id, ts, date_diff('microsecond', l
 @query(
     "inter_arrival_statistics",
     f"""{_GAPS} SELECT event_type, round(min(gap), 6) AS minimum_gap_seconds,
-        round(avg(gap), 6) AS mean_gap_seconds, round(max(gap), 6) AS maximum_gap_seconds,
+        {mean6("gap", 6)} AS mean_gap_seconds, round(max(gap), 6) AS maximum_gap_seconds,
         round(median(gap), 6) AS median_gap_seconds, round(quantile_cont(gap, 0.9), 6) AS p90_gap_seconds,
         round(quantile_cont(gap, 0.95), 6) AS p95_gap_seconds, count(*) AS rows,
         count(DISTINCT user_id) AS users, count(DISTINCT ts) AS timestamps
@@ -219,7 +219,7 @@ GAP_QUANTILES = {"p25": 0.25, "median": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.9
 
 @query(
     "global_gap_distribution",
-    f"""{_GAPS} SELECT round(min(gap), 6) AS minimum_gap_seconds, round(avg(gap), 6) AS mean_gap_seconds,
+    f"""{_GAPS} SELECT round(min(gap), 6) AS minimum_gap_seconds, {mean6("gap", 6)} AS mean_gap_seconds,
         round(max(gap), 6) AS maximum_gap_seconds, """
     + ", ".join(f"round(quantile_cont(gap, {q}), 6) AS {n}" for n, q in GAP_QUANTILES.items())
     + " FROM g",
@@ -282,7 +282,7 @@ _LEAD = profiles.LEAD_QUANTILES
 @query(
     "lead_time_statistics",
     over(
-        "SELECT count(x) AS count, round(min(x), 6) AS minimum_seconds, round(avg(x), 6) AS mean_seconds, "
+        "SELECT count(x) AS count, round(min(x), 6) AS minimum_seconds, " + mean6("x", 6) + " AS mean_seconds, "
         "round(max(x), 6) AS maximum_seconds, "
         + ", ".join(f"round(quantile_cont(x, {q}), 6) AS {n}" for n, q in _LEAD.items())
         + " FROM (SELECT prediction_lead_seconds AS x FROM kept WHERE split = 'test')"

@@ -2,6 +2,14 @@
 
 from __future__ import annotations
 
+
+def mean6(x: str, digits: int = 9, where: str = "true") -> str:
+    """The mean of values of few places, summed as integers and rounded half up at six places: no tie is left to chance."""
+    n, d = f"sum(CAST(round(({x}) * 1e{digits}) AS HUGEINT)) FILTER (WHERE {where})", 10 ** (digits - 6)
+    c = f"CAST(count({x}) FILTER (WHERE {where}) AS HUGEINT)"
+    return f"CAST((2 * {n} + {c} * {d}) // nullif(2 * {c} * {d}, 0) AS DOUBLE) / 1e6"
+
+
 VIEWS = {
     "phys": """
         SELECT event_id, user_id % 4 + 1 AS base_station, 'Driver' AS mobility,

@@ -15,7 +15,7 @@ from steadycast.operators.ranks import exact_quantiles
 from steadycast.operators.slices import ordered
 from steadycast.params import RESOLUTION_BY_BITRATE, TRAJECTORY
 from steadycast.plans import views
-from steadycast.plans.oracle import over
+from steadycast.plans.oracle import mean6, over
 from steadycast.plans.registry import query
 
 def ts_us():
@@ -296,9 +296,9 @@ def latest_session_state(spark, sf_dir):
 @query(
     "session_aggregates",
     over(
-        """SELECT base_station, prb, bitrate_kbps, user_id, session_number,
+        f"""SELECT base_station, prb, bitrate_kbps, user_id, session_number,
              epoch_us(min(timestamp)) AS start_us, epoch_us(max(timestamp)) AS end_us,
-             count(*) AS rows, round(avg(current_mos), 6) AS mean_mos
+             count(*) AS rows, {mean6("current_mos")} AS mean_mos
            FROM sess GROUP BY ALL"""
     ),
 )

@@ -8,7 +8,7 @@ from steadycast.functions.scalar import epoch_micros
 from steadycast.operators import sessions
 from steadycast.params import RESOLUTION_BY_BITRATE, TRAJECTORY
 from steadycast.plans import views
-from steadycast.plans.oracle import over
+from steadycast.plans.oracle import mean6, over
 from steadycast.plans.registry import query
 from steadycast.plans.session_queries import KEY, ROLLING, r6, sql6
 from steadycast.session import run_dir
@@ -132,8 +132,8 @@ def stream_latest_state(spark, sf_dir):
 @query(
     "stream_session_aggregates",
     over(
-        """SELECT base_station, prb, bitrate_kbps, user_id, epoch_us(min(timestamp)) AS start_us,
-             epoch_us(max(timestamp)) AS end_us, count(*) AS rows, round(avg(current_mos) + 1e-9, 6) AS mean_mos,
+        f"""SELECT base_station, prb, bitrate_kbps, user_id, epoch_us(min(timestamp)) AS start_us,
+             epoch_us(max(timestamp)) AS end_us, count(*) AS rows, {mean6("current_mos")} AS mean_mos,
              session_number = max(session_number) OVER (PARTITION BY base_station, prb, bitrate_kbps, user_id) AS open
            FROM sess GROUP BY base_station, prb, bitrate_kbps, user_id, session_number"""
     ),
@@ -142,8 +142,6 @@ def stream_session_aggregates(spark, sf_dir):
     """All sessions of the stream; the last one of each trajectory is still open."""
     updates = run_available(stream_ops.session_aggregates_stream(observation_stream(spark, sf_dir), views.SESSIONS), "update")
     out = stream_ops.latest_sessions(updates)
-    # The nudge decides exact ties of the sixth place alike for any order of adding.
-    out = out.withColumn("mean_mos", F.col("mean_mos") + 1e-9)
     return out.select(*TRAJECTORY, "start_us", "end_us", "rows", *r6("mean_mos"), "open")
 
 

@@ -269,7 +269,7 @@ AGGREGATE_SCHEMA = StructType(
         StructField("start_us", LongType()),
         StructField("end_us", LongType()),
         StructField("rows", LongType()),
-        StructField("mos_total", DoubleType()),
+        StructField("mos_billionths", LongType()),
         StructField("mos_rows", LongType()),
         StructField("open", BooleanType()),
         StructField("late", BooleanType()),
@@ -278,6 +278,11 @@ AGGREGATE_SCHEMA = StructType(
 _AGGREGATE_STATE = StructType([f for f in AGGREGATE_SCHEMA.fields if f.name not in (*TRAJECTORY, "open", "late")])
 
 
+def _billionths(values: np.ndarray) -> int:
+    """The sum in whole billionths, which does not depend on how rows fall into batches."""
+    return int(np.rint(np.nan_to_num(values) * 1e9).astype(np.int64).sum())
+
+
 class SessionTotals(StatefulProcessor):
     """Totals of the session in progress, per trajectory; a gap closes it and begins the next."""
 
@@ -297,7 +302,7 @@ class SessionTotals(StatefulProcessor):
         out = []
         if late:
             lost = mos[:late]
-            out.append((None, int(times[0]), int(times[late - 1]), late, float(np.nansum(lost)), int((~np.isnan(lost)).sum()), None, True))
+            out.append((None, int(times[0]), int(times[late - 1]), late, _billionths(lost), int((~np.isnan(lost)).sum()), None, True))
         times, mos = times[late:], mos[late:]
         if len(times):
             before = np.append(held[2] if held else times[0], times[:-1])
@@ -308,7 +313,7 @@ class SessionTotals(StatefulProcessor):
             edges = np.append(bounds, len(times)) if starts[0] else np.concatenate([[0], bounds, [len(times)]])
             for k, (i, j) in enumerate(zip(edges[:-1], edges[1:])):
                 part = mos[i:j]
-                now = (number, int(times[i]), int(times[j - 1]), int(j - i), float(np.nansum(part)), int((~np.isnan(part)).sum()))
+                now = (number, int(times[i]), int(times[j - 1]), int(j - i), _billionths(part), int((~np.isnan(part)).sum()))
                 if starts[i]:
                     if held is not None:
                         out.append((*held, False, False))
@@ -350,12 +355,14 @@ def session_aggregates_stream(stream: DataFrame, params: SessionParams = Session
 
 def latest_sessions(updates: DataFrame) -> DataFrame:
     """Start, end, rows, mean score and ``open`` of every session from its last update."""
-    fields = ["start_us", "end_us", "rows", "mos_total", "mos_rows", "open"]
+    fields = ["start_us", "end_us", "rows", "mos_billionths", "mos_rows", "open"]
     # A session only grows, and is closed once: of equal updates the closed one is the last.
     order = F.struct("batch", F.col("rows"), (~F.col("open")).alias("closed"))
     last = updates.where(~F.col("late")).groupBy(*TRAJECTORY, "session_number").agg(F.max_by(F.struct(*fields), order).alias("s"))
-    return last.select(*TRAJECTORY, "session_number", "s.*").withColumn("mean_mos", F.col("mos_total") / F.col("mos_rows")).drop(
-        "mos_total", "mos_rows"
+    total = F.col("mos_billionths").cast("decimal(19,0)") / F.lit(10**9).cast("decimal(10,0)")
+    mean = (total / F.col("mos_rows")).cast("double").alias("mean_mos")
+    return last.select(*TRAJECTORY, "session_number", "s.*").select(
+        *TRAJECTORY, "session_number", "start_us", "end_us", "rows", "open", F.when(F.col("mos_rows") > 0, mean).alias("mean_mos")
     )
 
 
