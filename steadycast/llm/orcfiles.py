@@ -66,8 +66,13 @@ def word_bpe(path: str) -> Callable:
 
             def values(words: list[bytes]) -> Iterator[np.ndarray]:
                 texts = [w.decode() for w in words]
-                for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False) if texts else ():
-                    yield np.array(e.ids, "<u4").tobytes()
+                simple = [t.isascii() and t.islower() and t.isalpha() for t in texts]
+                others = [t for t, plain in zip(texts, simple) if not plain]
+                rest = iter(tokenizer.encode_batch_fast(others, add_special_tokens=False) if others else ())
+                for t, plain in zip(texts, simple):
+                    # Small ASCII letters are one word as they stand: the model alone splits them.
+                    ids = [x.id for x in tokenizer.model.tokenize(t)] if plain else next(rest).ids
+                    yield np.array(ids, "<u4").tobytes()
 
             known = Remembered(values)
 
