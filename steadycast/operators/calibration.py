@@ -13,19 +13,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from steadycast.functions.scalar import clip01
+from steadycast.operators import isotonic
 from steadycast.operators.metrics import (
     best_threshold,
     binary_metrics,
     reliability_table,
     threshold_sweep,
 )
+from steadycast.operators.ranks import ROWS_PER_RANGE
 
 SIGMOID, ISOTONIC = "sigmoid", "isotonic"
+CORNERS = 200_000
 
 
 @dataclass(frozen=True)
 class Calibrator:
-    """A fitted calibrator; ``apply`` is a column expression or a Spark ML transform."""
+    """A fitted calibrator; ``apply`` is a column expression, a Spark ML transform or a join."""
 
     method: str
     model: Any
@@ -36,6 +39,9 @@ class Calibrator:
             slope, intercept = self.model
             linear = F.lit(slope) * F.col(probability) + F.lit(intercept)
             return df.withColumn(output, clip01(1 / (1 + F.exp(-linear))))
+        if isinstance(self.model, DataFrame):
+            out = isotonic.interpolate(df, probability, self.model, "__calibrated")
+            return out.withColumn(output, clip01(F.col("__calibrated"))).drop("__calibrated")
         ready = df.withColumn("__score", F.col(probability).cast("double"))
         out = self.model.transform(ready)
         return out.withColumn(output, clip01(F.col("__calibrated"))).drop("__score", "__calibrated")
@@ -56,20 +62,22 @@ def fit_sigmoid(df: DataFrame, probability: str, target: str) -> Calibrator:
     return Calibrator(SIGMOID, (float(model.coefficients[0]), float(model.intercept)))
 
 
-def fit_isotonic(df: DataFrame, probability: str, target: str) -> Calibrator:
-    """Pool-adjacent-violators fit on distinct scores weighted by their rows.
+def fit_isotonic(
+    df: DataFrame, probability: str, target: str, rows_per_range: int = ROWS_PER_RANGE, corners: int = CORNERS
+) -> Calibrator:
+    """Pool-adjacent-violators fit on distinct scores weighted by their rows, see ``isotonic``.
 
-    Equal scores are combined first. The fit pools inside ranges of scores on the executors and
-    then merges the blocks of all ranges on the driver, so blocks are gathered, not scores, and
-    no score is rounded at any size.
+    Up to ``corners`` counted corners of the fitted line become a model that is sent to the tasks;
+    a line of more stays a table, which is joined.
     """
-    table = df.groupBy(F.col(probability).cast("double").alias("score")).agg(
-        F.avg(F.col(target).cast("double")).alias("label"),
-        F.count(F.lit(1)).cast("double").alias("weight"),
-    )
-    model = IsotonicRegression(
-        featuresCol="score", labelCol="label", weightCol="weight", predictionCol="__calibrated"
-    ).fit(table)
+    table = isotonic.knots(isotonic.fit_blocks(df, probability, target, rows_per_range)).checkpoint()
+    found = table.count()
+    if not found:
+        raise ValueError("a calibrator needs rows")
+    if found > corners:
+        return Calibrator(ISOTONIC, table)
+    # The corners rise already; fitting them again only turns the table into a model.
+    model = IsotonicRegression(featuresCol="x", labelCol="y", predictionCol="__calibrated").fit(table)
     return Calibrator(ISOTONIC, model.setFeaturesCol("__score").setPredictionCol("__calibrated"))
 
 

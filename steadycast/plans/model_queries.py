@@ -89,6 +89,25 @@ def isotonic_calibration(spark, sf_dir):
     return fitted.apply(df.select("p").distinct(), "p", "calibrated").select("p", *r6("calibrated"))
 
 
+@query(
+    "isotonic_calibration_unrounded",
+    over(
+        "SELECT p, round(max(low), 6) AS calibrated FROM lows GROUP BY p",
+        buckets="""SELECT calibrated_probability AS p, count(*) AS n, sum(actual_future_poor_qoe) AS y
+            FROM scored WHERE split = 'validation' GROUP BY 1""",
+        sums="""SELECT p, n, y, sum(n) OVER (ORDER BY p) AS upto_n, sum(y) OVER (ORDER BY p) AS upto_y FROM buckets""",
+        lows="""SELECT t.p AS p, min((t.upto_y - f.upto_y + f.y) / (t.upto_n - f.upto_n + f.n))
+              OVER (PARTITION BY f.p ORDER BY t.p DESC ROWS UNBOUNDED PRECEDING) AS low
+            FROM sums f JOIN sums t ON t.p >= f.p""",
+    ),
+)
+def isotonic_calibration_unrounded(spark, sf_dir):
+    """Isotonic fit on the validation rows, scores as they are; pooled in small ranges and merged, and joined as a table."""
+    df = scored(spark, sf_dir).where(F.col("split") == "validation").select(F.col(P).alias("p"), F.col(TARGET).alias("y"))
+    fitted = calibration.fit_isotonic(df, "p", "y", rows_per_range=200, corners=0)
+    return fitted.apply(df.select("p").distinct(), "p", "calibrated").select("p", *r6("calibrated"))
+
+
 @query("sigmoid_calibration")
 def sigmoid_calibration(spark, sf_dir):
     """Calibration table of the selection period after a sigmoid fit on the validation rows."""
