@@ -12,7 +12,7 @@ from steadycast.functions.scalar import (
     speed_kmh,
     stability_from_spread,
 )
-from steadycast.operators.slices import HALO, HotKeys, ordered
+from steadycast.operators.slices import BEGAN, STEP, HotKeys, ordered
 from steadycast.params import SESSION
 
 # The two ordered feature contracts.
@@ -57,24 +57,24 @@ def add_features(df: DataFrame, hot: HotKeys | None = None) -> DataFrame:
     frame = ordered(df, SESSION, ["timestamp"], hot, before=5)
     w = frame.window()
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    out = frame.carry(
-        frame.df,
-        sums={"__rows": F.lit(1).cast("long")},
-        mins={"__start": F.col("timestamp")},
-    )
-    if frame.sliced:
-        position = F.sum(1 - F.col(HALO)).over(upto) - 1
+    out = frame.df
+    if STEP in out.columns:
+        position, started = F.col(STEP), F.col(BEGAN)
+    elif frame.sliced:
+        out = frame.carry(out, sums={"__rows": F.lit(1).cast("long")}, mins={"__start": F.col("timestamp")})
+        position = F.col("__rows") + F.sum(frame.own().cast("long")).over(upto) - 1
+        started = F.least("__start", F.min(F.when(frame.own(), F.col("timestamp"))).over(upto))
     else:
         position = F.row_number().over(w) - 1
-    started = F.min(F.when(frame.own(), F.col("timestamp"))).over(upto)
+        started = F.min("timestamp").over(upto)
     columns = {name: F.lag(c, k).over(w) for name, (c, k) in _LAGS.items()}
     for short, column in _SHORT.items():
         for size in (3, 5):
             columns[f"{short}_past_mean_{size}"] = past_rolling(column, size, "mean", w)
     for short in ("throughput", "mos"):
         columns[f"{short}_past_std_5"] = past_rolling(_SHORT[short], 5, "std", w)
-    columns["session_step"] = (F.col("__rows") + position).cast("int")
-    columns["__first"] = F.least("__start", started)
+    columns["session_step"] = position.cast("int")
+    columns["__first"] = started
     out = frame.finish(out.withColumns(columns))
     out = out.withColumns(
         {

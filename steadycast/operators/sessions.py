@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from steadycast.functions.scalar import exact_mean, seconds_between
+from steadycast.operators import slices
 from steadycast.operators.slices import HotKeys, find_hot_keys, ordered
 from steadycast.params import TRAJECTORY, SessionParams
 
@@ -15,6 +16,16 @@ def hot_trajectories(df: DataFrame, **options) -> HotKeys | None:
     return find_hot_keys(df, TRAJECTORY, **options)
 
 
+def lay_out(df: DataFrame, hot: HotKeys | None, before: int = 8, after: int = 1) -> DataFrame:
+    """Cut hot trajectories once for sessions, labels, features and stability; ``slices.close`` ends the chain.
+
+    Features look at five rows before a row. Where a filter of the chain drops rows between them, as
+    the ``horizon`` rows in front of each of two split boundaries, ``before`` needs as many more.
+    ``after`` is the horizon.
+    """
+    return slices.lay_out(df, TRAJECTORY, ["timestamp"], hot, before, after)
+
+
 def add_sessions(
     df: DataFrame, params: SessionParams = SessionParams(), hot: HotKeys | None = None
 ) -> DataFrame:
@@ -30,11 +41,12 @@ def add_sessions(
         "is_session_start",
         F.col("gap_seconds").isNull() | (F.col("gap_seconds") > F.lit(params.gap_seconds)),
     )
-    began = (frame.own() & F.col("is_session_start")).cast("int")
-    out = frame.carry(out, sums={"__earlier": began})
-    running = F.sum(began).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    number = (F.col("__earlier") + running).cast("int")
-    out = frame.finish(out.withColumn("session_number", number)).drop("__earlier")
+    if frame.sliced:
+        out = frame.number_runs(out, F.col("is_session_start"), "timestamp", "session_number")
+    else:
+        running = F.sum(F.col("is_session_start").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+        out = out.withColumn("session_number", running.cast("int"))
+    out = frame.finish(out)
     return out.withColumn("session_id", F.concat_ws("_", *TRAJECTORY, "session_number"))
 
 

@@ -24,7 +24,8 @@ from steadycast.operators.features import (
     prediction_stability,
 )
 from steadycast.operators.reshape import labelled_split
-from steadycast.operators.sessions import hot_trajectories, label
+from steadycast.operators.sessions import hot_trajectories, label, lay_out
+from steadycast.operators.slices import close
 from steadycast.params import (
     SESSION,
     ModelParams,
@@ -72,7 +73,9 @@ class Fitted:
 def build_feature_table(observations: DataFrame, path: str, params: ForecastParams) -> None:
     """Observations to a stored feature table, partitioned by split."""
     hot = hot_trajectories(observations)
-    df = add_features(label(observations, params.sessions, hot), hot)
+    horizon = params.sessions.horizon
+    laid = lay_out(observations, hot, 5 + 2 * horizon, horizon)
+    df = close(add_features(label(laid, params.sessions)))
     bounds = splits.boundaries(observations.select("timestamp"), params.splits)
     df = splits.remove_crossing_targets(splits.assign_split(df, bounds), bounds)
     columns = [c for c in TABLE_COLUMNS if c != "split"]

@@ -22,8 +22,8 @@ from steadycast.functions.scalar import (
 )
 from steadycast.operators.features import NETWORK_FEATURES, add_features, prediction_stability
 from steadycast.operators.reshape import long_to_wide
-from steadycast.operators.sessions import hot_trajectories, label
-from steadycast.operators.slices import HotKeys
+from steadycast.operators.sessions import label, lay_out
+from steadycast.operators.slices import HotKeys, close, find_hot_keys
 from steadycast.operators.splits import (
     Boundaries,
     assign_split,
@@ -93,28 +93,36 @@ def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class Telemetry:
-    """Observations with the hot keys found once for all later windows."""
+    """Observations with the hot keys found once; ``laid`` is the same frame, cut for more of the chain."""
 
     frame: DataFrame
     hot: HotKeys | None
+    laid: DataFrame | None = None
 
 
 def telemetry(spark: SparkSession, sf_dir: str) -> Telemetry:
-    hot = hot_trajectories(observations(spark, sf_dir))
+    # All bitrates of a user have the rows of the user: physical rows are counted, before they are unpivoted.
+    hot = find_hot_keys(physical(spark, sf_dir), ["base_station", "prb", "user_id"])
     # A hot trajectory must not be gathered before it is cut into slices.
     return Telemetry(observations(spark, sf_dir, by_user=hot is None), hot)
 
 
+def _chain(laid: DataFrame, hot: HotKeys | None) -> Telemetry:
+    return Telemetry(close(laid), hot, laid)
+
+
 def labelled(spark: SparkSession, sf_dir: str) -> Telemetry:
     """Sessions and next-row labels."""
     t = telemetry(spark, sf_dir)
-    return Telemetry(label(t.frame, SESSIONS, t.hot), t.hot)
+    # Five rows for features and stability, two for the rows that go at each of two split boundaries.
+    laid = lay_out(t.frame, t.hot, 5 + 2 * SESSIONS.horizon, SESSIONS.horizon)
+    return _chain(label(laid, SESSIONS), t.hot)
 
 
 def featured(spark: SparkSession, sf_dir: str) -> Telemetry:
     """Labels and past-only features."""
     t = labelled(spark, sf_dir)
-    return Telemetry(add_features(t.frame, t.hot), t.hot)
+    return _chain(add_features(t.laid), t.hot)
 
 
 def time_bounds(spark: SparkSession, sf_dir: str) -> Boundaries:
@@ -125,7 +133,7 @@ def time_bounds(spark: SparkSession, sf_dir: str) -> Boundaries:
 def with_split(spark: SparkSession, sf_dir: str, t: Telemetry) -> Telemetry:
     """Assign splits and drop rows without a usable label."""
     bounds = time_bounds(spark, sf_dir)
-    return Telemetry(remove_crossing_targets(assign_split(t.frame, bounds), bounds), t.hot)
+    return _chain(remove_crossing_targets(assign_split(t.laid, bounds), bounds), t.hot)
 
 
 def closed_form_probability() -> F.Column:
@@ -136,8 +144,8 @@ def closed_form_probability() -> F.Column:
 def scored(spark: SparkSession, sf_dir: str) -> Telemetry:
     """Labelled rows with split, probability, decision and the trust fields."""
     t = with_split(spark, sf_dir, featured(spark, sf_dir))
-    df = t.frame.withColumn("calibrated_probability", closed_form_probability())
-    df = prediction_stability(df, "calibrated_probability", t.hot)
+    df = t.laid.withColumn("calibrated_probability", closed_form_probability())
+    df = prediction_stability(df, "calibrated_probability")
     p = F.col("calibrated_probability")
     df = df.withColumns(
         {
@@ -160,4 +168,4 @@ def scored(spark: SparkSession, sf_dir: str) -> Telemetry:
             "abstain": abstains(score, ABSTENTION, POLICY),
         }
     )
-    return Telemetry(df, t.hot)
+    return _chain(df, t.hot)

@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from steadycast.operators import features, sessions, splits
+from steadycast.operators import features, sessions, slices, splits
 from steadycast.operators.slices import find_hot_keys, ordered
 from steadycast.params import TRAJECTORY, SessionParams, SplitParams
 from steadycast.plans import views
@@ -176,6 +176,36 @@ def test_sliced_windows_equal_plain_ones(spark, sf_dir):
     )
 
 
+@pytest.mark.parametrize("gap, horizon", [(7200.0, 1), (1e9, 2)])
+def test_one_layout_for_the_whole_chain(spark, sf_dir, monkeypatch, gap, horizon):
+    """One key holds half of all rows: sessions, labels, features, a filter and stability from one cut."""
+    obs = views.observations(spark, sf_dir)
+    obs = obs.withColumn("user_id", F.when(F.col("event_id") % 2 == 0, 1).otherwise(F.col("user_id")).cast("long"))
+    obs = obs.withColumn("base_station", F.col("user_id") % 4 + 1).withColumn("prb", 5 * (F.col("user_id") % 8 + 1))
+    params = SessionParams(gap_seconds=gap, horizon=horizon)
+    hot = find_hot_keys(obs.where("bitrate_kbps = 2000"), ["base_station", "prb", "user_id"], 150)
+    bounds = splits.boundaries(obs.select("timestamp"))
+
+    def chain(df):
+        df = features.add_features(sessions.label(df, params))
+        df = splits.remove_crossing_targets(splits.assign_split(df, bounds), bounds)
+        return features.prediction_stability(df.withColumn("p", views.closed_form_probability()), "p")
+
+    made = []
+    kind = type(obs)
+    real = kind.checkpoint
+    monkeypatch.setattr(kind, "checkpoint", lambda self, *a, **k: made.append(1) or real(self, *a, **k))
+    cut = slices.close(chain(sessions.lay_out(obs, hot, 5 + 2 * horizon, horizon)))
+    assert len(made) == 1
+    plan = cut._jdf.queryExecution().optimizedPlan().toString()
+    # The rows of other keys, and one summary a slice; the summary's own branch of the other keys is empty.
+    joins = [plan.count(f"Join {k}") for k in ("LeftAnti", "LeftSemi", "LeftOuter")]
+    assert joins[1:] == [0, 1] and joins[0] - plan.count("LocalRelation <empty>") <= 1
+    plain = chain(obs)
+    assert cut.columns == plain.columns
+    compare(rounded(plain), rounded(cut))
+
+
 def test_sliced_horizon(spark):
     rows = [(10 * i, 1.0 + i % 5) for i in range(60)]
     df = trajectory(spark, rows)
