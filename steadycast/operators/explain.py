@@ -6,10 +6,11 @@ projection without a shuffle. An explanation is JSON text; the evidence is a str
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from steadycast.functions import text as t
+from steadycast.operators.ranks import numbered
 from steadycast.operators.reshape import EVIDENCE_FIELDS, evidence
 from steadycast.operators.sampling import ABSTENTION, ACCEPTABLE, POOR
 from steadycast.params import ROW_KEY
@@ -110,15 +111,14 @@ def build_prompt(e: Column) -> Column:
 def prompt_records(sample: DataFrame, probability: str = "calibrated_probability") -> DataFrame:
     """Numbered prompt records of a review sample, with an empty explanation.
 
-    Only for a sample: its rows are numbered in one order.
+    Rows are numbered by category and row key, in ranges, so a sample may have any size.
     """
     place = F.when(F.col("category") == POOR, 1).when(F.col("category") == ACCEPTABLE, 2)
     place = place.when(F.col("category") == ABSTENTION, 3)
-    number = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(place, *ROW_KEY))
     e = F.col("evidence")
+    rows = sample.withColumns({"evidence": evidence(probability), "__place": place})
     return (
-        sample.withColumn("evidence", evidence(probability))
-        .withColumn("__n", number)
+        numbered(rows, ["__place", *ROW_KEY], "__n")
         .select(
             F.format_string("case_%03d", "__n").alias("case_id"),
             "category", "session_id", "user_id", "timestamp",

@@ -17,6 +17,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from steadycast.operators import bagging
 from steadycast.operators.features import (
     CATEGORICAL_FEATURES,
     CROSS_LAYER_FEATURES,
@@ -25,6 +26,7 @@ from steadycast.operators.features import (
 )
 from steadycast.operators.ranks import approximate_quantiles, exact_quantiles
 from steadycast.params import ROW_KEY, ModelParams
+from steadycast.session import shared_dir
 
 TARGET = "future_poor_qoe"
 FILLED = "__f_"
@@ -151,7 +153,11 @@ def fit_logistic(train: DataFrame, params: ModelParams = ModelParams(), exact: b
 
 
 def fit_forest(train: DataFrame, params: ModelParams = ModelParams(), exact: bool = True) -> PipelineModel:
-    """Cross-layer random forest on training rows."""
+    """Cross-layer random forest on training rows.
+
+    With ``own_weights`` each tree weighs the classes by its own bootstrap; else one weight holds for
+    all trees, which are then trained together in far fewer passes over the rows.
+    """
     require_columns(train.columns, CROSS_LAYER_FEATURES, "random forest")
     weighted, _ = with_weights(train)
     numeric = [c for c in CROSS_LAYER_FEATURES if c not in CATEGORICAL_FEATURES]
@@ -161,7 +167,13 @@ def fit_forest(train: DataFrame, params: ModelParams = ModelParams(), exact: boo
         modes[c] = row[c] if row else ""
     keep = dict.fromkeys([*ROW_KEY, "label", "weight", *CROSS_LAYER_FEATURES])
     ready = laid_out(weighted.select(*keep), params.fit_partitions)
-    return Pipeline(stages=forest_stages(medians(train, numeric, exact), modes, params)).fit(ready)
+    stages = forest_stages(medians(train, numeric, exact), modes, params)
+    if not params.own_weights:
+        return Pipeline(stages=stages).fit(ready)
+    prepared = Pipeline(stages=stages[:-1]).fit(ready)
+    shared_dir(train.sparkSession)
+    vectors = bagging.with_draws(prepared.transform(ready), params).select("__features", "label", bagging.DRAWS).checkpoint()
+    return PipelineModel([*prepared.stages, bagging.fit_trees(vectors, params)])
 
 
 def score(model: Transformer, df: DataFrame, output: str) -> DataFrame:

@@ -74,6 +74,25 @@ def running_totals(
     return joined.drop(RANGE, *dropped)
 
 
+def numbered(df: DataFrame, order: Sequence[str], name: str, *, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """Add consecutive numbers from 1 in the order of ``order``, whose values must be unique.
+
+    Rows are dealt out by ranges and numbered inside them; the rows of the ranges before are added.
+    """
+    shared_dir(df.sparkSession)
+    stored = df.checkpoint()
+    parts = max(1, -(-stored.count() // rows_per_range))
+    # The bounds come from a seeded sample of stored rows, so both uses below see the same ranges.
+    ranged = stored.repartitionByRange(parts, *order).withColumn(RANGE, F.spark_partition_id())
+    inside = F.row_number().over(Window.partitionBy(RANGE).orderBy(*order)).cast("long")
+    sizes = ranged.groupBy(RANGE).agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(F.col(RANGE).alias("__r"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    local = ranged.withColumn(name, inside)
+    out = local.join(sizes, F.col(RANGE) == F.col("__r")).withColumn(name, F.col("__before") + F.col(name))
+    return out.drop(RANGE, "__r", "__before")
+
+
 def value_counts(df: DataFrame, value: str, groups: Sequence[str] = ()) -> DataFrame:
     """Non-null values with their counts, as (groups, ``__v`` double, ``__n``)."""
     return (

@@ -79,6 +79,8 @@ class ModelParams:
     max_bins: int = 64
     memory_mb: int = 1024
     fit_partitions: int = 0
+    own_weights: bool = False
+    """Class weights of each tree's own bootstrap, a job a tree, in place of one weight for all."""
 
 
 def unit_interval(value: float, name: str, *, open_ends: bool = False) -> float:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from steadycast.operators import calibration, metrics, models, reshape
+from steadycast.operators import bagging, calibration, metrics, models, reshape
 from steadycast.operators.features import CROSS_LAYER_FEATURES, NETWORK_FEATURES
 from steadycast.params import ModelParams
 from steadycast.plans import forecast, views
@@ -108,6 +108,28 @@ def isotonic_calibration_unrounded(spark, sf_dir):
     return fitted.apply(df.select("p").distinct(), "p", "calibrated").select("p", *r6("calibrated"))
 
 
+_DRAWN = f"""SELECT CAST(future_poor_qoe AS INT) AS label, t AS tree,
+    list_sum(list_transform([{', '.join(map(str, bagging.thresholds(0.5)))}], lambda b: CAST(b <= bits AS BIGINT))) AS k FROM (
+      SELECT future_poor_qoe, t, CAST('0x' || substr(md5(concat_ws('|', session_id, user_id, event_id, '42:' || (t // 4))), 8 * (t % 4) + 1, 8) AS BIGINT) AS bits
+      FROM kept, range(12) r(t) WHERE split = 'train')"""
+
+
+@query(
+    "bootstrap_weights",
+    over(
+        """SELECT CAST(tree AS INT) AS tree, label, CAST(sum(k) AS BIGINT) AS rows,
+           round(sum(sum(k)) OVER (PARTITION BY tree) / (2 * sum(k)), 6) AS weight FROM drawn GROUP BY tree, label""",
+        drawn=_DRAWN,
+    ),
+)
+def bootstrap_weights(spark, sf_dir):
+    """Drawn rows and class weight of each of twelve bootstraps of the train rows."""
+    params = ModelParams(trees=12)
+    drawn = bagging.with_draws(train_rows(spark, sf_dir), params, ["session_id", "user_id", "event_id"])
+    out = bagging.bootstrap_weights(drawn, models.TARGET, params.trees)
+    return out.select("tree", "label", "rows", F.round("weight", 6).alias("weight"))
+
+
 @query("sigmoid_calibration")
 def sigmoid_calibration(spark, sf_dir):
     """Calibration table of the selection period after a sigmoid fit on the validation rows."""

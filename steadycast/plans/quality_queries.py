@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from steadycast.functions.scalar import epoch_micros
 from steadycast.operators import lineage, metrics, quality, reconcile, reshape, sampling, sessions, splits
+from steadycast.operators.sortedness import sortedness
 from steadycast.params import (
     PHYSICAL_KEY,
     RESOLUTION_BY_BITRATE,
@@ -391,6 +395,24 @@ def boundary_values(spark, sf_dir):
     return quality.boundary_values(li, "l_discount", [0.05, 0.06])
 
 
+_BREAKS = """SELECT '{name}' AS table_name, CAST(1 AS BIGINT) AS files, count(*) AS rows,
+    count(*) FILTER (k < before) AS breaks, count(*) FILTER (k < before) = 0 AS sorted
+    FROM (SELECT {key} AS k, lag({key}) OVER () AS before FROM {name})"""
+
+
+@query(
+    "stored_order",
+    " UNION ALL ".join(
+        _BREAKS.format(name=n, key=k) for n, k in (("orders", "o_orderkey"), ("lineitem", "(l_orderkey, l_linenumber)"), ("events", "(ts, event_id)"), ("labels", "doc_id"))
+    ),
+)
+def stored_order(spark, sf_dir):
+    """Whether stored tables are in the order of their keys, and how many rows are less than the one before."""
+    keys = {"orders": ["o_orderkey"], "lineitem": ["l_orderkey", "l_linenumber"], "events": ["ts", "event_id"], "labels": ["doc_id"]}
+    found = [sortedness(spark, f"{sf_dir}/{n}.parquet", k).select(F.lit(n).alias("table_name"), "*") for n, k in keys.items()]
+    return reduce(DataFrame.unionByName, found)
+
+
 @query(
     "value_domains",
     over(
