@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -34,6 +35,7 @@ from steadycast.session import run_dir
 END_ID = 1
 ROWS = "doc_id long, place long, n_tokens long, ids array<int>"
 FILES = "file string, first_id long, last_id long, nulls long, n_docs long, n_tokens long, start long"
+SLICE_BYTES = 8 << 20
 STRIPE_BYTES = 16 << 20
 INDEX_ROWS = 2000
 
@@ -72,7 +74,7 @@ def word_bpe(path: str) -> Callable:
                 for t, plain in zip(texts, simple):
                     # Small ASCII letters are one word as they stand: the model alone splits them.
                     ids = [x.id for x in tokenizer.model.tokenize(t)] if plain else next(rest).ids
-                    yield np.array(ids, "<u4").tobytes()
+                    yield array("I", ids).tobytes()
 
             known = Remembered(values)
 
@@ -85,10 +87,10 @@ def word_bpe(path: str) -> Callable:
                     kinds[within] = 3
                 else:
                     within = False
-                data = np.where(within | (np.append(data[1:], GAP) > 127), data, lower[data])
+                data = np.where(within | (np.append(data[1:], np.uint8(GAP)) > 127), data, lower[data])
                 kinds[firsts[1:] - 1] = 0
-                before = np.concatenate([kinds[:0], [0], kinds])[:-1]
-                after = np.append(kinds[1:], 0)
+                none = np.zeros(1, np.uint8)
+                before, after = np.append(none, kinds[:-1]), np.append(kinds[1:], none)
                 starts = np.flatnonzero((kinds > 0) & (before != kinds) & ((before == 0) | ((before < 3) & (kinds < 3))))
                 ends = np.flatnonzero((kinds > 0) & (after != kinds) & ((after == 0) | ((after < 3) & (kinds < 3)))) + 1
                 codes, words = distinct(data, starts, ends)
@@ -124,7 +126,7 @@ def write(docs: DataFrame, path: str, encoder: Callable, end_id: int | None = EN
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, place = encoder(), 0
         for batch in batches:
-            for some in slices(batch, 1):
+            for some in slices(batch, 1, SLICE_BYTES):
                 tokens, upto = encode(some.column(1))
                 if end_id is not None:
                     tokens = np.insert(tokens, upto[1:], end_id)
