@@ -38,14 +38,15 @@ def clip01(column: Column) -> Column:
 
 
 def exact_mean(column: Column) -> Column:
-    """Mean of nine-place decimals, so that it does not depend on the order of adding.
+    """Mean of whole billionths, so that it does not depend on the order of adding.
 
-    Values that do not fit (NaN, infinite, 10^15 or more) make it a plain average.
+    Values that do not fit (NaN, infinite, 9 * 10^9 or more) make it a plain average.
     """
     value = column.cast("double")
-    fits = ~F.isnan(value) & (F.abs(value) < 1e15)
-    exact = F.sum(F.when(fits, value).cast("decimal(25,9)")) / F.count(value)
-    return F.when(F.bool_and(fits), exact.cast("double")).otherwise(F.avg(value))
+    fits = ~F.isnan(value) & (F.abs(value) < 9e9)
+    whole = F.when(fits, F.rint(value * 1e9)).cast("long").cast("decimal(19,0)")
+    exact = (F.sum(whole) / F.count(value)).cast("double") / 1e9
+    return F.when(F.bool_and(fits), exact).otherwise(F.avg(value))
 
 
 def haversine_km(lat: Column, lon: Column, lat0: Column, lon0: Column) -> Column:
