@@ -2,9 +2,10 @@
 
 Distribution. Every ``LENGTH``-byte string has an anchor: the ``GRAM``-byte string of least hash
 in it, the leftmost one on ties. Equal strings have equal anchors at equal offsets, so strings
-can be dealt out by anchor. An anchor found once only cannot lie in a repeated string and is left
-out; so are those of exact copies, which are settled by their digests. Around each other anchor,
-the stretch of text with all strings that belong to it is sent to the anchor's part.
+can be dealt out by anchor. Copies of an earlier text go as a whole and take no further part. Anchors
+cross one shuffle, in order; an anchor found once only cannot lie in a repeated string and is
+left out. Around each other anchor, the stretch of text with all strings that belong to it is sent to
+the anchor's part. Texts are shuffled once, by id and digest, for both the stretches and the cut.
 
 Sorting. A part sorts the suffixes of its stretches with a difference cover modulo 3: the
 sampled triples are sorted, the text of their names is sorted by the same method, the remaining
@@ -12,8 +13,8 @@ suffixes are merged in, and adjacent prefixes are compared. Recursion ends when
 ``LENGTH`` bytes, as deeper order is not needed. Of equal strings all but the earliest are
 repeats. Bytes are compared, so hashes only steer the work.
 
-Hot anchors. Equal stretches are combined before the shuffle. An anchor with more than ``hot``
-rows is cut into its single strings, dealt out by their own hashes into parts of bounded size.
+Hot anchors. Equal stretches are combined before the shuffle. The strings of an anchor with more than
+``hot`` rows are dealt out one by one, by their own hashes, so that no part has to hold them all.
 
 Defined cases. A null text is empty; nothing shorter than ``LENGTH`` bytes is ever removed.
 Null ids come first. Repeated rows (same id, same text) are one document, and each row gets its
@@ -156,8 +157,17 @@ def repeats(text: bytes, starts: np.ndarray) -> np.ndarray:
     return out
 
 
+KEY = ["doc_id", "digest"]
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_ID)).alias("doc_id"), F.col("text").cast("string"))
+    """doc_id without nulls, text, a digest of it, and ``rest``: all columns but text, so that every
+    reader of the texts asks for the same columns and their shuffle is shared."""
+    rest = [F.col(c) for c in docs.columns if c != "text"]
+    return docs.select(
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"),
+        F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("digest"), F.struct(*rest).alias("rest"),
+    )
 
 
 ROWS = "anchor long, part long, doc_id long, digest long, first long, last long, at int, stretch binary"
@@ -171,30 +181,64 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, ROWS_ARROW)], schema=ROWS_ARROW)
 
 
-def find_anchors(docs: DataFrame) -> DataFrame:
-    """(hash, doc_id, digest, number, mark): anchors of every text. ``mark`` is a short digest of
-    the text; of an anchor found again in a text the marks alternate, as if texts differed."""
+FOUND = "hash long, doc_id long, digest long, number int"
+
+
+def find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Anchors of (doc_id, digest, text) rows, numbered within a text, as ``FOUND``."""
+    for batch in batches:
+        parts = []
+        for doc_id, own, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            h = anchors(utf8(text.as_py()))[0]
+            if len(h):
+                parts.append((h, np.full(len(h), doc_id), np.full(len(h), own), np.arange(len(h), dtype=np.int32)))
+        if parts:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], names=["hash", *KEY, "number"])
+
+
+def shared_anchors(hot: int):
+    """Of ``FOUND`` rows in order of hash, those whose hash lies in two texts or twice in one.
+
+    At most ``hot`` rows and a batch are held: a run of more rows is known to be hot, and is let through.
+    """
+
+    def settle(columns: list[np.ndarray], passing: int | None, end: bool) -> tuple[pa.RecordBatch, list[np.ndarray], int | None]:
+        key, _, own, number = columns
+        heads = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+        sizes = np.diff(np.append(heads, len(key)))
+        first = np.repeat(heads, sizes)
+        unlike = (own != own[first]) | (number != number[first])
+        wanted = np.logical_or.reduceat(unlike, heads) if len(heads) else np.zeros(0, bool)
+        large = sizes > hot
+        if len(heads) and passing is not None and key[0] == passing:
+            wanted[0] = large[0] = True
+        held, passing = [c[:0] for c in columns], None
+        if len(heads) and not end:
+            if wanted[-1] and large[-1]:
+                passing = key[-1]
+            else:  # rows that are all alike are one text's, and one of them will do
+                held = [c[heads[-1] :] if wanted[-1] or not large[-1] else c[heads[-1] : heads[-1] + 1] for c in columns]
+                wanted[-1] = False
+        out = np.repeat(wanted, sizes)
+        given = [pa.array(c[out]) for c in columns[1:]] + [pa.array(np.repeat(large, sizes)[out])]
+        return pa.RecordBatch.from_arrays(given, names=[*KEY, "number", "hot"]), held, passing
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, passing = None, None
         for batch in batches:
-            parts = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                data = utf8(text.as_py())
-                h = anchors(data)[0]
-                if len(h):
-                    own = digest(data)
-                    first = np.unique(h, return_index=True)[1]
-                    mark = np.full(len(h), own & 0x7FFFFFFF ^ 0x7FFFFFFF, np.int64)
-                    mark[first] = own & 0x7FFFFFFF
-                    parts.append((h, np.full(len(h), doc_id), np.full(len(h), own), np.arange(len(h), dtype=np.int32), mark.astype(np.int32)))
-            if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], names=["hash", "doc_id", "digest", "number", "mark"])
-
-    return docs.mapInArrow(run, "hash long, doc_id long, digest long, number int, mark int")
+            columns = [c.to_numpy() for c in batch.columns]
+            if held is not None:
+                columns = [np.concatenate(c) for c in zip(held, columns)]
+            out, held, passing = settle(columns, passing, False)
+            yield out
+        if held is not None:
+            yield settle(held, passing, True)[0]
+
+    return run
 
 
 def send_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stretches around the wanted anchors of (doc_id, text, digest, wanted) rows.
+    """Stretches around the wanted anchors of (doc_id, text, digest, wanted, rest) rows.
 
     Of stretches that are equal within the task only the earliest is sent; the others are
     given back at once as repeats, without an anchor.
@@ -217,20 +261,18 @@ def send_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         return out
 
     for batch in batches:
-        for doc_id, text, own, wanted in zip(*(c.to_pylist() for c in batch.columns)):
+        for doc_id, text, own, wanted in zip(*(c.to_pylist() for c in batch.columns[:4])):
             data = utf8(text)
-            if digest(data) != own:
-                continue  # another text of the same id
             hashes, firsts, lasts, places = anchors(data)
             for w in wanted:
                 k = w["number"]
                 first, last, at, anchor = int(firsts[k]), int(lasts[k]), int(places[k]), int(hashes[k])
-                if not w["parts"]:
+                if not w["hot"]:
                     add(anchor, 0, (doc_id, own, first, last, at - first), data[first : last + LENGTH])
                     continue
                 for q in range(first, last + 1):
                     string = data[q : q + LENGTH]
-                    add(anchor, 1 + digest(string) % w["parts"], (doc_id, own, q, q, at - q), string)
+                    add(anchor, digest(string) or 1, (doc_id, own, q, q, at - q), string)
         if len(held) > 100_000:
             rows += flush()
         yield _batch(rows)
@@ -244,14 +286,14 @@ def sort_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     size, last_key = 0, None
 
     def solve() -> list[tuple]:
-        earliest: set[tuple] = set()
+        earliest: dict[tuple, tuple] = {}
         sides: dict[tuple, int] = {}
         out, kept = [], []
         for doc_id, own, first, last, at, key, stretch in sorted(slab):
-            if (key, stretch) in earliest:
+            place = (doc_id, own, first)
+            if earliest.setdefault((key, stretch), place) != place:
                 out.append((None, 0, doc_id, own, first, last, None, None))
                 continue
-            earliest.add((key, stretch))
             left = (key, 0, stretch[at - SIDE : at + GRAM]) if at >= SIDE else None
             right = (key, 1, stretch[at : at + GRAM + SIDE]) if at + GRAM + SIDE <= len(stretch) else None
             for side in (left, right):
@@ -296,27 +338,28 @@ def sort_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield _batch(solve())
 
 
-def repeated(docs: DataFrame, hot: int = 8000) -> DataFrame:
+def copies(docs: DataFrame) -> DataFrame:
+    """(doc_id, digest) of the texts that copy one of a lesser id. ``docs`` is ``_keyed``."""
+    sha = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)).alias("sha")
+    firsts = docs.groupBy(sha).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last")).where("least < last")
+    return docs.select(*KEY, sha).join(firsts, "sha").where("doc_id > least").select(*KEY).distinct()
+
+
+def repeated(docs: DataFrame, copied: DataFrame, hot: int = 8000) -> DataFrame:
     """Starts of repeated strings: (doc_id, digest, ranges) with ranges of first and last starts.
 
-    ``docs`` has doc_id without nulls, and text.
+    ``docs`` is ``_keyed``. Texts in ``copied`` are left out: what repeats one of their strings
+    repeats the earlier text, too.
     """
-    # The mark of a text in one bit less than it has could be another's complement: then an
-    # anchor is wanted needlessly, never left out.
-    found = store(find_anchors(docs), "anchors")
-    seen = found.groupBy("hash").agg(
-        F.count("*").alias("n"), F.min("mark").alias("x"), F.max("mark").alias("y")
-    ).where("x != y").select("hash", F.when(F.col("n") > hot, F.floor(F.col("n") / 50)).otherwise(0).alias("parts"))
-    wanted = (
-        found.join(seen, "hash").groupBy("doc_id", "digest")
-        .agg(F.sort_array(F.collect_set(F.struct("number", "parts"))).alias("wanted"))
-    )
-    texts = docs.join(wanted, "doc_id").select("doc_id", "text", "digest", "wanted")
-    sent = texts.mapInArrow(send_stretches, ROWS)
+    fresh = docs.join(copied, KEY, "left_anti").select(*KEY, "text")
+    found = fresh.mapInArrow(find_anchors, FOUND).repartition("hash").sortWithinPartitions("hash")
+    wanted = found.mapInArrow(shared_anchors(hot), "doc_id long, digest long, number int, hot boolean")
+    wanted = wanted.groupBy(*KEY).agg(F.sort_array(F.collect_set(F.struct("number", "hot"))).alias("wanted"))
+    sent = docs.join(wanted, KEY).select("doc_id", "text", "digest", "wanted", "rest").mapInArrow(send_stretches, ROWS)
     # What is settled already has no anchor; it is spread by its document.
     dealt = sent.repartition(F.coalesce("anchor", F.xxhash64("doc_id", "first")), "part").sortWithinPartitions("anchor", "part")
     ranges = dealt.mapInArrow(sort_stretches, ROWS)
-    return ranges.groupBy("doc_id", "digest").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
+    return ranges.groupBy(*KEY).agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
 
 
 def _cut(data: bytes, ranges: list[dict] | None, copy: bool) -> tuple[bytes, int, int]:
@@ -342,25 +385,11 @@ def _cut(data: bytes, ranges: list[dict] | None, copy: bool) -> tuple[bytes, int
     return b"".join(kept), removed, runs
 
 
-def notes(docs: DataFrame) -> DataFrame:
-    """(doc_id, found, copies): ranges of repeated strings by digest, and digests of texts that
-    copy an earlier one. ``docs`` has doc_id without nulls, and text."""
-    sha = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("sha")
-    firsts = docs.groupBy(sha).agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1")
-    copies = docs.select("doc_id", sha).join(firsts, "sha").where("doc_id > least")
-    copies = copies.groupBy("doc_id").agg(F.collect_set("sha").alias("copies"))
-    ranges = repeated(docs).groupBy("doc_id").agg(F.collect_list(F.struct("digest", "ranges")).alias("found"))
-    return ranges.join(copies, "doc_id", "full_outer")
-
-
-def _left(text: str | None, found: list[dict] | None, copies: list[str] | None) -> tuple[bytes, bytes, int, int]:
-    data = utf8(text)
-    ranges = None
-    if found:
-        own = digest(data)
-        ranges = [r for f in found if f["digest"] == own for r in f["ranges"]]
-    copy = bool(copies) and hashlib.sha256(data).hexdigest() in copies
-    return (data, *_cut(data, ranges, copy))
+def noted(docs: DataFrame) -> DataFrame:
+    """``docs``, which is ``_keyed``, with ``ranges`` of repeated strings and ``copied``, true for texts that copy an earlier one."""
+    copied = store(copies(docs), "copies")
+    out = docs.join(repeated(docs, copied), KEY, "left").join(copied.withColumn("copied", F.lit(True)), KEY, "left")
+    return out.select("doc_id", "text", "digest", "rest", "ranges", "copied")
 
 
 def remove(docs: DataFrame) -> DataFrame:
@@ -369,8 +398,9 @@ def remove(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc_id, text, found, copies in zip(*(c.to_pylist() for c in batch.columns)):
-                data, kept, removed, runs = _left(text, found, copies)
+            for doc_id, text, ranges, copied in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "ranges", "copied"))):
+                data = utf8(text)
+                kept, removed, runs = _cut(data, ranges, bool(copied))
                 rows.append((None if doc_id == LEAST_ID else doc_id, len(data), removed, runs, hashlib.sha256(kept).hexdigest()))
             columns = list(zip(*rows)) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays(
@@ -379,8 +409,7 @@ def remove(docs: DataFrame) -> DataFrame:
             )
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    keyed = _keyed(docs)
-    return keyed.join(notes(keyed), "doc_id", "left").select("doc_id", "text", "found", "copies").mapInArrow(run, schema)
+    return noted(_keyed(docs.select("doc_id", "text"))).mapInArrow(run, schema)
 
 
 def clean(docs: DataFrame) -> DataFrame:
@@ -390,22 +419,20 @@ def clean(docs: DataFrame) -> DataFrame:
     anew. A row whose text is cut to nothing is left out.
     """
     names = docs.columns
-    at, counted = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, stay = [], []
-            for text, found, copies in zip(batch.column(at).to_pylist(), *(batch.column(len(names) + k).to_pylist() for k in (0, 1))):
-                _, kept, removed, _ = _left(text, found, copies)
+            for text, ranges, copied in zip(*(batch.column(c).to_pylist() for c in ("text", "ranges", "copied"))):
+                kept, removed, _ = _cut(utf8(text), ranges, bool(copied))
                 texts.append(kept.decode("utf-8", "ignore") if removed else text)
                 stay.append(not removed or bool(texts[-1].strip()))
-            columns = list(batch.columns[: len(names)])
-            columns[at] = pa.array(texts, pa.string())
-            if counted is not None:
+            fields = dict(zip(batch.column("rest").type.names, batch.column("rest").flatten()))
+            columns = [pa.array(texts, pa.string()) if c == "text" else fields[c] for c in names]
+            if "n_chars" in names:
+                at = names.index("n_chars")
                 size = pa.array([None if t is None else len(t) for t in texts], pa.int64())
-                columns[counted] = size.cast(batch.column(counted).type)
+                columns[at] = size.cast(columns[at].type)
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(stay, pa.bool_()))
 
-    keyed = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_ID)))
-    found = notes(_keyed(docs)).withColumnRenamed("doc_id", "_key")
-    return keyed.join(found, "_key", "left").select(*names, "found", "copies").mapInArrow(run, nullable(docs))
+    return noted(_keyed(docs)).mapInArrow(run, nullable(docs))

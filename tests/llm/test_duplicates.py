@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -163,7 +164,7 @@ def repeated_docs():
 def test_repeated_strings(spark, monkeypatch, hot):
     docs = repeated_docs()
     whole = suffixes.repeated
-    monkeypatch.setattr(suffixes, "repeated", lambda d: whole(d, hot))
+    monkeypatch.setattr(suffixes, "repeated", lambda d, copied: whole(d, copied, hot))
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.remove(frame(spark, docs).repartition(5)).collect()}
     assert got == cut(docs)
 
@@ -173,6 +174,28 @@ def test_repeated_rows_null_ids_empty_table(spark):
     text = " ".join(map(str, range(100)))
     got = suffixes.remove(frame(spark, [(4, text), (4, text), (None, text + "x")])).collect()
     assert sorted((r.doc_id or -1, r.n_removed) for r in got) == [(-1, 0), (4, len(text)), (4, len(text))]
+    # Unlike texts of one id are documents of their own, and a repeated row does not repeat itself.
+    rng = random.Random(11)
+    texts = ["".join(rng.choices("abcdefgh ", k=300)) for _ in range(20)]
+    got = suffixes.remove(frame(spark, [(None, t) for t in texts] + [(None, texts[0]), (7, texts[3][:150] + texts[4])])).collect()
+    assert sorted((r.doc_id or -1, r.n_removed) for r in got) == [(-1, 0)] * 21 + [(7, 450)]
+
+
+@pytest.mark.parametrize("hot", [1, 3, 50])
+@pytest.mark.parametrize("batch", [1, 2, 7, 1000])
+def test_shared_anchors_stream(hot, batch):
+    rng = random.Random(hot * 100 + batch)
+    rows = []
+    for h in range(60):
+        texts = [(h, d, d % 5 * 1000 + 7, rng.randrange(2)) for d in range(rng.choice([1, 1, 2, 9]))]
+        rows += texts + texts[:1] * rng.choice([0, 0, 6])
+    columns = [np.array(c, np.int64) for c in zip(*rows)]
+    size = range(0, len(rows), batch)
+    arrow = (pa.RecordBatch.from_arrays([pa.array(c[k : k + batch]) for c in columns], names=["hash", "doc_id", "digest", "number"]) for k in size)
+    got = [tuple(r.values()) for b in suffixes.shared_anchors(hot)(arrow) for r in b.to_pylist()]
+    want = {r[1:] for r in rows if len({q[2:] for q in rows if q[0] == r[0]}) > 1}
+    assert {g[:3] for g in got} == want
+    assert list(suffixes.shared_anchors(hot)(iter([]))) == []
 
 
 def test_suffix_order():
