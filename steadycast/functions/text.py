@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 from collections.abc import Sequence
 from functools import reduce
@@ -10,8 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 EVIDENCE = "decimal(38,18)"
-# Digits of all scripts in the basic plane, and what they stand for.
-DIGITS = [c for c in map(chr, range(0x80, 0x10000)) if unicodedata.category(c) == "Nd"]
+# Digits of all scripts, and what they stand for.
+DIGITS = [c for c in map(chr, range(0x80, sys.maxunicode + 1)) if unicodedata.category(c) == "Nd"]
 ASCII_DIGITS = "".join(str(unicodedata.digit(c)) for c in DIGITS)
 
 # Decisions, levels, numbers and units.
@@ -117,11 +118,12 @@ def exact_number(text: Column) -> Column:
     """The canonical digits of a number: equal texts for equal values, at any length.
 
     Digits of all scripts count; there are no leading zeros, no trailing zeros behind the point,
-    and no negative zero.
+    no bare point at the end, and no negative zero.
     """
-    plain = F.translate(text, "".join(DIGITS), ASCII_DIGITS)
+    # Only texts of several bytes a character can hold other digits.
+    plain = F.when(F.octet_length(text) == F.length(text), text).otherwise(F.translate(text, "".join(DIGITS), ASCII_DIGITS))
     short = F.regexp_replace(plain, r"^(-?)0+(?=[0-9])", "$1")
-    short = F.when(short.contains("."), F.regexp_replace(short, r"[.]?0+$", "")).otherwise(short)
+    short = F.when(short.contains("."), F.regexp_replace(short, r"[.]?0*$", "")).otherwise(short)
     return F.when(short == "-0", "0").otherwise(short)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from steadycast.functions.scalar import epoch_micros
-from steadycast.operators import lineage, metrics, quality, reconcile, reshape, sampling, sessions, splits
+from steadycast.operators import digests, lineage, metrics, quality, reconcile, reshape, sampling, sessions, splits
 from steadycast.operators.sortedness import sortedness
 from steadycast.params import (
     PHYSICAL_KEY,
@@ -22,6 +22,7 @@ from steadycast.plans.metric_queries import DECISION, P, TARGET, _models, _MODEL
 from steadycast.plans.oracle import over
 from steadycast.plans.registry import query
 from steadycast.plans.session_queries import KEY, r6, sql6, ts_us
+from steadycast.session import run_dir
 
 # ---- joins ----------------------------------------------------------------------------
 
@@ -169,6 +170,38 @@ def stored_versus_recomputed(spark, sf_dir):
     return reconcile.stored_versus_recomputed(stored, rebuilt, KEY, columns)
 
 
+@query(
+    "digest_tree_comparison",
+    """SELECT count(*) FILTER (event_id % 1009 NOT IN (1, 2, 3)) AS rows,
+         count(*) FILTER (event_id % 1009 = 1) AS stored_only,
+         count(*) FILTER (event_id % 1009 = 2) AS rebuilt_only,
+         count(*) FILTER (event_id % 1009 = 3) AS repeated,
+         CAST(0 AS BIGINT) AS ts_mismatches,
+         count(*) FILTER (event_id % 1009 = 4) AS user_id_mismatches,
+         count(*) FILTER (event_id % 1009 = 5 AND event_type IS NOT NULL) AS event_type_mismatches,
+         count(*) FILTER (event_id % 1009 = 6 AND value IS NOT NULL) AS value_mismatches,
+         CAST(0 AS BIGINT) AS props_mismatches
+       FROM events""",
+)
+def digest_tree_comparison(spark, sf_dir):
+    """Two stored tables compared by digests of buckets: missing, repeated and altered rows."""
+    e = views.table(spark, sf_dir, "events")
+    at = lambda k: F.col("event_id") % 1009 == k
+    columns = ["ts", "user_id", "event_type", "value", "props"]
+    altered = e.withColumns(
+        {
+            "user_id": F.when(at(4), F.col("user_id") + 1).otherwise(F.col("user_id")),
+            "event_type": F.when(at(5), None).otherwise(F.col("event_type")),
+            "value": F.when(at(6), F.col("value") + 1).otherwise(F.col("value")),
+        }
+    )
+    rebuilt = altered.where(~at(1)).unionByName(altered.where(at(3)))
+    paths = [run_dir(spark, "digests") for _ in range(2)]
+    for frame, path in ((e.where(~at(2)), paths[0]), (rebuilt, paths[1])):
+        digests.store(frame, path, ["event_id"], columns)
+    return digests.compare(spark, *paths, ["event_id"], columns).summary
+
+
 @query(
     "first_observation_per_user",
     """SELECT user_id, event_id, epoch_us(ts) AS ts_us FROM events
