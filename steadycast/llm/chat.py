@@ -1,12 +1,16 @@
 """Chat records of different layouts as canonical turns, and turns as training text.
 
-A record is a JSON object. Its schema fingerprint is a hash of its nested field paths, and the
-fingerprint selects a declarative mapping to canonical turns. All work is done by DataFrame
-functions.
-
-Defined cases. A record that is null, no JSON object, or of a layout without a mapping gets
-null turns and keeps its fingerprint, so it can be counted. A null field is the same as a
-missing one. Null texts and roles of turns are empty. Turns with equal numbers are ordered by
+A record is a JSON object. Its schema fingerprint is a hash of its nested field paths, of all items
+of its lists. The names of a record's own fields select a declarative layout by their hash, and in a
+layout of lists the names of each item's fields select that item's mapping, so a list may mix
+kinds of items. All work is done by DataFrame functions.
+
+Defined cases. Fields named in ``OPTIONAL`` may stand beside those of a layout or an item. A record
+that is null, no JSON object, holds a name twice, is of a layout without a mapping, or has an item
+without one, gets null turns and keeps its fingerprint, so it can be counted: no turn is left
+out or blank because it could not be read. An empty list has no turns. A field that is null gives an
+empty text. A text of more than 20,000,000 characters is more than Spark's JSON readers take; its record
+has null turns. Null texts and roles of turns are empty. Turns with equal numbers are ordered by
 role, then text; repeated turns are kept. An empty table gives an empty table.
 """
 
@@ -21,111 +25,129 @@ TURNS = "array<struct<role:string,text:string>>"
 
 
 @dataclass(frozen=True)
-class Layout:
-    """One mapping: the field paths that select it, and an SQL expression over ``r``.
+class Item:
+    """A mapping of list items: the fields that hold role and text, and other names of roles."""
+
+    role: str
+    text: str
+    names: tuple[tuple[str, str], ...] = ()
 
-    ``schema`` types the record for reading; ``turns`` yields the canonical turns.
-    """
+
+@dataclass(frozen=True)
+class Layout:
+    """A mapping of records: ``turns`` gives the role and the field of each turn, or ``items`` the field
+    that holds a list of turns."""
 
     name: str
-    paths: tuple[str, ...]
-    schema: str
-    turns: str
+    turns: tuple[tuple[str, str], ...] = ()
+    items: str | None = None
 
     @property
-    def signature(self) -> str:
-        return "|".join(sorted(self.paths))
+    def fields(self) -> list[str]:
+        return [self.items] if self.items else [field for _, field in self.turns]
 
 
+ITEMS = (
+    Item("role", "content"),
+    Item("from", "value", (("human", "user"), ("gpt", "assistant"))),
+)
 LAYOUTS = (
-    Layout(
-        "messages", ("messages", "messages[].content", "messages[].role"),
-        "messages array<struct<role:string,content:string>>",
-        "transform(r.messages, m -> named_struct('role', m.role, 'text', m.content))",
-    ),
-    Layout(
-        "exchanges", ("conversations", "conversations[].from", "conversations[].value"),
-        "conversations array<struct<`from`:string,value:string>>",
-        """transform(r.conversations, m -> named_struct('role',
-             case m.`from` when 'human' then 'user' when 'gpt' then 'assistant' else m.`from` end,
-             'text', m.value))""",
-    ),
-    Layout(
-        "prompt", ("prompt", "response"),
-        "prompt string, response string",
-        """array(named_struct('role', 'user', 'text', r.prompt),
-                 named_struct('role', 'assistant', 'text', r.response))""",
-    ),
-    Layout(
-        "completion", ("prompt", "completion"),
-        "prompt string, completion string",
-        """array(named_struct('role', 'user', 'text', r.prompt),
-                 named_struct('role', 'assistant', 'text', r.completion))""",
-    ),
-    Layout(
-        "instruction", ("instruction", "input", "output"),
-        "instruction string, input string, output string",
-        """array(named_struct('role', 'system', 'text', r.instruction),
-                 named_struct('role', 'user', 'text', r.input),
-                 named_struct('role', 'assistant', 'text', r.output))""",
-    ),
-    Layout(
-        "bare_instruction", ("instruction", "output"),
-        "instruction string, output string",
-        """array(named_struct('role', 'user', 'text', r.instruction),
-                 named_struct('role', 'assistant', 'text', r.output))""",
-    ),
+    Layout("messages", items="messages"),
+    Layout("exchanges", items="conversations"),
+    Layout("prompt", (("user", "prompt"), ("assistant", "response"))),
+    Layout("completion", (("user", "prompt"), ("assistant", "completion"))),
+    Layout("instruction", (("system", "instruction"), ("user", "input"), ("assistant", "output"))),
+    Layout("bare_instruction", (("user", "instruction"), ("assistant", "output"))),
 )
+# Names of fields that say something about a record or a turn and hold none of its text.
+OPTIONAL = ("id", "conv_id", "conversation_id", "source", "lang", "model", "name", "weight", "timestamp")
+OBJECT = "map<string,variant>"
+
+
+def _get(value: Column, kind: str) -> Column:
+    """A JSON value as ``kind``, null if it is of another."""
+    return F.try_variant_get(value, "$", kind)
+
+
+def _names(fields: Column) -> Column:
+    return F.coalesce(F.map_keys(fields), F.array().cast("array<string>"))
 
 
 def field_paths(record: Column) -> Column:
     """Sorted distinct field paths of a JSON object, ``[]`` standing for the items of a list.
 
-    Two levels are listed, and of a list of objects its first item: layouts differ there.
+    Two levels are listed, as deep as mappings read, and of a list the fields of all its items; an item
+    that is no object is listed as ``field[]``. Texts that look like JSON are texts.
     """
-    top = F.coalesce(F.json_object_keys(record), F.array().cast("array<string>"))
-    # Keys of this kind only: others cannot be written in a JSON path.
-    plain = F.filter(top, lambda k: k.rlike("^[A-Za-z_][A-Za-z0-9_]*$"))
-    inner = F.flatten(
-        F.transform(
-            plain,
-            lambda k: F.concat(
-                _inner(record, k, "[0]", "[]."),
-                _inner(record, k, "", "."),
-            ),
-        )
-    )
-    return F.array_sort(F.array_distinct(F.concat(top, inner)))
+    entries = F.coalesce(F.map_entries(_get(F.try_parse_json(record), OBJECT)), F.array().cast("array<struct<key:string,value:variant>>"))
+    inner = F.flatten(F.transform(entries, lambda e: F.concat(_inside(e), _listed(e))))
+    return F.array_sort(F.array_distinct(F.concat(F.transform(entries, lambda e: e["key"]), inner)))
 
 
-def _inner(record: Column, key: Column, item: str, mark: str) -> Column:
-    value = F.call_function("get_json_object", record, F.concat(F.lit("$."), key, F.lit(item)))
-    names = F.coalesce(F.json_object_keys(value), F.array().cast("array<string>"))
-    return F.transform(names, lambda n: F.concat(key, F.lit(mark), n))
+def _inside(entry: Column) -> Column:
+    return F.transform(_names(_get(entry["value"], OBJECT)), lambda n: F.concat(entry["key"], F.lit("."), n))
+
+
+def _listed(entry: Column) -> Column:
+    items = F.coalesce(_get(entry["value"], "array<variant>"), F.array().cast("array<variant>"))
+    names = F.transform(items, lambda i: F.coalesce(F.transform(F.map_keys(_get(i, OBJECT)), lambda n: F.concat(F.lit("[]."), n)), F.array(F.lit("[]"))))
+    return F.transform(F.flatten(names), lambda n: F.concat(entry["key"], n))
 
 
 def fingerprint(record: Column) -> Column:
     """Schema fingerprint: hash of the nested field paths."""
-    return F.sha2(F.array_join(field_paths(record), "|"), 256)
+    return _hash(field_paths(record))
+
+
+def _hash(names: Column) -> Column:
+    return F.sha2(F.to_json(names), 256)
+
+
+def _selector(fields: Column) -> Column:
+    """Hash of the sorted names of an object's fields, without optional ones."""
+    return _hash(F.array_sort(F.filter(_names(fields), lambda n: ~n.isin(*OPTIONAL))))
+
+
+def _wanted(names: list[str]) -> Column:
+    return _hash(F.array(*[F.lit(n) for n in sorted(names)]))
 
 
-def canonical_turns(df: DataFrame, record: str = "record", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
+def _text(value: Column) -> Column:
+    return F.coalesce(_get(value, "string"), F.lit(""))
+
+
+def _turn(role: Column, text: Column) -> Column:
+    return F.struct(role.alias("role"), text.alias("text"))
+
+
+def _item_turn(item: Column, kinds: tuple[Item, ...]) -> Column:
+    """The turn of a list item, null without a mapping."""
+    fields, out = _get(item, OBJECT), F.lit(None).cast("struct<role:string,text:string>")
+    for kind in kinds:
+        said = role = _text(fields[kind.role])
+        for name, canonical in kind.names:
+            role = F.when(said == name, F.lit(canonical)).otherwise(role)
+        out = F.when(_selector(fields) == _wanted([kind.role, kind.text]), _turn(role, _text(fields[kind.text]))).otherwise(out)
+    return out
+
+
+def canonical_turns(df: DataFrame, record: str = "record", layouts: tuple[Layout, ...] = LAYOUTS, items: tuple[Item, ...] = ITEMS) -> DataFrame:
     """Add ``schema_fingerprint``, ``layout`` and ``turns``; see the module for odd records."""
-    paths = F.array_join(field_paths(F.col(record)), "|")
-    out = df.withColumns({"schema_fingerprint": F.sha2(paths, 256)})
-    print_of = F.col("schema_fingerprint")
+    out = df.withColumns({"schema_fingerprint": fingerprint(F.col(record)), "_fields": _get(F.try_parse_json(F.col(record)), OBJECT)})
+    out = out.withColumn("_selector", _selector(F.col("_fields")))
+    fields = F.col("_fields")
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
     for kind in layouts:
-        chosen = print_of == F.sha2(F.lit(kind.signature), 256)
+        chosen = F.col("_selector") == _wanted(kind.fields)
+        if kind.items:
+            mapped = F.transform(_get(fields[kind.items], "array<variant>"), lambda i: _item_turn(i, items))
+        else:
+            mapped = F.array(*[_turn(F.lit(role), _text(fields[field])) for role, field in kind.turns])
         layout = F.when(chosen, F.lit(kind.name)).otherwise(layout)
-        parsed = f"from_json(`{record}`, '{kind.schema}')"
-        mapped = F.expr(kind.turns.replace("r.", f"{parsed}."))
-        clean = F.transform(
-            mapped,
-            lambda t: F.struct(F.coalesce(t["role"], F.lit("")).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text")),
-        )
-        turns = F.when(chosen, clean).otherwise(turns)
-    return out.withColumns({"layout": layout, "turns": turns})
+        turns = F.when(chosen, mapped).otherwise(turns)
+    out = out.withColumn("_turns", turns)
+    whole = F.col("_turns").isNotNull() & ~F.exists("_turns", lambda t: t.isNull())
+    return out.withColumns({"layout": F.when(whole, layout), "turns": F.when(whole, F.col("_turns")).cast(TURNS)}).drop("_fields", "_selector", "_turns")
 
 
 # Turn template: "### role: text</turn>\n". Inside texts and roles the two control strings

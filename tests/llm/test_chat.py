@@ -36,6 +36,18 @@ def test_layouts_and_odd_records(spark):
         ({"instruction": "i", "input": "n", "output": "o"}, "instruction", [("system", "i"), ("user", "n"), ("assistant", "o")]),
         ({"output": "o", "instruction": "i"}, "bare_instruction", [("user", "i"), ("assistant", "o")]),
         ({"prompt": "p"}, None, None),
+        # Each item is mapped by its own fields; optional fields may stand beside those of a layout.
+        ({"messages": [{"role": "user", "content": "a"}, {"from": "gpt", "value": "b"}]}, "messages", [("user", "a"), ("assistant", "b")]),
+        ({"id": 7, "messages": [{"role": "user", "content": "a", "name": "x"}, {"content": "c", "role": "tool"}]}, "messages", [("user", "a"), ("tool", "c")]),
+        ({"messages": []}, "messages", []),
+        ({"messages": None}, None, None),
+        # An item or a field without a mapping gives no turns at all.
+        ({"messages": [{"role": "user", "content": "a"}, {"speaker": "x", "said": "y"}]}, None, None),
+        ({"messages": [{"role": "user", "content": "a"}, "text"]}, None, None),
+        ({"messages": [{"role": "user", "content": "a"}], "system": "s"}, None, None),
+        # Texts that look like JSON are texts.
+        ({"prompt": '{"a": [1]}', "response": '[{"b": 2}]'}, "prompt", [("user", '{"a": [1]}'), ("assistant", '[{"b": 2}]')]),
+        ({"prompt": "p", "response": "\u00e9\n\"q\" 😀"}, "prompt", [("user", "p"), ("assistant", "\u00e9\n\"q\" 😀")]),
         ({"weird key's": {"a b": 1}}, None, None),
     ]
     rows = [(i, json.dumps(r), "clash") for i, (r, _, _) in enumerate(records)] + [(90, None, ""), (91, "not json", ""), (92, "[1]", "")]
@@ -48,6 +60,21 @@ def test_layouts_and_odd_records(spark):
     assert got[0].schema_fingerprint != got[1].schema_fingerprint
 
 
+def test_fingerprint_reads_all_items(spark):
+    lists = [[{"a": 1}], [{"a": 1}, {"a": 2}], [{"a": 1}, {"b": 2}], [{"b": 1}, {"a": {"c": 1}}], [{"a": 1}, 5], []]
+    df = spark.createDataFrame([(i, json.dumps({"m": x, "o": {"p": 1}})) for i, x in enumerate(lists)], "i int, record string")
+    got = {r.i: (r.p, r.f) for r in df.select("i", chat.field_paths(F.col("record")).alias("p"), chat.fingerprint(F.col("record")).alias("f")).collect()}
+    assert got[0] == got[1] and got[2] == got[3] and len({f for _, f in got.values()}) == 4
+    assert got[2][0] == ["m", "m[].a", "m[].b", "o", "o.p"] and got[4][0] == ["m", "m[]", "m[].a", "o", "o.p"] and got[5][0] == ["m", "o", "o.p"]
+
+
+def test_very_long_text(spark):
+    long = "x ### y" * 2_500_000
+    df = spark.createDataFrame([(1, json.dumps({"prompt": long, "response": "r"}))], "i int, record string")
+    (r,) = chat.canonical_turns(df).select(F.length(F.col("turns")[0]["text"]).alias("n")).collect()
+    assert r.n == len(long)
+
+
 def test_ties_nulls_and_empty(spark):
     schema = "conv_id long, turn long, role string, text string, record string"
     rows = [(1, 0, "user", "b", "x"), (1, 0, "user", "a", "x"), (1, 0, "user", "a", "x"), (None, 1, None, None, None)]
