@@ -1,12 +1,13 @@
 """Models and calibrators against direct solutions, and the stream against disorder."""
 
+import hashlib
 import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from steadycast.operators import calibration, models
+from steadycast.operators import bagging, calibration, models
 from steadycast.params import ModelParams
 from steadycast.plans import forecast, views
 from steadycast.streaming import replay
@@ -134,3 +135,17 @@ def test_replay_keeps_the_last_five(spark, tmp_path):
 
     got = {r.event_id: r for r in run_available(replay.replay(stream, score, size=2)).collect()}
     assert got[4].history == [2, 4] and got[0].history == [0] and got[0].prediction == 1
+
+
+def test_draws_are_generated_code(spark):
+    """The same numbers as from parsed digits, found without a lambda or a conversion of texts."""
+    df = spark.range(300).localCheckpoint()
+    out = df.select("id", bagging.draws(6, 42, 0.5, [F.col("id")]).alias("d"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "*(1) Project" in plan and "lambda" not in plan and "conv(" not in plan
+    bounds = bagging.thresholds(0.5)
+    for row in out.collect():
+        for t, drawn in enumerate(row.d):
+            digest = hashlib.md5(f"{row.id}|42:{t // 4}".encode()).hexdigest()
+            bits = int(digest[8 * (t % 4) : 8 * (t % 4) + 8], 16)
+            assert drawn == sum(b <= bits for b in bounds)
