@@ -123,7 +123,7 @@ def review_csv(spark, sf_dir):
         F.col("explanation").alias("explanation_json"), F.lit("[]").alias("automatic_validation_errors"),
         *[F.lit("").alias(c) for c in (*reviews.HUMAN_FIELDS, "review_notes")],
     )
-    records.write_review_csv(sheet, path)
+    records.write_review_csv(sheet, path, "gzip")
     back = records.read_review_csv(spark, path)
     return back.select("case_id", "prediction", F.md5("prompt").alias("prompt_md5"), "correctness")
 

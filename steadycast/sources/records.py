@@ -44,8 +44,12 @@ def read_review_csv(spark: SparkSession, path: str, columns: Sequence[str] = REV
     return found.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in columns])
 
 
-def write_review_csv(df: DataFrame, path: str) -> None:
-    """Review rows as CSV with quotes doubled and white space kept."""
+def write_review_csv(df: DataFrame, path: str, compression: str = "none") -> None:
+    """Review rows as CSV with quotes doubled and white space kept.
+
+    Prompts share most of their text: ``gzip`` stores a large sheet in a small part of its bytes. Sheets
+    of many lines a cell are never split for reading, so nothing is lost by it.
+    """
     writer = df.write.mode("overwrite").option("header", True).option("escape", '"')
     kept = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
-    writer.options(**kept).csv(path)
+    writer.options(**kept, compression=compression).csv(path)
