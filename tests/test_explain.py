@@ -168,3 +168,41 @@ def test_numbers_of_any_length_and_script(spark):
     got = {r.i: r.e for r in df.select("i", explain.number_errors(known, F.col("s")).alias("e")).collect()}
     for i, (_, want) in enumerate(cases):
         assert got[i] == [f"Unsupported number: {w}" for w in want], cases[i]
+
+
+def test_large_sheets_are_stored_small(spark, tmp_path):
+    """Shared prompt text must not be stored anew for each row, and all cells come back as they were."""
+    from steadycast.operators.reviews import REVIEW_COLUMNS
+    from steadycast.plans import source_queries
+    from steadycast.sources import records
+
+    prompt = F.concat(F.lit(explain.PROMPT_RULES + '"quoted", \n'), F.col("id").cast("string"), F.lit("  "))
+    sheet = spark.range(500).select(*[(prompt if c == "prompt" else F.concat(F.lit(c), "id")).alias(c) for c in REVIEW_COLUMNS])
+    size = {}
+    for kind in ("none", "gzip"):
+        path = f"{tmp_path}/{kind}"
+        records.write_review_csv(sheet, path, kind)
+        size[kind] = sum(f.stat().st_size for f in (tmp_path / kind).glob("part-*"))
+        assert sorted(records.read_review_csv(spark, path).collect()) == sorted(sheet.collect())
+    assert size["gzip"] * 5 < size["none"]
+    assert "gzip" in source_queries.review_csv.__code__.co_consts
+
+
+def test_messages_and_numbers_are_generated_code(spark):
+    """A lambda in them would leave every condition of a row to the interpreter."""
+    df = spark.createDataFrame([(0, json.dumps(EVIDENCE)), (1, "{}")], "i int, e string").repartition(1)
+    df = df.withColumn("e", F.from_json("e", SCHEMA)).localCheckpoint()
+    told = text.messages(text.message_if(F.col("i") == 0, "a"), text.message_if(F.col("i") >= 0, "a", "b"), text.message_if(F.col("i") > 5, "c"), F.lit(None))
+    out = df.select("i", told.alias("m"), explain.evidence_numbers(F.col("e")).alias("n"))
+    assert "*(1) Project" in out._jdf.queryExecution().executedPlan().toString()
+    first, second = out.orderBy("i").collect()
+    assert (first.m, second.m) == (["a", "ab"], ["ab"])
+    wanted = dict(prediction_probability="0.81", trust_score="0.72", current_mos="2.1", throughput_mbps="5.3", bitrate_kbps="6000", capacity_margin_mbps="-0.7", throughput_to_bitrate_ratio="0.88", plr_percent="2.4")
+    assert first.n == wanted and second.n == {}
+
+
+@pytest.mark.parametrize("number", ["0", "-0.5", "100", "1200.050", "-0.000000000000000001", "0.000001"])
+def test_digits_of_decimals(spark, number):
+    value = F.lit(number).cast(text.EVIDENCE)
+    row = spark.range(1).select(text.exact_decimal(value).alias("a"), text.exact_number(value.cast("string")).alias("b")).first()
+    assert row.a == row.b
