@@ -149,3 +149,76 @@ def test_draws_are_generated_code(spark):
             digest = hashlib.md5(f"{row.id}|42:{t // 4}".encode()).hexdigest()
             bits = int(digest[8 * (t % 4) : 8 * (t % 4) + 8], 16)
             assert drawn == sum(b <= bits for b in bounds)
+
+
+def stream_of(spark, tmp_path, batches):
+    """One file per micro-batch; a row is (event_id, user_id, bitrate, seconds, mos)."""
+    import os
+
+    schema = (
+        "event_id long, base_station long, prb long, bitrate_kbps long, user_id long, ts_us long, throughput_mbps double, "
+        "current_mos double, plr_percent double, latitude double, longitude double"
+    )
+    (tmp_path / "in").mkdir()
+    for n, batch in enumerate(batches):
+        data = [(e, u and u % 4, 10, b, u, s * 10**6, m * 2, m, 1.0 * e, 48.0, 2.0) for e, u, b, s, m in batch]
+        spark.createDataFrame(data, schema).coalesce(1).write.parquet(str(tmp_path / f"b{n}"))
+        target = tmp_path / "in" / f"{n}.parquet"
+        os.link(next((tmp_path / f"b{n}").glob("part*.parquet")), target)
+        os.utime(target, (1_700_000_000 + n, 1_700_000_000 + n))
+    return read_stream(spark, str(tmp_path / "in"), "*.parquet", max_files=1)
+
+
+# Users 0 and null and two bitrates; late rows, gaps of more than 30 s, and trajectories that miss a batch.
+BATCHES = [
+    [(1, 1, 2000, 0, 2.0), (2, None, 2000, 5, 3.0), (3, 1, 4000, 0, 4.0), (4, 0, 2000, 5, 1.0), (5, 1, 2000, 50, 2.5), (6, 1, 2000, 60, 5.0)],
+    [(7, None, 2000, 9, 4.0), (8, 1, 2000, 55, 1.5), (9, 1, 2000, 70, 3.5), (10, 2, 2000, 7, 2.0), (11, 0, 2000, 90, 3.0)],
+    [(12, 0, 2000, 8, 2.0), (13, None, 2000, 11, 2.0), (14, 1, 2000, 200, 4.5), (15, 1, 2000, 210, 3.0), (16, 1, 4000, 1, 1.0)],
+]
+
+
+def test_a_bucket_of_many_trajectories_gives_what_each_alone_gives(spark, tmp_path):
+    stream = stream_of(spark, tmp_path, BATCHES)
+    together = run_available(replay.online_features(stream, buckets=1)).collect()
+    apart = run_available(replay.online_features(stream, buckets=10**9)).collect()
+    assert sorted(map(repr, together)) == sorted(map(repr, apart)) and len(together) == 16
+    got = {r.event_id: r for r in together}
+    assert [e for e in got if got[e].late] and {e for e in got if got[e].late} == {8, 12}
+    assert (got[9].session_number, got[9].session_step, got[9].mos_lag1, got[9].gap_seconds) == (2, 2, 5.0, 10.0)
+    assert got[9].mos_past_mean_3 == 3.75 and got[14].session_number == 3 and got[14].mos_lag1 is None
+    assert got[13].user_id is None and got[13].mos_past_mean_3 == 3.5 and got[4].user_id == 0 and got[11].session_number == 2
+    assert got[16].bitrate_kbps == 4000 and got[16].mos_lag1 == 4.0
+
+
+def test_sessions_of_a_bucket_of_many_trajectories(spark, tmp_path):
+    stream = stream_of(spark, tmp_path, BATCHES)
+    together = run_available(replay.session_aggregates_stream(stream, buckets=1), "update")
+    apart = run_available(replay.session_aggregates_stream(stream, buckets=10**9), "update")
+    assert sorted(map(repr, together.collect())) == sorted(map(repr, apart.collect()))
+    assert [(r.rows, r.start_us) for r in together.where("late").orderBy("start_us").collect()] == [(1, 8 * 10**6), (1, 55 * 10**6)]
+    last = {(r.user_id, r.bitrate_kbps, r.session_number): r for r in replay.latest_sessions(together).collect()}
+    assert {k: v.rows for k, v in last.items()} == {
+        (1, 2000, 1): 1, (1, 2000, 2): 3, (1, 2000, 3): 2, (1, 4000, 1): 2, (None, 2000, 1): 3, (0, 2000, 1): 1, (0, 2000, 2): 1, (2, 2000, 1): 1,
+    }
+    assert not last[1, 2000, 2].open and last[1, 2000, 3].open and abs(last[1, 2000, 2].mean_mos - 11 / 3) < 1e-9
+
+
+def test_replay_of_a_bucket_of_many_sessions(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    stream = stream_of(spark, tmp_path, BATCHES).withColumn("session_id", F.col("user_id").cast("string"))
+    score = lambda df: df.withColumn("probability", F.lit(0.5))
+    together = run_available(replay.replay(stream, score, size=2, buckets=1)).collect()
+    apart = run_available(replay.replay(stream, score, size=2, buckets=10**9)).collect()
+    assert sorted(map(repr, together)) == sorted(map(repr, apart))
+    got = {r.event_id: r for r in together}
+    assert got[13].session_id is None and got[13].history == [7, 13] and got[8].late and got[9].history == [6, 9]
+    assert got[12].history is None and got[11].history == [4, 11]
+
+
+def test_state_is_read_once_a_bucket(spark, tmp_path):
+    """Calls of the handlers do not grow with the number of trajectories."""
+    from pyspark.sql import functions as F
+
+    rows = spark.range(3000).select(*[F.col("id").alias(k) for k in replay.TRAJECTORY])
+    assert replay._bucketed(rows, [], 16).select(replay.BUCKET).distinct().count() == 16
