@@ -125,11 +125,13 @@ def scenario_comparison(
     )
 
 
-def stored_versus_recomputed(stored: DataFrame, rebuilt: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+def stored_versus_recomputed(
+    stored: DataFrame, rebuilt: DataFrame, keys: Sequence[str], columns: Sequence[str], partitions: int | None = None
+) -> DataFrame:
     """One row: keys on both sides, on one side only, repeated ones, and unequal values per column.
 
     Both sides meet in one combined aggregation. A key that is repeated on a side is counted as
-    such and not compared.
+    such and not compared. ``partitions`` is for tables too large for the session's number of shuffle partitions.
     """
     def side(df: DataFrame, own: str, other: str) -> DataFrame:
         return df.select(
@@ -138,6 +140,8 @@ def stored_versus_recomputed(stored: DataFrame, rebuilt: DataFrame, keys: Sequen
         )
 
     both = side(stored, "__s", "__r").unionByName(side(rebuilt, "__r", "__s"), allowMissingColumns=True)
+    if partitions:
+        both = both.repartition(partitions, *keys)
     per_key = both.groupBy(*keys).agg(
         F.sum("__s").alias("s"), F.sum("__r").alias("r"),
         *[F.max(f"__s_{c}").alias(f"s_{c}") for c in columns],

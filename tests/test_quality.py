@@ -292,3 +292,31 @@ def test_missing_decisions_are_an_error(spark):
     df = spark.createDataFrame([(None, 1), (False, 0)], "abstain boolean, predicted_poor_qoe int")
     with pytest.raises(Exception, match="a decision is missing"):
         df.select(reshape.decision_label()).collect()
+
+
+def test_comparison_of_large_tables_gets_more_partitions(spark):
+    """More rows than the session's shuffle partitions can take are dealt to partitions by their number, with the same result."""
+    from steadycast.plans import views
+
+    at = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert views.tasks_for(spark, at * 100, 100) is None and views.tasks_for(spark, at * 100 + 1, 100) == at + 1
+    stored = spark.range(40).selectExpr("id AS k", "CAST(id % 3 AS STRING) AS v", "IF(id = 7, NULL, id) AS w").where("k <> 5")
+    rebuilt = spark.range(40).selectExpr("id AS k", "CAST(id % 3 AS STRING) AS v", "IF(id = 9, -1, id) AS w").where("k <> 6")
+    rebuilt = rebuilt.unionByName(rebuilt.where("k = 11"))
+    few, many = (reconcile.stored_versus_recomputed(stored, rebuilt, ["k"], ["v", "w"], n) for n in (None, at + 1))
+    assert few.collect() == many.collect()
+    row = many.first()
+    assert (row.rows, row.stored_only, row.rebuilt_only, row.repeated, row.v_mismatches, row.w_mismatches) == (37, 1, 1, 1, 0, 2)
+    assert f"hashpartitioning(k#" in many._jdf.queryExecution().toString() and f", {at + 1})" in many._jdf.queryExecution().toString()
+
+
+def test_windows_of_large_tables_get_more_partitions(spark, tmp_path, monkeypatch):
+    from steadycast.plans import views
+
+    spark.sql("SELECT id AS event_id, id % 50 AS user_id, timestamp_seconds(id * 1000) AS ts, 1.0D AS value FROM range(2000)").write.parquet(str(tmp_path / "events.parquet"))
+    plain = views.labelled(spark, str(tmp_path)).frame.orderBy("event_id", "bitrate_kbps").collect()
+    monkeypatch.setattr(views, "tasks_for", lambda spark, rows: rows // 100)
+    large = views.labelled(spark, str(tmp_path)).frame
+    plan = large._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and ", 20)" in plan
+    assert large.orderBy("event_id", "bitrate_kbps").collect() == plain
