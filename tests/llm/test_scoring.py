@@ -259,3 +259,23 @@ def test_pipeline_stages(spark, sf_dir):
     empty = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, sf_dir).count() == 0
+
+
+def test_rules_look_up_grams_once_a_chunk_and_do_not_depend_on_chunks(spark, monkeypatch):
+    """A gram is looked up once for each chunk that has it: 64 times at most in a small table, however many texts it has."""
+    rng, found = random.Random(12), []
+    vocabulary = ["".join(rng.choices("abcdeilnorst", k=rng.randrange(3, 8))) for _ in range(30)]
+    rows = [(i, " ".join(rng.choice(vocabulary) for _ in range(30)) + ".") for i in range(400)] + [(900, None), (901, "zq#")]
+    plain = gramtable.look_up
+
+    def look_up(docs, model):
+        looked = plain(docs, model)
+        found.append(looked.groupBy("gram").count().agg(F.max("count")).first()[0])
+        return looked
+
+    monkeypatch.setattr(gramtable, "look_up", look_up)
+    results = [sorted(map(repr, rules.judge(frame(spark, rows)).collect()))]
+    monkeypatch.setattr(rules, "CHUNKS", 1)
+    results.append(sorted(map(repr, rules.judge(frame(spark, rows)).collect())))
+    assert results[0] == results[1]
+    assert 1 < found[0] <= 64 and found[1] == 1
