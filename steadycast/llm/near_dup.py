@@ -9,9 +9,11 @@ meet under one of their ``COORDINATES - MATCHES + 1`` rarest, so the common pair
 A list is not expanded into its pairs. It is cut into blocks, agreements are counted between
 the documents of two blocks at a time, and only a spanning forest of the best candidates is
 confirmed first; confirmed links join into components. Pairs within a component are skipped from
-then on. What still agrees often enough between two components is then confirmed in full, packed
-by blocks of a component, so that a text is sent to a block once and not to each of its pairs.
-Every link is confirmed on the full sets.
+then on. What still agrees often enough between two components is then confirmed in full. Such a
+candidate is given out once, by the first place under which both documents are posted. It is packed by blocks of
+a large component, and by the blocks of the list in which it meets otherwise, so that a text is sent
+to a block once and not to each of its pairs, and a block of a list gives no more rows than it has documents
+for each block of a large component. Every link is confirmed on the full sets.
 
 Two sets of Jaccard index 0.8 agree in fewer than 36 of 64 places in about 3 of a million cases;
 that is the only way to lose a link, and only if no other link connects the two.
@@ -119,7 +121,7 @@ def mark_of(text: Column) -> Column:
 
 
 def postings(sets: DataFrame) -> DataFrame:
-    """(token, rep, label = rep): each set under its rarest coordinate-value pairs."""
+    """(token, rep, places): each set under its rarest coordinate-value pairs, and the bits of their places."""
     tokens = sets.select(
         "rep", F.posexplode(F.slice("sig", 1, COORDINATES)).alias("place", "value")
     ).select("rep", F.shiftleft(F.col("place").cast("long"), 32).bitwiseOR(F.col("value").cast("long").bitwiseAND(0xFFFFFFFF)).alias("token"))
@@ -127,8 +129,9 @@ def postings(sets: DataFrame) -> DataFrame:
     met = tokens.join(shared, "token").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
     # Pairs that nobody else has are the rarest; they fill the first places of the prefix.
     room = COORDINATES - MATCHES + 1 - (COORDINATES - F.size("t"))
-    rare = met.where(room > 0).select("rep", F.explode(F.expr(f"slice(t, 1, size(t) - {MATCHES - 1})")).alias("t"))
-    return rare.select(F.col("t.token").alias("token"), "rep")
+    rare = met.where(room > 0).select("rep", F.expr(f"slice(t, 1, size(t) - {MATCHES - 1})").alias("t"))
+    places = F.aggregate("t.token", F.lit(0).cast("long"), lambda bits, t: bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(t, 32).cast("int"))))
+    return rare.select(F.explode("t.token").alias("token"), "rep", places.alias("places"))
 
 
 def confirm(docs: DataFrame, sets: DataFrame, pairs: DataFrame, size: int, percent: int, block: int = 500, few: int = 200_000) -> DataFrame:
@@ -208,15 +211,16 @@ PAIRS = "a long, b long"
 GROUPED = "label long, block long, share long, a long, others array<long>"
 
 
-def residual(posted: DataFrame, sets: DataFrame, percent: int, shares: int | None, block: int = 700) -> DataFrame:
+def residual(posted: DataFrame, sets: DataFrame, percent: int, shares: int | None, block: int = 700, bulk: int = 500) -> DataFrame:
     """Candidates of different labels from lists that hold several labels.
 
-    ``posted``: (token, rep, label, members), the last being the size of the label. A list is cut
+    ``posted``: (token, rep, places, label, members), the last being the size of the label. A list is cut
     into blocks, and each pair of its blocks is one group, so a group is bounded.
 
     Without ``shares``: pairs (a, b), a spanning forest of the candidates of each group. With it:
-    all candidates, packed by document as ``GROUPED``: those of ``a`` in one block of a label,
-    documents like ``a`` being dealt out to ``shares`` shares.
+    all candidates, each once, packed by document as ``GROUPED``. Those of ``a`` in a label of more than ``bulk``
+    documents are packed by a block of this label, documents like ``a`` being dealt out to ``shares`` shares;
+    all others by their group, whose name is its token and, below 0 and so unlike a block, its blocks.
     """
     lists = posted.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("size")).where("x != y")
     lists = lists.select("token", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
@@ -225,28 +229,31 @@ def residual(posted: DataFrame, sets: DataFrame, percent: int, shares: int | Non
     others = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(
         F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: o != F.col("own"))
     )
-    rows = rows.select("token", "rep", "label", "members", "own", F.explode(others).alias("other"))
+    rows = rows.select("token", "rep", "label", "members", "places", "own", F.explode(others).alias("other"))
     rows = rows.join(sets.select("rep", "n", "sig"), "rep").select(
-        "token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "label", "n", "members", "sig"
+        "token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "label", "n", "members", "places", "own", "sig"
     )
 
-    def large(rep: np.ndarray, label: np.ndarray, n: np.ndarray, members: np.ndarray, sig: np.ndarray) -> np.ndarray:
+    def large(rep: np.ndarray, label: np.ndarray, n: np.ndarray, sig: np.ndarray) -> np.ndarray:
         """Candidates of one group as pairs of its rows."""
         if shares is None:
             found = forest(agreements(sig, n, np.arange(len(rep)), percent), label)
             return np.array([(x, y) for x, y, _ in found], np.int64).reshape(-1, 2).T
-        names, counts = np.unique(label, return_counts=True)
+        names, back, counts = np.unique(label, return_inverse=True, return_counts=True)
         # Pairs within the largest label need no look; every other pair has a row outside it.
-        few = np.flatnonzero(label != names[np.argmax(counts)])
+        outside = back != np.argmax(counts)
+        few = np.flatnonzero(outside)
         found = [np.zeros((2, 0), np.int64)]
         for start in range(0, len(few), 256):
             part = few[start : start + 256]
             hit = (agreements(sig, n, part, percent) >= MATCHES) & (label[part][:, None] != label[None, :])
+            # Two rows outside it meet twice.
+            hit &= ~outside[None, :] | (part[:, None] < np.arange(len(rep))[None, :])
             x, y = np.nonzero(hit)
             found.append(np.stack([part[x], y]))
         return np.concatenate(found, axis=1)
 
-    def small(starts: np.ndarray, size: int, rep: np.ndarray, label: np.ndarray, n: np.ndarray, members: np.ndarray, sig: np.ndarray) -> Iterator[np.ndarray]:
+    def small(starts: np.ndarray, size: int, rep: np.ndarray, label: np.ndarray, n: np.ndarray, sig: np.ndarray) -> Iterator[np.ndarray]:
         """Candidates of many groups of one small size at a time."""
         for x in range(size):
             for y in range(x + 1, size):
@@ -256,6 +263,20 @@ def residual(posted: DataFrame, sets: DataFrame, percent: int, shares: int | Non
                 hit = (sig[a] == sig[b]).sum(axis=1) >= MATCHES
                 yield np.stack([a[hit], b[hit]])
 
+    def owned(keys: list[np.ndarray], pairs: np.ndarray, places: np.ndarray, own: np.ndarray, sig: np.ndarray) -> np.ndarray:
+        """Of candidates those that no other group gives: a pair belongs to the first place under which both rows are
+        posted, and, with both in one block, to the first pair of blocks."""
+        token, i, j = (k[pairs[0]] for k in keys)
+        one = own[pairs[0]]
+        use = (one != own[pairs[1]]) | (i == 0) & ((one == j) | (j <= 1))
+        pairs, place, kept = pairs[:, use], token[use] >> 32, []
+        for start in range(0, pairs.shape[1], 1 << 16):
+            x, y = pairs[:, start : start + (1 << 16)]
+            both = (places[x] & places[y]).view(np.uint64)
+            met = (sig[x] == sig[y]) & (both[:, None] >> np.arange(COORDINATES, dtype=np.uint64) & np.uint64(1)).astype(bool)
+            kept.append(met.argmax(axis=1) == place[start : start + (1 << 16)])
+        return pairs[:, np.concatenate(kept)] if kept else pairs
+
     def solve(keys: list[np.ndarray], columns: list[np.ndarray]) -> pa.RecordBatch:
         change = np.zeros(len(keys[0]), bool)
         change[:1] = True
@@ -263,15 +284,16 @@ def residual(posted: DataFrame, sets: DataFrame, percent: int, shares: int | Non
             change[1:] |= k[1:] != k[:-1]
         starts = np.flatnonzero(change)
         sizes = np.diff(np.append(starts, len(change)))
+        rep, label, n, members, places, own, sig = columns
+        take = lambda pairs: pairs if shares is None else owned(keys, pairs, places, own, sig)
         parts = [np.zeros((2, 0), np.int64)]
         for size in np.unique(sizes):
-            own = starts[sizes == size]
+            heads = starts[sizes == size]
             if 1 < size <= 12:
-                parts += small(own, size, *columns)
+                parts += map(take, small(heads, size, rep, label, n, sig))
             elif size > 12:
-                parts += [large(*(c[at : at + size] for c in columns)) + at for at in own]
+                parts += [take(large(*(c[at : at + size] for c in (rep, label, n, sig))) + at) for at in heads]
         x, y = np.concatenate(parts, axis=1)
-        rep, label, _, members, _ = columns
         if shares is None:
             out = np.unique(np.stack([np.maximum(rep[x], rep[y]), np.minimum(rep[x], rep[y])]), axis=1)
             return pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=["a", "b"])
@@ -279,13 +301,16 @@ def residual(posted: DataFrame, sets: DataFrame, percent: int, shares: int | Non
         swap = (members[x] > members[y]) | (members[x] == members[y]) & (label[x] > label[y])
         x, y = np.where(swap, y, x), np.where(swap, x, y)
         spread = lambda ids, parts: (mix64(ids.view(np.uint64)) % parts.astype(np.uint64)).astype(np.int64)
-        blocks = spread(rep[y], np.maximum(-(-members[y] // 500), 1))
-        share = spread(rep[x], np.full(len(x), shares, np.int64))
-        out = np.unique(np.stack([label[y], blocks, share, rep[x], rep[y]]), axis=1)
-        new = np.append(True, (out[:4, 1:] != out[:4, :-1]).any(axis=0)) if out.shape[1] else np.zeros(0, bool)
-        heads = np.flatnonzero(new)
-        others = pa.ListArray.from_arrays(pa.array(np.append(heads, out.shape[1]).astype(np.int32)), pa.array(out[4]))
-        return pa.RecordBatch.from_arrays([*(pa.array(c[heads]) for c in out[:4]), others], names=["label", "block", "share", "a", "others"])
+        whole = members[y] > bulk
+        names = np.where(whole, label[y], keys[0][x])
+        blocks = np.where(whole, spread(rep[y], np.maximum(-(-members[y] // 500), 1)), -1 - keys[1][x].astype(np.int64))
+        share = np.where(whole, spread(rep[x], np.full(len(x), shares, np.int64)), keys[2][x])
+        out = np.stack([names, blocks, share, rep[x]])
+        order = np.lexsort((rep[y], *out[::-1]))
+        out, others = out[:, order], rep[y][order]
+        heads = np.flatnonzero(np.append(True, (out[:, 1:] != out[:, :-1]).any(axis=0))[: len(others)])
+        others = pa.ListArray.from_arrays(pa.array(np.append(heads, len(others)).astype(np.int32)), pa.array(others))
+        return pa.RecordBatch.from_arrays([*(pa.array(c[heads]) for c in out), others], names=["label", "block", "share", "a", "others"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -293,8 +318,8 @@ def residual(posted: DataFrame, sets: DataFrame, percent: int, shares: int | Non
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sig = batch.column(7).flatten().to_numpy().reshape(-1, COORDINATES)
-            held.append([*(batch.column(c).to_numpy() for c in range(7)), sig])
+            sig = batch.column(9).flatten().to_numpy().reshape(-1, COORDINATES)
+            held.append([*(batch.column(c).to_numpy() for c in range(9)), sig])
             waiting += batch.num_rows
             if waiting < 20_000:
                 continue
@@ -322,7 +347,7 @@ def residual(posted: DataFrame, sets: DataFrame, percent: int, shares: int | Non
 def confirm_grouped(docs: DataFrame, sets: DataFrame, packed: DataFrame, size: int, percent: int, few: int = 200_000) -> DataFrame:
     """The links (a, b) among packed candidates, on their full sets.
 
-    A group gets the texts of a share of documents and of one block of a label, each once.
+    A group gets the texts of a share of documents and of one block of a label, or of two blocks of a list, each once.
     """
     group = ["label", "block", "share"]
     heads = packed.select(*group, F.col("a").alias("rep"), "others")

@@ -92,6 +92,36 @@ def test_near_duplicates_of_long_lists(spark, monkeypatch):
     assert got == brute(docs, 5)
 
 
+@pytest.mark.parametrize("bulk", [500, 5])
+def test_candidates_are_given_once_and_packed_by_list(spark, bulk):
+    """Loosely alike documents: no more rows than documents of lists, a row for each pair before."""
+    rng = random.Random(6)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    docs = near_dup.keyed(frame(spark, [(i, " ".join(edited(words, rng, 0.03))) for i in range(60)]))
+    sets = near_dup.sign(docs, 5).where("n > 0").withColumnRenamed("doc_id", "rep").cache()
+    # One label of ten documents, the rest alone.
+    label = F.when(F.col("rep") < 10, 0).otherwise(F.col("rep")).cast("long").alias("label")
+    members = F.when(F.col("rep") < 10, 10).otherwise(1).cast("long").alias("members")
+    posted = near_dup.postings(sets).select("*", label, members).cache()
+    rows = near_dup.residual(posted, sets, 80, 1, block=20, bulk=bulk).collect()
+    got = sorted(tuple(sorted((r.a, b))) for r in rows for b in r.others)
+    of = {r.rep: (r.n, np.array(r.sig)) for r in sets.collect()}
+    tokens = {}
+    for r in posted.collect():
+        tokens.setdefault(r.rep, set()).add(r.token)
+    name = lambda i: 0 if i < 10 else i
+    want = [
+        (a, b) for a in range(60) for b in range(a + 1, 60)
+        if name(a) != name(b) and tokens.get(a, set()) & tokens.get(b, set()) and (of[a][1] == of[b][1]).sum() >= near_dup.MATCHES
+        and 100 * min(of[a][0], of[b][0]) >= 80 * max(of[a][0], of[b][0])
+    ]
+    assert len(want) > 300 and got == want
+    assert len({(r.label, r.block, r.share, r.a) for r in rows}) == len(rows)
+    assert any(r.block >= 0 for r in rows) == (bulk == 5) and any(r.block < 0 for r in rows)
+    if bulk == 500:
+        assert len(rows) < len(want) / 2
+
+
 def test_near_duplicates_null_ids_repeated_rows_empty_table(spark):
     assert near_dup.group(frame(spark, [])).count() == 0
     got = near_dup.group(frame(spark, [(None, "a b c d e f"), (7, "a b c d e f"), (7, "a b c d e f")])).collect()
