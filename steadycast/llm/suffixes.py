@@ -13,8 +13,10 @@ suffixes are merged in, and adjacent prefixes are compared. Recursion ends when
 ``LENGTH`` bytes, as deeper order is not needed. Of equal strings all but the earliest are
 repeats. Bytes are compared, so hashes only steer the work.
 
-Hot anchors. Equal stretches are combined before the shuffle. The strings of an anchor with more than
-``hot`` rows are dealt out one by one, by their own hashes, so that no part has to hold them all.
+Hot anchors. Equal stretches are combined before the shuffle. The stretches of an anchor with more than
+``hot`` rows are dealt out in at most ``SPAN / STEP`` pieces, by the bytes that all ``STEP`` strings of a piece have in
+common; equal strings have their anchor at the same offset, so they lie in pieces of one part. Only where a part still gets
+more than ``hot`` pieces are its strings dealt out one by one, by their own hashes, so that no task has to hold them all.
 
 Defined cases. A null text is empty; nothing shorter than ``LENGTH`` bytes is ever removed.
 Null ids come first. Repeated rows (same id, same text) are one document, and each row gets its
@@ -40,6 +42,7 @@ SIDE = -(-(LENGTH - GRAM) // 2)  # a string reaches this far from its anchor on
 LEAST_ID = -(2**63)
 PLACE_BITS = 24
 SLAB = 1 << 21
+STEP = 9  # strings in a piece of a hot anchor's stretch
 
 
 def digest(data: bytes) -> int:
@@ -241,101 +244,137 @@ def send_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     """Stretches around the wanted anchors of (doc_id, text, digest, wanted, rest) rows.
 
     Of stretches that are equal within the task only the earliest is sent; the others are
-    given back at once as repeats, without an anchor.
+    given back at once as repeats, without an anchor, those that touch in one text as one.
     """
     held: dict[tuple[int, int, bytes], tuple] = {}
+    seen: dict[tuple[int, bytes], tuple] = {}
     rows: list[tuple] = []
 
-    def add(anchor: int, part: int, place: tuple, stretch: bytes) -> None:
-        key = (anchor, part, stretch)
-        old = held.get(key)
-        if old is None or place < old:
-            held[key] = place
-            place, old = old, place
-        if place is not None and place != old:
-            rows.append((None, part, *place, None))
+    def add(anchor: int, part: int, place: tuple, stretch: bytes, again: list[tuple[int, int]]) -> None:
+        old = held.setdefault((anchor, part, stretch), place)
+        if place < old:
+            held[anchor, part, stretch] = place
+            rows.append((None, 0, *old, None))
+        elif place != old:
+            again.append(place[2:4])
 
     def flush() -> list[tuple]:
         out = [(a, p, *place, stretch) for (a, p, stretch), place in held.items()]
         held.clear()
+        seen.clear()
         return out
 
     for batch in batches:
         for doc_id, text, own, wanted in zip(*(c.to_pylist() for c in batch.columns[:4])):
             data = utf8(text)
             hashes, firsts, lasts, places = anchors(data)
+            again: list[tuple[int, int]] = []
             for w in wanted:
                 k = w["number"]
                 first, last, at, anchor = int(firsts[k]), int(lasts[k]), int(places[k]), int(hashes[k])
+                place, stretch = (doc_id, own, first, last, at - first), data[first : last + LENGTH]
                 if not w["hot"]:
-                    add(anchor, 0, (doc_id, own, first, last, at - first), data[first : last + LENGTH])
+                    add(anchor, 0, place, stretch, again)
                     continue
-                for q in range(first, last + 1):
-                    string = data[q : q + LENGTH]
-                    add(anchor, digest(string) or 1, (doc_id, own, q, q, at - q), string)
-        if len(held) > 100_000:
-            rows += flush()
+                old = seen.setdefault((anchor, stretch), place)
+                if old < place:
+                    again.append((first, last))
+                    continue
+                seen[anchor, stretch] = place
+                # A piece has the strings with their anchor at STEP neighbouring offsets; the core is in all of them.
+                for step in range((at - last) // STEP, (at - first) // STEP + 1):
+                    stop = at - step * STEP
+                    core = data[stop : stop - STEP + 1 + LENGTH]
+                    low, high = max(first, stop - STEP + 1), min(last, stop)
+                    add(anchor, digest(b"%d " % step + core) or 1, (doc_id, own, low, high, at - low), data[low : high + LENGTH], again)
+            again.sort()
+            touches = [x[0] > y[1] + 1 for y, x in zip(again, again[1:])]
+            heads = [0, *(k + 1 for k, apart in enumerate(touches) if apart)] if again else []
+            for head, end in zip(heads, [*heads[1:], len(again)]):
+                rows.append((None, 0, doc_id, own, again[head][0], again[end - 1][1], None, None))
+            if len(held) + len(seen) > 100_000:
+                rows += flush()
         yield _batch(rows)
         rows.clear()
     yield _batch(flush())
 
 
-def sort_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Repeats among stretches that come in order of anchor and part; what has none passes."""
-    slab: list[tuple] = []
-    size, last_key = 0, None
-
-    def solve() -> list[tuple]:
-        earliest: dict[tuple, tuple] = {}
-        sides: dict[tuple, int] = {}
-        out, kept = [], []
-        for doc_id, own, first, last, at, key, stretch in sorted(slab):
-            place = (doc_id, own, first)
-            if earliest.setdefault((key, stretch), place) != place:
-                out.append((None, 0, doc_id, own, first, last, None, None))
-                continue
-            left = (key, 0, stretch[at - SIDE : at + GRAM]) if at >= SIDE else None
-            right = (key, 1, stretch[at : at + GRAM + SIDE]) if at + GRAM + SIDE <= len(stretch) else None
-            for side in (left, right):
-                sides[side] = sides.get(side, 0) + 1
-            kept.append((doc_id, own, first, last, stretch, left, right))
-        # Equal strings agree on one side of their anchor at least. The strings of one stretch
-        # differ, as each has the anchor at another place.
-        sides[None] = 0
-        kept = [k for k in kept if sides[k[5]] > 1 or sides[k[6]] > 1]
-        if not kept:
+def sort_stretches(hot: int | None):
+    """Repeats among stretches that come in order of anchor and part; what has no anchor passes.
+
+    With ``hot``, the strings of a part with more pieces of a hot anchor are given back one by one, to be dealt out anew.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slab: list[tuple] = []
+        size, last_key, begun, large = 0, None, 0, False
+
+        def solve() -> list[tuple]:
+            earliest: dict[tuple, tuple] = {}
+            sides: dict[tuple, int] = {}
+            out, kept = [], []
+            for doc_id, own, first, last, at, key, stretch in sorted(slab):
+                place = (doc_id, own, first)
+                if earliest.setdefault((key, stretch), place) != place:
+                    out.append((None, 0, doc_id, own, first, last, None, None))
+                    continue
+                left = (key, 0, stretch[at - SIDE : at + GRAM]) if at >= SIDE else None
+                right = (key, 1, stretch[at : at + GRAM + SIDE]) if at + GRAM + SIDE <= len(stretch) else None
+                for side in (left, right):
+                    sides[side] = sides.get(side, 0) + 1
+                kept.append((doc_id, own, first, last, stretch, left, right))
+            # Equal strings agree on one side of their anchor at least. The strings of one stretch
+            # differ, as each has the anchor at another place.
+            sides[None] = 0
+            kept = [k for k in kept if sides[k[5]] > 1 or sides[k[6]] > 1]
+            if not kept:
+                return out
+            text = b"".join(k[4] for k in kept)
+            lengths = np.array([len(k[4]) for k in kept])
+            counts = lengths - LENGTH + 1
+            begins = np.cumsum(lengths) - lengths
+            owner = np.repeat(np.arange(len(kept)), counts)
+            inner = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+            again = np.flatnonzero(repeats(text, begins[owner] + inner))
+            if len(again):
+                gap = np.append(True, (np.diff(again) > 1) | (np.diff(owner[again]) > 0))
+                heads = np.flatnonzero(gap)
+                tails = np.append(heads[1:], len(again)) - 1
+                for a, b in zip(again[heads], again[tails]):
+                    doc_id, own, first = kept[owner[a]][:3]
+                    out.append((None, 0, doc_id, own, int(first + inner[a]), int(first + inner[b]), None, None))
             return out
-        text = b"".join(k[4] for k in kept)
-        lengths = np.array([len(k[4]) for k in kept])
-        counts = lengths - LENGTH + 1
-        begins = np.cumsum(lengths) - lengths
-        owner = np.repeat(np.arange(len(kept)), counts)
-        inner = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        again = np.flatnonzero(repeats(text, begins[owner] + inner))
-        if len(again):
-            gap = np.append(True, (np.diff(again) > 1) | (np.diff(owner[again]) > 0))
-            heads = np.flatnonzero(gap)
-            tails = np.append(heads[1:], len(again)) - 1
-            for a, b in zip(again[heads], again[tails]):
-                doc_id, own, first = kept[owner[a]][:3]
-                out.append((None, 0, doc_id, own, int(first + inner[a]), int(first + inner[b]), None, None))
-        return out
 
-    for batch in batches:
-        done: list[tuple] = []
-        for anchor, part, doc_id, own, first, last, at, stretch in zip(*(c.to_pylist() for c in batch.columns)):
-            if stretch is None:
-                done.append((None, 0, doc_id, own, first, last, None, None))
-                continue
-            # A slab is closed between anchors, or between the parts of one.
-            if size >= SLAB // 2 and (anchor, part) != last_key:
-                done += solve()
-                slab, size = [], 0
-            slab.append((doc_id, own, first, last, at, (anchor, part), stretch))
-            size, last_key = size + len(stretch), (anchor, part)
-        yield _batch(done)
-    if slab:
-        yield _batch(solve())
+        def strings(doc_id: int, own: int, first: int, last: int, at: int, key: tuple[int, int], stretch: bytes) -> Iterator[tuple]:
+            for k in range(last - first + 1):
+                string = stretch[k : k + LENGTH]
+                yield key[0], digest(string) or 1, doc_id, own, first + k, first + k, at - k, string
+
+        for batch in batches:
+            done: list[tuple] = []
+            for anchor, part, doc_id, own, first, last, at, stretch in zip(*(c.to_pylist() for c in batch.columns)):
+                if stretch is None:
+                    done.append((None, 0, doc_id, own, first, last, None, None))
+                    continue
+                if (anchor, part) != last_key:
+                    # A slab is closed between anchors, or between the parts of one.
+                    if size >= SLAB // 2:
+                        done += solve()
+                        slab, size = [], 0
+                    last_key, begun, large = (anchor, part), len(slab), False
+                slab.append((doc_id, own, first, last, at, last_key, stretch))
+                size += len(stretch)
+                large = large or bool(hot and part and len(slab) - begun > hot)
+                if large:
+                    for row in slab[begun:]:
+                        done += strings(*row)
+                        size -= len(row[6])
+                    del slab[begun:]
+            yield _batch(done)
+        if slab:
+            yield _batch(solve())
+
+    return run
 
 
 def copies(docs: DataFrame) -> DataFrame:
@@ -356,9 +395,11 @@ def repeated(docs: DataFrame, copied: DataFrame, hot: int = 8000) -> DataFrame:
     wanted = found.mapInArrow(shared_anchors(hot), "doc_id long, digest long, number int, hot boolean")
     wanted = wanted.groupBy(*KEY).agg(F.sort_array(F.collect_set(F.struct("number", "hot"))).alias("wanted"))
     sent = docs.join(wanted, KEY).select("doc_id", "text", "digest", "wanted", "rest").mapInArrow(send_stretches, ROWS)
-    # What is settled already has no anchor; it is spread by its document.
-    dealt = sent.repartition(F.coalesce("anchor", F.xxhash64("doc_id", "first")), "part").sortWithinPartitions("anchor", "part")
-    ranges = dealt.mapInArrow(sort_stretches, ROWS)
+    ranges = sent
+    for most in (hot, None):
+        # What is settled already has no anchor; it is spread by its document.
+        dealt = ranges.repartition(F.coalesce("anchor", F.xxhash64("doc_id", "first")), "part").sortWithinPartitions("anchor", "part")
+        ranges = dealt.mapInArrow(sort_stretches(most), ROWS)
     return ranges.groupBy(*KEY).agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
 
 

@@ -199,6 +199,36 @@ def test_repeated_strings(spark, monkeypatch, hot):
     assert got == cut(docs)
 
 
+def test_hot_stretches_go_in_pieces():
+    """A passage in many texts: a stretch is a few pieces, or one settled row, and not a row for each string."""
+    rng = random.Random(9)
+    noise = lambda: "".join(rng.choices("abcdefgh ", k=80))
+    passage = noise() * 3
+    docs = [(i, noise() + passage + noise()) for i in range(200)]
+    wanted, stretches, strings = [], 0, 0
+    for _, text in docs:
+        _, firsts, lasts, _ = suffixes.anchors(text.encode())
+        wanted.append([{"number": k, "hot": True} for k in range(len(firsts))])
+        stretches += len(firsts)
+        strings += int((lasts - firsts + 1).sum())
+    batch = pa.RecordBatch.from_pylist([{"doc_id": i, "text": t, "digest": i, "wanted": w} for (i, t), w in zip(docs, wanted)])
+    columns = list(zip(*(r.values() for b in suffixes.send_stretches(iter([batch])) for r in b.to_pylist())))
+    assert len(columns[0]) < 4 * stretches < strings / 4
+    # Every string is in one row, and pieces hold at most STEP strings.
+    rows = list(zip(*columns))
+    assert sum(r[5] - r[4] + 1 for r in rows) == strings
+    assert all(r[5] - r[4] < suffixes.STEP for r in rows if r[7] is not None)
+
+    def sort(hot, rows):
+        out = suffixes.sort_stretches(hot)(iter([suffixes._batch(sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1])))]))
+        return [tuple(r.values()) for b in out for r in b.to_pylist()]
+
+    starts = lambda rows: sorted((r[2], q) for r in rows for q in range(r[4], r[5] + 1))
+    plain, spilled = sort(None, rows), sort(50, rows)
+    assert any(r[7] is not None for r in spilled) and all(len(r[7]) == suffixes.LENGTH for r in spilled if r[7] is not None)
+    assert starts(sort(None, spilled)) == starts(plain) != []
+
+
 def test_repeated_rows_null_ids_empty_table(spark):
     assert suffixes.remove(frame(spark, [])).count() == 0
     text = " ".join(map(str, range(100)))
