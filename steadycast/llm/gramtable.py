@@ -110,15 +110,51 @@ def fit(grams: DataFrame) -> DataFrame:
         below = store(table.select("lang", F.col("gram").alias("suffix"), p.alias("lower")), "model")
 
 
+def pack(docs: DataFrame, held: int = 1 << 25) -> DataFrame:
+    """(chunk, rows): the other columns of ``docs`` in compressed batches, one for each chunk of about ``held`` bytes of a task."""
+
+    def packed(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(batches)
+        chunk = table["chunk"].to_numpy()
+        order = np.argsort(chunk, kind="stable")
+        table, chunk = table.drop_columns(["chunk"]).take(order), chunk[order]
+        heads = np.flatnonzero(np.append(True, chunk[1:] != chunk[:-1])[: len(chunk)])
+        rows = []
+        for a, b in zip(heads, [*heads[1:], len(chunk)]):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+                stream.write_table(table.slice(a, b - a).combine_chunks())
+            rows.append(sink.getvalue().to_pybytes())
+        return pa.RecordBatch.from_arrays([pa.array(chunk[heads], pa.int64()), pa.array(rows, pa.binary())], names=["chunk", "rows"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, size = [], 0
+        for batch in batches:
+            waiting.append(batch)
+            size += batch.nbytes
+            if size >= held:
+                yield packed(waiting)
+                waiting, size = [], 0
+        if waiting:
+            yield packed(waiting)
+
+    return docs.mapInArrow(run, "chunk long, rows binary")
+
+
+def unpacked(group: pa.Table) -> pa.Table:
+    """The rows of one chunk of ``pack``."""
+    return pa.concat_tables(pa.ipc.open_stream(b).read_all() for b in group["rows"].to_pylist())
+
+
 def look_up(docs: DataFrame, model: DataFrame) -> DataFrame:
-    """(chunk, lang, gram, log2p) for the distinct grams of each chunk of ``docs``."""
+    """(chunk, lang, gram, log2p) for the distinct grams of each chunk of ``docs``, which is packed."""
 
-    def run(group: pa.Table) -> pa.Table:
-        by: dict[str, list[str]] = {}
+    def run(packed: pa.Table) -> pa.Table:
+        group, by = unpacked(packed), {}
         for lang, text in zip(group["lang"].to_pylist(), group["text"].to_pylist()):
             if text:
                 by.setdefault(lang, []).append(text)
-        chunk, tables = group["chunk"][0].as_py(), []
+        chunk, tables = packed["chunk"][0].as_py(), []
         for lang, texts in by.items():
             grams = np.unique(np.concatenate([np.unique(keys_of(texts[a:b])[0]) for a, b in charlm.chunks(texts)]))
             tables.append(pa.table({"chunk": np.full(len(grams), chunk), "lang": pa.array([lang] * len(grams), pa.string()), "gram": grams}))

@@ -9,8 +9,8 @@ Defined cases. A null text has no words and fails the base rules. Documents with
 form a language of their own. A language without any text has no model and no band, and
 nothing in it passes the base rules. Repeated rows are judged alike. An empty table gives an empty table. Texts are
 used whole. Of a language, only discounts and a band are broadcast; see ``gramtable`` for its model.
-Texts are dealt out in chunks of bounded size; a chunk gets the scores of its distinct grams, of which a
-large chunk has fewer for its length, so less is shuffled.
+Texts are dealt out in chunks of bounded size, compressed by task and chunk; a chunk gets the scores of its distinct
+grams, of which a large chunk has fewer for its length, so less is shuffled.
 """
 
 from __future__ import annotations
@@ -109,10 +109,11 @@ def judge(docs: DataFrame, quantile: float = 0.005, reach: float = 1.5, slack: f
     chars = held.agg(F.sum("chars")).first()[0] or 0
     chunks = max(CHUNKS, -(-chars // CHUNK_CHARS))
     chunk = F.pmod(F.xxhash64("doc_id", "lang", "text"), F.lit(chunks)).alias("chunk")
-    dealt = rows.select(chunk, "doc_id", "lang", "text", "plain").repartition("chunk")
+    dealt = gramtable.pack(rows.select(chunk, "doc_id", "lang", "text", "plain")).repartition("chunk")
     looked = gramtable.look_up(dealt, model)
 
-    def score(looked: pa.Table, docs: pa.Table) -> pa.Table:
+    def score(looked: pa.Table, packed: pa.Table) -> pa.Table:
+        docs = gramtable.unpacked(packed)
         langs, texts = docs["lang"].to_pylist(), [t or "" for t in docs["text"].to_pylist()]
         known = WordHashes()
         counts = [base_counts(texts[a:b], known) for a, b in charlm.chunks(texts)]

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -150,6 +151,18 @@ def test_rules_keep_prose_and_reject_noise(spark):
     assert rules.judge(frame(spark, [])).count() == 0
 
 
+def test_packed_chunks_are_whole_and_small(spark):
+    rng = random.Random(12)
+    rows = [(i, " ".join(rng.choices("house tree river stone cloud".split(), k=80)), i % 3) for i in range(300)] + [(300, None, 0), (301, "", 1), (None, "é😀", 2), (5, "x", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, chunk long").repartition(2)
+    for held in (1, 1 << 25):
+        packed = gramtable.pack(docs, held).toArrow()
+        got = [(r["doc_id"], r["text"], c) for c, b in zip(*(packed[k].to_pylist() for k in ("chunk", "rows")))
+               for r in gramtable.unpacked({"rows": pa.array([b], pa.binary())}).to_pylist()]
+        assert sorted(got, key=str) == sorted(rows, key=str)
+    assert packed.num_rows <= 6 and packed["rows"].nbytes < sum(len(t or "") for _, t, _ in rows) / 2
+
+
 def test_rules_have_a_model_and_a_band_for_every_language(spark):
     rng = random.Random(9)
     ru = "дом дерево река камень облако хлеб письмо музыка сад окно".split()
