@@ -81,8 +81,10 @@ def base_counts(texts: list[str], known: WordHashes) -> np.ndarray:
 def mostly_words(text: str = "text", share: float = 0.02):
     """Few signs, and at least half of it letters that are no capitals, in any script."""
     c = F.col(text)
-    signs = F.length(c) - F.length(F.translate(c, SIGNS, ""))
-    letters = F.length(c) - F.length(F.regexp_replace(c, r"[\p{Ll}\p{Lo}\p{Lm}\p{M}]+", ""))
+    # Small ASCII letters go first by a plain range: the classes of all scripts and the signs are then sought in the little that is left.
+    left = F.regexp_replace(c, "[a-z]+", "")
+    signs = F.length(left) - F.length(F.regexp_replace(left, f"[{SIGNS}]+", ""))
+    letters = F.length(c) - F.length(F.regexp_replace(left, r"[\p{Ll}\p{Lo}\p{Lm}\p{M}]+", ""))
     return (signs <= share * F.length(c)) & (2 * letters >= F.length(c))
 
 

@@ -2,6 +2,7 @@
 
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -292,3 +293,18 @@ def test_rules_look_up_grams_once_a_chunk_and_do_not_depend_on_chunks(spark, mon
     results.append(sorted(map(repr, rules.judge(frame(spark, rows)).collect())))
     assert results[0] == results[1]
     assert 1 < found[0] <= 64 and found[1] == 1
+
+
+def test_classes_of_all_scripts_are_sought_only_where_no_small_ascii_letters_are(spark):
+    """The share of letters and signs is that of the whole text, and the costly class sees the rest of it alone."""
+    texts = [None, "", "a", "A", "Ab", "ab#", "ab" * 24 + "#", "ab" * 25 + "#", "ab" * 24 + "a|", "[]^-\\", "абв Г", "АБВ г", "中文 #", "é1", "Éé", "\U0001d4ea\U0001d4eb 1", "\na\n", "ª12"]
+
+    def expected(t):
+        letters = sum(unicodedata.category(c) in ("Ll", "Lo", "Lm", "Mn", "Mc", "Me") for c in t)
+        return sum(map(t.count, rules.SIGNS)) <= 0.02 * len(t) and 2 * letters >= len(t)
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").select("i", "text", rules.mostly_words().alias("plain"))
+    assert {r.i: r.plain for r in df.collect()} == {i: None if t is None else expected(t) for i, t in enumerate(texts)}
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("\\p{Ll}") == plan.count("regexp_replace(regexp_replace(text") - plan.count("[" + rules.SIGNS) == 1
+    assert "translate(" not in plan
