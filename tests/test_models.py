@@ -84,6 +84,27 @@ def test_whole_job(spark, sf_dir):
     assert models.top_features(importance, 3).count() == 3
 
 
+def test_fit_makes_one_pass_for_what_both_models_need(spark, sf_dir, monkeypatch):
+    """Medians are found once, node ids are kept, scored rows are dealt out; the forest stays the same."""
+    params = ModelParams(trees=4, depth=5, fit_partitions=3, max_iter=20)
+    found, alone = [], models.medians
+    monkeypatch.setattr(models, "medians", lambda *a, **k: found.append(a[1]) or alone(*a, **k))
+    job = forecast.run(views.observations(spark, sf_dir), forecast.ForecastParams(sessions=views.SESSIONS, models=params))
+    assert len(found) == 1
+    forest = job.fitted.models[forecast.FOREST].stages[-1]
+    assert forest.getOrDefault("cacheNodeIds")
+    whole = models.forest_stages
+    monkeypatch.setattr(models, "forest_stages", lambda *a: [*(s := whole(*a))[:-1], s[-1].copy().setCacheNodeIds(False)])
+    train = forecast._table(spark, job.feature_path, "train").where(F.col(models.TARGET).isNotNull())
+    plain = models.fit_forest(train, params).stages[-1]
+    trees = [m.toDebugString.split("\n", 1)[1] for m in (forest, plain)]
+    assert not plain.getOrDefault("cacheNodeIds") and trees[0].replace(forest.uid, "") == trees[1].replace(plain.uid, "")
+    rows = spark.range(90).select(*[F.col("id").alias(k) for k in models.ROW_KEY]).coalesce(1)
+    out = forecast.spread(rows, rows_per_task=30)
+    assert out.rdd.getNumPartitions() == 3 and sorted(out.collect()) == sorted(rows.collect())
+    assert forecast.spread(rows.limit(0)).count() == 0
+
+
 def stream_input(spark, tmp_path, order):
     """Six interleaved rows of two sessions, written as one file per batch in ``order``."""
     rows = [(u, 4 * i, t, m, p) for i, (u, t, m, p) in enumerate(
