@@ -320,3 +320,24 @@ def test_windows_of_large_tables_get_more_partitions(spark, tmp_path, monkeypatc
     plan = large._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and ", 20)" in plan
     assert large.orderBy("event_id", "bitrate_kbps").collect() == plain
+
+
+@pytest.mark.parametrize("whole", [3, 1 << 25])
+def test_manifest_holds_no_file_whole(spark, tmp_path, monkeypatch, whole):
+    """Files above the bound are hashed as they are read, whatever their ends, marks, names and bytes."""
+    import hashlib
+    import os
+
+    monkeypatch.setattr(lineage, "WHOLE_BYTES", whole)
+    mark = b"\xef\xbb\xbf"
+    files = {
+        "b": b"x", "c": b"\n", "d": b"one\ntwo", "e": b"one\r\ntwo\n\n", "f": mark + b"text", "g": mark + b"text\n", "h": mark,
+        "sub/i j%20+.bin": os.urandom(300_000), "sub/k.bin": os.urandom(70_000) + b"\n", "l.gz": b"not packed\n", "m": b"\xff\x00\r" * 5000, "n": b"\n" * 9,
+    }
+    (tmp_path / "sub").mkdir()
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    got = {r.file: (r.bytes, r.sha256) for r in lineage.file_manifest(spark, str(tmp_path)).collect()}
+    assert got == {k: (len(v), hashlib.sha256(v).hexdigest()) for k, v in files.items()}
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == before
