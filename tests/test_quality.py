@@ -341,3 +341,17 @@ def test_manifest_holds_no_file_whole(spark, tmp_path, monkeypatch, whole):
     got = {r.file: (r.bytes, r.sha256) for r in lineage.file_manifest(spark, str(tmp_path)).collect()}
     assert got == {k: (len(v), hashlib.sha256(v).hexdigest()) for k, v in files.items()}
     assert spark.conf.get("spark.sql.files.maxPartitionBytes") == before
+
+
+def test_cells_of_equal_text_are_not_compared_again(spark):
+    cells = ['{"a": 1.0, "b": "x"}', '{"b":"x","a":1}', '{"a": 2}', "[ ]", "[]", "not json", "", "null", None]
+    df = spark.createDataFrame([(a, b) for a in cells for b in cells], "l string, r string")
+    out = df.select("l", "r", reviews.same_json(F.col("l"), F.col("r")).alias("same"))
+    assert "CASE WHEN (l#" in out._jdf.queryExecution().optimizedPlan().toString()
+    alike = [{0, 1}, {3, 4}]
+
+    def expected(i, j):
+        return cells[i] not in ("not json", "", None) and (i == j or {i, j} in alike)
+
+    got = {(cells.index(r.l), cells.index(r.r)): r.same for r in out.collect()}
+    assert got == {(i, j): expected(i, j) for i in range(len(cells)) for j in range(len(cells))}
